@@ -17,18 +17,48 @@ from pyspark.sql import functions as F
 
 from veilscan import rules
 
-# Literal characters each content pattern cannot match without; a cheap
-# ``contains`` test in front of the regex skips texts that lack them.
-_REQUIRED_LITERALS: dict[str, tuple[str, ...]] = {
-    "EMAIL": ("@",),
-    "SSN": ("-",),
-    "DATE_OF_BIRTH": ("/", "-"),
+# Necessary conditions of the fixed patterns, keyed by pattern text (a custom
+# pattern gets no guard): the shortest possible match in characters (a text
+# has at least as many bytes as characters, so ``octet_length`` is an O(1)
+# test), literal characters one of which must occur, and whether a run of
+# three digits must occur. Cheap tests in front of the regex skip the texts
+# that cannot match; results are unchanged.
+_GUARDS: dict[str, tuple[int, tuple[str, ...], bool]] = {
+    rules.CONTENT_PATTERNS["EMAIL"]: (6, ("@",), False),
+    rules.CONTENT_PATTERNS["SSN"]: (11, ("-",), True),
+    rules.CONTENT_PATTERNS["PHONE"]: (10, (), True),
+    rules.CONTENT_PATTERNS["CREDIT_CARD"]: (16, (), True),
+    rules.CONTENT_PATTERNS["DATE_OF_BIRTH"]: (10, ("/", "-"), True),
+    rules.SIMPLE_PATTERNS["PHONE"]: (12, ("-",), True),
+}
+_NO_GUARD = (0, (), False)
+DIGIT_RUN = r"(?U)\d{3}"
+
+
+def needs_digit_run(patterns: dict[str, str]) -> bool:
+    return any(_GUARDS.get(p, _NO_GUARD)[2] for p in patterns.values())
+
+
+def has_digit_run(text) -> Column:
+    """Boolean: three consecutive (Unicode) digits occur in ``text``."""
+    t = _col(text)
+    return (F.octet_length(t) >= 3) & t.rlike(DIGIT_RUN)
+
+
+# First characters a match of a fixed pattern can start with. Patterns whose
+# first node is an alternation are slow to reject a position; a one-character
+# lookahead in front rejects it at once. The match set is unchanged.
+_FIRST_CHAR: dict[str, str] = {
+    rules.CONTENT_PATTERNS["PHONE"]: r"[(\d]",
+    rules.CONTENT_PATTERNS["DATE_OF_BIRTH"]: r"[01]",
 }
 
 
 def java_regex(python_pattern: str) -> str:
-    """Python ``re`` pattern -> Java pattern with Unicode character classes."""
-    return "(?U)" + python_pattern
+    """Python ``re`` pattern -> Java pattern with Unicode character classes
+    (``(?U)``), plus a first-character lookahead for known fixed patterns."""
+    first = _FIRST_CHAR.get(python_pattern)
+    return "(?U)" + (f"(?={first})" if first else "") + python_pattern
 
 
 def profile_patterns(profile: str | dict[str, str]) -> dict[str, str]:
@@ -45,28 +75,43 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def content_hit(text: str | Column, pii_type: str, pattern: str, prefilter: bool = True) -> Column:
-    """Boolean: ``pattern`` (Python syntax) finds a match in ``text``."""
+def content_hit(
+    text: str | Column, pii_type: str, pattern: str, prefilter: bool = True, digit_run: Column | None = None
+) -> Column:
+    """Boolean: ``pattern`` (Python syntax) finds a match in ``text``.
+
+    ``digit_run`` may carry a precomputed ``has_digit_run(text)`` column so the
+    guard is evaluated once per row for all numeric patterns.
+    """
     t = _col(text)
     hit = t.rlike(java_regex(pattern))
-    lits = _REQUIRED_LITERALS.get(pii_type) if prefilter else None
+    min_len, lits, digits = _GUARDS.get(pattern, _NO_GUARD) if prefilter else _NO_GUARD
+    guard = (F.octet_length(t) >= min_len) if min_len > 0 else None
     if lits:
-        guard = reduce(lambda a, b: a | b, [t.contains(x) for x in lits])
-        hit = guard & hit
-    return hit
+        lit_guard = reduce(lambda a, b: a | b, [t.contains(x) for x in lits])
+        guard = lit_guard if guard is None else guard & lit_guard
+    if digits:
+        d = digit_run if digit_run is not None else has_digit_run(t)
+        guard = d if guard is None else guard & d
+    return hit if guard is None else guard & hit
 
 
-def content_hits(text: str | Column, profile: str | dict[str, str] = "content") -> list[tuple[str, Column]]:
+def content_hits(
+    text: str | Column, profile: str | dict[str, str] = "content", digit_run: Column | None = None
+) -> list[tuple[str, Column]]:
     """``[(type, boolean Column)]`` in rule order."""
-    return [(name, content_hit(text, name, p)) for name, p in profile_patterns(profile).items()]
+    return [(name, content_hit(text, name, p, digit_run=digit_run)) for name, p in profile_patterns(profile).items()]
 
 
-def content_types(text: str | Column, profile: str | dict[str, str] = "content") -> Column:
+def content_types(
+    text: str | Column, profile: str | dict[str, str] = "content", digit_run: Column | None = None
+) -> Column:
     """``array<string>`` of the types whose pattern matches ``text``, rule order.
 
     NULL or empty text gives an empty array.
     """
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in content_hits(text, profile)]))
+    hits = content_hits(text, profile, digit_run)
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits]))
 
 
 def name_types(name: str | Column, patterns: dict[str, list[str]] | None = None) -> Column:

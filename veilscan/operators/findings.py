@@ -51,18 +51,33 @@ def content_findings(
     scan stage; no shuffle.
     """
     ids = _cols(id_cols) + list(keep_cols)
-    t = F.col(text) if isinstance(text, str) else text
-    out = df.select(*ids, F.explode(D.one_row_if_any(D.content_types(t, profile))).alias("pii_types"))
+    text_col, digit_run, pre = _prepared(df, ids, text, profile)
+    out = pre.select(
+        *ids, F.explode(D.one_row_if_any(D.content_types(text_col, profile, digit_run))).alias("pii_types")
+    )
     out = out.withColumn("confidence", D.confidence_map(F.col("pii_types"), score))
     return with_classification(out)
 
 
+def _prepared(df: DataFrame, ids: list[str], text: str | Column, profile):
+    """Project the text once (it may be a sample expression) and, when numeric
+    patterns are present, the shared three-digit guard once."""
+    t = F.col(text) if isinstance(text, str) else text
+    pre = df.select(*ids, t.alias("__text"))
+    digit_run = None
+    if D.needs_digit_run(D.profile_patterns(profile)):
+        pre = pre.select("*", D.has_digit_run(F.col("__text")).alias("__digits"))
+        digit_run = F.col("__digits")
+    return F.col("__text"), digit_run, pre
+
+
 def content_findings_long(
     df: DataFrame, id_cols, text: str | Column, profile: str | dict[str, str] = "content"
 ) -> DataFrame:
     """Long form ``(ids, pii_type)``: one row per (row, matching type)."""
-    t = F.col(text) if isinstance(text, str) else text
-    return df.select(*_cols(id_cols), F.explode(D.content_types(t, profile)).alias("pii_type"))
+    ids = _cols(id_cols)
+    text_col, digit_run, pre = _prepared(df, ids, text, profile)
+    return pre.select(*ids, F.explode(D.content_types(text_col, profile, digit_run)).alias("pii_type"))
 
 
 def head_byte_findings(df: DataFrame, id_cols, text: str, n: int = rules.OBJECT_SAMPLE_BYTES, **kw) -> DataFrame:
@@ -118,6 +133,50 @@ def analyze_table(columns: DataFrame, database: str | None = None, table: str |
     )
 
 
+def string_values(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """Every string cell of the given tables in long form
+    ``(table_name, column_name, value)``: a narrow unpivot per table, no
+    shuffle. None when no table has a string column."""
+    parts = []
+    for name, df in tables.items():
+        scols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        if not scols:
+            continue
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in scols])
+        parts.append(df.select(F.lit(name).alias("table_name"), F.inline(cells)))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_content_profile(
+    tables: dict[str, DataFrame], profile: str | dict[str, str] = "content", min_rows: int = 1
+) -> DataFrame:
+    """Content profile of every string column: per (table, column, type) the
+    number of rows whose value matches. Rows with fewer than ``min_rows``
+    matches are dropped.
+
+    One detection expression over the unpivoted cells and one grouped
+    aggregation; per-type counters are partial aggregates, so each task
+    ships at most one row per (table, column) whatever the skew.
+    """
+    cells = string_values(tables)
+    patterns = D.profile_patterns(profile)
+    text_col, digit_run, pre = _prepared(cells, ["table_name", "column_name"], "value", profile)
+    hits = D.content_hits(text_col, profile, digit_run)
+    g = pre.groupBy("table_name", "column_name").agg(
+        *[F.count_if(h).alias(f"__n{i}") for i, (_, h) in enumerate(hits)]
+    )
+    entries = F.array(*[
+        F.struct(F.lit(t).alias("pii_type"), F.col(f"__n{i}").alias("rows")) for i, t in enumerate(patterns)
+    ])
+    out = g.select("table_name", "column_name", F.inline(entries))
+    return out.where(F.col("rows") >= min_rows)
+
+
 # --------------------------------------------------------------------------
 # Item tables scanned as serialised JSON rows
 # --------------------------------------------------------------------------
@@ -157,9 +216,15 @@ def scan_items_json(
     # One projection: the JSON string is built once (common subexpression),
     # each pattern runs once; the aggregation is max() per flag so the
     # shuffle carries one partial row per table per task, whatever the skew.
-    flags = sampled.select(
-        F.col(table_col).alias("table_name"),
-        *[D.content_hit(js, t, p).alias(f"__hit_{i}") for i, (t, p) in enumerate(patterns.items())],
+    pre = sampled.select(F.col(table_col).alias("table_name"), js.alias("__json"))
+    digit_run = None
+    if D.needs_digit_run(patterns):
+        pre = pre.select("*", D.has_digit_run(F.col("__json")).alias("__digits"))
+        digit_run = F.col("__digits")
+    flags = pre.select(
+        "table_name",
+        *[D.content_hit(F.col("__json"), t, p, digit_run=digit_run).alias(f"__hit_{i}")
+          for i, (t, p) in enumerate(patterns.items())],
     )
     aggs = [F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(patterns))]
     if max_items is None:
@@ -195,13 +260,19 @@ def scan_string_attributes(
     sampled = df if max_items is None else sample_rows(df, max_items, keys)
     string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     patterns = D.profile_patterns(profile)
+    digits = {}
+    if D.needs_digit_run(patterns) and string_cols:
+        sampled = sampled.select(
+            "*", *[D.has_digit_run(F.col(c)).alias(f"__d{i}") for i, c in enumerate(string_cols)]
+        )
+        digits = {c: F.col(f"__d{i}") for i, c in enumerate(string_cols)}
     flags = []
     for t, p in patterns.items():
         if not string_cols:
             break
         cond = None
         for c in string_cols:
-            h = D.content_hit(F.col(c), t, p)
+            h = D.content_hit(F.col(c), t, p, digit_run=digits.get(c))
             cond = h if cond is None else cond | h
         flags.append((t, cond))
     types = _types_from_flags(flags) if flags else F.array().cast("array<string>")

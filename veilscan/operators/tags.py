@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from veilscan import rules
 from veilscan.functions import classify as C
 from veilscan.functions import detect as D
+from veilscan.session import local_frame
 
 RESOURCE_KEYS = ["database", "table_name", "column_name"]
 TAG_DEF_SCHEMA = StructType([StructField("tag_key", StringType()), StructField("tag_value", StringType())])
@@ -94,7 +95,7 @@ def source_tags(classified: DataFrame) -> DataFrame:
 def tag_definitions(spark: SparkSession, definitions: dict[str, list[str]] | None = None) -> DataFrame:
     definitions = definitions or rules.COLUMN_TAG_DEFINITIONS
     rows = [(k, v) for k, vs in definitions.items() for v in vs]
-    return spark.createDataFrame(rows, TAG_DEF_SCHEMA)
+    return local_frame(spark, rows, TAG_DEF_SCHEMA)
 
 
 def ensure_tag_definitions(existing: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.plans import standins
-from veilscan.session import TABLES, read_table, read_tables
+from veilscan.session import TABLES, local_frame, read_table, read_tables
 from veilscan.sources.catalog import catalog_columns_from_frames, file_database_name
 from veilscan.sources.objects import source_summary as _source_summary
 from veilscan.sources.samples import sample_rows
@@ -110,24 +110,8 @@ def string_attribute_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_content_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content profile of every string column of every table: rows matching
-    each type, per (table, column). Only columns with a hit are returned.
-    One pass per table; the per-column counters are partial aggregates."""
-    parts = []
-    for name, df in read_tables(spark, sf_dir).items():
-        scols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-        if not scols:
-            continue
-        aggs, entries = [], []
-        for i, c in enumerate(scols):
-            for j, (t, hit) in enumerate(D.content_hits(F.col(c))):
-                aggs.append(F.count_if(hit).alias(f"__n{i}_{j}"))
-                entries.append(F.struct(
-                    F.lit(c).alias("column_name"), F.lit(t).alias("pii_type"), F.col(f"__n{i}_{j}").alias("rows")))
-        row = df.agg(*aggs)
-        entries = F.array(*entries)
-        parts.append(row.select(F.lit(name).alias("table_name"), F.inline(entries)))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.where(F.col("rows") > 0)
+    each type, per (table, column). Only columns with a hit are returned."""
+    return FD.column_content_profile(read_tables(spark, sf_dir))
 
 
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +241,7 @@ def tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables registered first, then tables again plus every document
     object path; each resource once with its status."""
-    tables = spark.createDataFrame([(f"{CATALOG_DB}.{n}",) for n in TABLES], "resource string")
+    tables = local_frame(spark, [(f"{CATALOG_DB}.{n}",) for n in TABLES], "resource string")
     objs = standins.document_objects(read_table(spark, sf_dir, "documents")).select(F.col("path").alias("resource"))
     return TG.register_resources(tables, tables.unionByName(objs))
 

@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -60,8 +62,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Parquet schema inference runs a footer-reading job per read; the schema of
+# a path is inferred once per process and then passed to the reader.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def clear_schema_cache() -> None:
+    _SCHEMAS.clear()
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_ARROW_TYPES = {
+    "string": pa.string(),
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+}
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
+    """A small driver-side table (metadata, rule data) as a DataFrame.
+
+    Built through Arrow so no Python worker is involved; only for data whose
+    size is bounded by metadata (columns, sources, rule vocabularies).
+    """
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrays = {}
+    for i, f in enumerate(st.fields):
+        arrays[f.name] = pa.array([r[i] for r in rows], type=_ARROW_TYPES[f.dataType.simpleString()])
+    return spark.createDataFrame(pa.table(arrays), schema=st)
 
 
 def read_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:

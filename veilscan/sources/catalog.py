@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veilscan import rules
+from veilscan.session import local_frame
 
 CATALOG_SCHEMA = StructType(
     [
@@ -45,7 +46,7 @@ def catalog_columns_from_frames(
     for name, df in tables.items():
         for i, f in enumerate(df.schema.fields):
             rows.append((database, name, (locations or {}).get(name), f.name, f.dataType.simpleString(), i))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return local_frame(spark, rows, CATALOG_SCHEMA)
 
 
 def catalog_columns(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def catalog_columns(spark: SparkSession, databases: list[str] | None = None) ->
             loc = _table_location(spark, db, t.name)
             for i, c in enumerate(cols):
                 rows.append((db, t.name, loc, c.name, c.dataType, i))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return local_frame(spark, rows, CATALOG_SCHEMA)
 
 
 def _table_location(spark: SparkSession, db: str, table: str) -> str | None:
@@ -122,4 +123,4 @@ def register_sources(
         register("file", name, path, file_database_name(name))
     for name, path in (item_sources or {}).items():
         register("table", name, path, rules.ITEM_TABLE_DATABASE)
-    return spark.createDataFrame(results, REGISTRATION_SCHEMA)
+    return local_frame(spark, results, REGISTRATION_SCHEMA)
