@@ -67,7 +67,7 @@ def catalog_columns(spark: SparkSession, databases: list[str] | None = None) ->
             if t.isTemporary:
                 continue
             try:
-                cols = cat.listColumns(t.name, db)
+                cols = cat.listColumns(f"{db}.{t.name}")
             except Exception:  # noqa: BLE001
                 continue
             loc = _table_location(spark, db, t.name)

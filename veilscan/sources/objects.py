@@ -39,10 +39,10 @@ def object_inventory(
 
 def read_text_objects(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole text files: ``path, size_bytes, text`` (one row per file)."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     return df.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size_bytes"),
