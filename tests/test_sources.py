@@ -104,3 +104,16 @@ def test_full_scan_over_test_tables(spark):
     t = res.totals.first()
     assert t["total_columns"] == 63 and t["pii_columns_found"] == 6 and t["total_tables"] == 14
     assert res.column_tags.count() == 6 * 5 + 57 * 4
+
+
+def test_scan_object_files_ranged_heads(spark, scratch):
+    from veilscan.plans.scan import scan_object_files
+    from veilscan.sources.heads import object_heads
+
+    root, names = _write_docs(spark, scratch, n=60)
+    inv = object_inventory(spark, root, max_objects=None)
+    heads = {r["path"].replace("file:", ""): r["text"] for r in object_heads(inv, 1024).collect()}
+    assert heads == {p: brute.head_bytes(t) for p, t in names}
+    got = {r["path"].replace("file:", ""): list(r["pii_types"]) for r in scan_object_files(spark, root).collect()}
+    want = {p: brute.content_types(brute.head_bytes(t)) for p, t in names}
+    assert got == {p: t for p, t in want.items() if t}

@@ -130,6 +130,24 @@ def direct_object_scan(
     return out.select("path", "size_bytes", "pii_types")
 
 
+def scan_object_files(
+    spark: SparkSession,
+    path: str,
+    prefix: str = "",
+    max_objects: int | None = None,
+    n_bytes: int = rules.OBJECT_SAMPLE_BYTES,
+) -> DataFrame:
+    """Object scan over files: list (metadata only), read each object's first
+    ``n_bytes`` with a ranged read, detect, classify. Only objects with PII."""
+    from veilscan.sources.heads import object_heads
+    from veilscan.sources.objects import object_inventory
+
+    inv = object_inventory(spark, path, prefix=prefix, max_objects=max_objects)
+    heads = object_heads(inv, n_bytes)
+    out = FD.content_findings(heads, ["path"], "text", keep_cols=["size_bytes"])
+    return out.withColumn("source_type", F.lit("object"))
+
+
 def direct_item_scan(df: DataFrame, key_cols, table_name: str, max_items: int | None = rules.MAX_ITEMS) -> DataFrame:
     """The simple detector on every string attribute of the first
     ``max_items`` rows by key."""
@@ -145,6 +163,6 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 
 __all__ = [
-    "ScanResult", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan",
+    "ScanResult", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
     "direct_item_scan", "masked_copy", "F",
 ]
