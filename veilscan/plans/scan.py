@@ -20,6 +20,7 @@ from veilscan import rules
 from veilscan.operators import findings as FD
 from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
+from veilscan.session import cut_lineage
 from veilscan.sources.catalog import catalog_columns, catalog_columns_from_frames, register_sources
 from veilscan.sources.objects import direct_text_objects
 from veilscan.sources.sinks import write_report
@@ -53,9 +54,13 @@ def full_scan(
     max_items: int | None = None,
     object_sample_bytes: int = rules.OBJECT_SAMPLE_BYTES,
     database: str = "default",
+    materialize: bool = True,
 ) -> ScanResult:
     """The three-phase scan.
 
+    With ``materialize`` the object and item findings are checkpointed once
+    (reliably, in ``spark.checkpoint.dir``) and shared by all reports.
+
     Phase 1: column names of ``tables`` (DataFrames) or of the catalog
     ``databases``. Phase 2: ``objects`` ``(path, size_bytes, text)`` by the
     first ``object_sample_bytes`` bytes. Phase 3: every row (or the first
@@ -77,6 +82,12 @@ def full_scan(
         items = parts[0]
         for p in parts[1:]:
             items = items.unionByName(p)
+    if materialize:
+        # The content scans are the expensive part and every report below is
+        # its own action; their findings (hit rows only) are written once to
+        # the shared checkpoint folder so no report rescans the inputs.
+        objs = cut_lineage(objs) if objs is not None else None
+        items = cut_lineage(items) if items is not None else None
     findings = R.unified_findings(cols, objs, items)
     return ScanResult(
         catalog=catalog,
