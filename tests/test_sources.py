@@ -117,3 +117,17 @@ def test_scan_object_files_ranged_heads(spark, scratch):
     got = {r["path"].replace("file:", ""): list(r["pii_types"]) for r in scan_object_files(spark, root).collect()}
     want = {p: brute.content_types(brute.head_bytes(t)) for p, t in names}
     assert got == {p: t for p, t in want.items() if t}
+
+
+def test_run_scan_with_config(spark, scratch):
+    from veilscan.plans.scan import ScanConfig, run_scan
+
+    root, names = _write_docs(spark, scratch, n=40)
+    register_sources(spark, file_sources={"user-profiles": f"{SF_SMALL}/customer.parquet"})
+    cfg = ScanConfig(databases=["user_profiles_db"], object_paths=[root],
+                     item_tables={"docs": f"{SF_SMALL}/documents.parquet"}, item_keys={"docs": ["doc_id"]}, max_items=10)
+    res = run_scan(spark, cfg)
+    t = res.totals.first()
+    want_objs = sum(1 for _, txt in names if brute.content_types(brute.head_bytes(txt)))
+    assert t["objects_with_pii"] == want_objs and t["total_columns"] == 5 and t["pii_columns_found"] == 1
+    assert t["total_sources"] == 1 + want_objs + t["item_tables_with_pii"]

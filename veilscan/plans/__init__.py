@@ -6,4 +6,6 @@ from veilscan.plans.scan import (  # noqa: F401
     discovery_workflow,
     full_scan,
     masked_copy,
+    run_scan,
+    ScanConfig,
 )

@@ -11,7 +11,7 @@ Every step stays a lazy DataFrame; only the report sink triggers work.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +101,64 @@ def full_scan(
     )
 
 
+@dataclass
+class ScanConfig:
+    """Driver-side scan settings (the studied tool's 15-field config, re-aimed).
+
+    ``databases``: catalog databases to scan (empty = all). ``object_paths``:
+    file roots scanned as objects (all of them, not only the first);
+    ``item_tables``: name -> path of tables scanned row by row.
+    ``confidence_threshold``, ``dry_run`` and ``apply_tags`` are accepted for
+    parity; detection scores are constants and tags are always produced as
+    tables.
+    """
+
+    databases: list[str] = field(default_factory=list)
+    enable_object_discovery: bool = True
+    enable_item_discovery: bool = True
+    object_paths: list[str] = field(default_factory=list)
+    object_prefix: str = ""
+    max_objects: int | None = None
+    object_sample_bytes: int = rules.OBJECT_SAMPLE_BYTES
+    item_tables: dict[str, str] = field(default_factory=dict)
+    item_keys: dict[str, list[str]] = field(default_factory=dict)
+    max_items: int | None = None
+    item_format: str = "parquet"
+    confidence_threshold: float = 0.8
+    dry_run: bool = False
+    apply_tags: bool = True
+    materialize: bool = True
+
+
+def run_scan(spark: SparkSession, config: ScanConfig) -> ScanResult:
+    """Catalog columns of ``config.databases``, object heads under every path
+    of ``config.object_paths``, and every row of each item table."""
+    from veilscan.sources.heads import object_heads
+    from veilscan.sources.objects import object_inventory
+
+    objects = None
+    if config.enable_object_discovery and config.object_paths:
+        parts = [object_inventory(spark, p, prefix=config.object_prefix, max_objects=config.max_objects)
+                 for p in config.object_paths]
+        inv = parts[0]
+        for q in parts[1:]:
+            inv = inv.unionByName(q)
+        objects = object_heads(inv, config.object_sample_bytes)
+    items = None
+    if config.enable_item_discovery and config.item_tables:
+        items = {n: spark.read.format(config.item_format).load(p) for n, p in config.item_tables.items()}
+    return full_scan(
+        spark,
+        databases=config.databases or None,
+        objects=objects,
+        item_tables=items,
+        item_keys=config.item_keys,
+        max_items=config.max_items,
+        object_sample_bytes=config.object_sample_bytes,
+        materialize=config.materialize,
+    )
+
+
 @dataclass
 class DiscoveryResult:
     catalog_results: DataFrame
@@ -174,6 +232,6 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 
 __all__ = [
-    "ScanResult", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
+    "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
     "direct_item_scan", "masked_copy", "F",
 ]
