@@ -81,6 +81,8 @@ def main() -> None:
     scan_s = times["content_findings"] + times["content_findings_pages"]
     rows = vol["documents"][0] + vol["pages"][0]
     mb = (vol["documents"][1] + vol["pages"][1]) / 1e6
+    n_cust = read_table(spark, sf_dir, "customer").count()
+    rate = lambda n, s: round(n / s, 1) if s else None
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {
         "metric": "total_query_seconds",
@@ -92,6 +94,11 @@ def main() -> None:
         "content_scan_rows_per_sec": round(rows / scan_s, 1) if scan_s else None,
         "content_scan_mb_per_sec": round(mb / scan_s, 2) if scan_s else None,
         "text_mb": round(mb, 2),
+        "documents_full_scan_rows_per_sec": rate(vol["documents"][0], times["content_findings"]),
+        "documents_head_1024_bytes_rows_per_sec": rate(vol["documents"][0], times["head_byte_findings"]),
+        "documents_head_1000_chars_rows_per_sec": rate(vol["documents"][0], times["head_char_findings"]),
+        "pages_full_scan_rows_per_sec": rate(vol["pages"][0], times["content_findings_pages"]),
+        "masking_rows_per_sec": rate(n_cust, times["masking_default"]),
     }
     print(json.dumps(out))
     spark.stop()
