@@ -36,6 +36,10 @@ def test_object_inventory_prunes_content(spark, scratch):
     assert [r["path"] for r in capped] == sorted(r for r in [x["path"] for x in inv.collect()])[:5]
     sub = object_inventory(spark, root, prefix="sub", max_objects=None).count()
     assert sub == sum(1 for p, _ in names if "/sub/" in p)
+    d = object_inventory(spark, root, prefix="doc0", max_objects=None).collect()
+    assert {r["path"].replace("file:", "") for r in d} == {p for p, _ in names if "/sub/" not in p}
+    assert object_inventory(spark, root, prefix="sub/doc", max_objects=None).count() == sub
+    assert object_inventory(spark, root, prefix="nothing-here", max_objects=None).count() == 0
 
 
 def test_text_objects_and_direct_scan(spark, scratch):

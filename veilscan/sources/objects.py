@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,17 @@ from veilscan import rules
 from veilscan.functions import text as T
 
 
+def _local_part(path_col):
+    """A file URI without scheme and authority (``file:/a/b`` -> ``/a/b``)."""
+    return F.regexp_replace(path_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _strip_scheme(path: str) -> str:
+    import re
+
+    return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path)
+
+
 def object_inventory(
     spark: SparkSession,
     path: str,
@@ -19,19 +31,26 @@ def object_inventory(
     """Files under ``path``: ``path, size_bytes, modified``.
 
     Only metadata columns are selected, so the binaryFile source does not
-    read file contents (ReadSchema has no ``content``). ``prefix`` filters on
-    the path relative to ``path``; ``max_objects`` is a global cap in path
-    order (None = all).
+    read file contents (ReadSchema has no ``content``). ``prefix`` is a string
+    prefix of the object key relative to ``path`` (object-store semantics):
+    it is turned into a listing glob, so only the matching subtree is listed,
+    and then checked exactly. ``max_objects`` is a global cap in path order
+    (None = all).
     """
+    root = path.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path).select(
-        F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")
-    )
+    load_path = f"{root}/{prefix}*" if prefix else root
+    try:
+        listed = reader.load(load_path)
+    except AnalysisException:
+        if not prefix:
+            raise
+        return spark.createDataFrame([], "path string, size_bytes long, modified timestamp")
+    df = listed.select(F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     if prefix:
-        root = path.rstrip("/")
-        df = df.where(F.col("path").contains(f"{root}/{prefix}") | F.col("path").startswith(f"file:{root}/{prefix}"))
+        df = df.where(_local_part(F.col("path")).startswith(_strip_scheme(root) + "/" + prefix))
     if max_objects is not None:
         df = df.orderBy("path").limit(max_objects)
     return df
