@@ -33,23 +33,30 @@ def _open_head(path: str, n: int) -> str | None:
     return data.decode("utf-8", errors="ignore")
 
 
-def _heads(n: int):
+def _heads(n: int, io_threads: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [_open_head(p, n) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], "text": texts})
+        from concurrent.futures import ThreadPoolExecutor
+
+        # Small ranged reads are latency-bound on object stores: overlap them.
+        with ThreadPoolExecutor(max_workers=io_threads) as pool:
+            for pdf in batches:
+                texts = list(pool.map(lambda p: _open_head(p, n), pdf["path"]))
+                yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], "text": texts})
 
     return fn
 
 
-def object_heads(inventory: DataFrame, n: int = rules.OBJECT_SAMPLE_BYTES, partitions: int | None = None) -> DataFrame:
+def object_heads(
+    inventory: DataFrame, n: int = rules.OBJECT_SAMPLE_BYTES, partitions: int | None = None, io_threads: int = 16
+) -> DataFrame:
     """``inventory`` (path, size_bytes) -> ``path, size_bytes, text`` with the
     first ``n`` bytes of each object. Unreadable objects get NULL text.
 
     The listing is hash-partitioned by path (``partitions`` defaults to the
-    session's shuffle partitions) so many small reads run in parallel.
+    session's shuffle partitions) so many small reads run in parallel, and
+    each task overlaps its reads on ``io_threads`` threads.
     """
     spark = inventory.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = inventory.select("path", F.col("size_bytes").cast("long")).repartition(parts, "path")
-    return spread.mapInPandas(_heads(n), HEAD_SCHEMA)
+    return spread.mapInPandas(_heads(n, io_threads), HEAD_SCHEMA)
