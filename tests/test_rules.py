@@ -149,3 +149,20 @@ def test_classification_is_monotone():
     types = rules.COLUMN_TYPES
     for a, b in itertools.product(types, types):
         assert rules.risk_rank(rules.classify_types([a, b])) >= rules.risk_rank(rules.classify_types([a]))
+
+
+def test_driver_side_name_rule_equals_column_rule(spark):
+    """mask_table picks columns on the driver from schema metadata; that rule
+    must equal the Column form used by the catalog scan."""
+    from conftest import SF_SMALL
+
+    from veilscan.operators.masking import column_types_by_name
+    from veilscan.session import read_tables
+
+    names = [n for n, _, _ in COLUMN_CASES]
+    for df in read_tables(spark, SF_SMALL).values():
+        names.extend(df.columns)
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    col_rule = {r["name"]: list(r["t"]) for r in df.select("name", D.name_types(F.col("name")).alias("t")).collect()}
+    wide = spark.createDataFrame([tuple(range(len(set(names))))], ", ".join(f"`{n}` int" for n in dict.fromkeys(names)))
+    assert column_types_by_name(wide) == {n: col_rule[n] for n in dict.fromkeys(names)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions import detect as D
 from veilscan.functions.mask import MaskingRule, mask, merged_rules
 
 
@@ -62,4 +61,4 @@ def masked_findings_text(df: DataFrame, text_col: str, type_col: str) -> DataFra
     return df.withColumn(text_col + "_masked", mask_by_type(F.col(text_col), F.col(type_col)))
 
 
-__all__ = ["mask_table", "mask_preview", "column_types_by_name", "masked_findings_text", "D"]
+__all__ = ["mask_table", "mask_preview", "column_types_by_name", "masked_findings_text"]

@@ -10,11 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from veilscan import rules
 from veilscan.functions import classify as C
-from veilscan.functions import detect as D
 from veilscan.functions.mask import masking_rule
 from veilscan.operators import findings as FD
 from veilscan.operators import reports as R
@@ -22,7 +20,7 @@ from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.plans import standins
 from veilscan.session import TABLES, local_frame, read_table, read_tables
-from veilscan.sources.catalog import catalog_columns_from_frames, file_database_name
+from veilscan.sources.catalog import catalog_columns_from_frames
 from veilscan.sources.objects import source_summary as _source_summary
 from veilscan.sources.samples import sample_rows
 

@@ -233,5 +233,5 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 __all__ = [
     "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
-    "direct_item_scan", "masked_copy", "F",
+    "direct_item_scan", "masked_copy",
 ]
