@@ -23,30 +23,41 @@ def split_findings(findings: DataFrame, types_col: str = "pii_types") -> tuple[D
     return findings.where(_has_pii(types_col)), findings.where(~_has_pii(types_col))
 
 
+FINDING_COLUMNS = [
+    ("source_type", "string"), ("database", "string"), ("table_name", "string"), ("column_name", "string"),
+    ("column_type", "string"), ("object_path", "string"), ("size_bytes", "bigint"), ("item_count", "bigint"),
+    ("pii_types", "array<string>"), ("confidence", "map<string,double>"), ("data_classification", "string"),
+    ("access_level", "string"),
+]
+
+
+def _conform(df: DataFrame, source_type: str, renames: dict[str, str]) -> DataFrame:
+    cols = []
+    for name, typ in FINDING_COLUMNS:
+        if name == "source_type":
+            cols.append(F.lit(source_type).alias(name))
+            continue
+        src = renames.get(name, name)
+        if src in df.columns:
+            cols.append(F.col(src).cast(typ).alias(name))
+        else:
+            cols.append(F.lit(None).cast(typ).alias(name))
+    return df.select(*cols)
+
+
 def unified_findings(
     columns: DataFrame | None = None, objects: DataFrame | None = None, items: DataFrame | None = None
 ) -> DataFrame:
-    """One finding schema over the three kinds: ``source_type, database,
-    table_name, column_name, object_path, item_count, pii_types,
-    data_classification``."""
+    """One finding schema over the three kinds (``FINDING_COLUMNS``):
+    ``source_type`` is ``column``, ``object`` or ``item_table``; fields a
+    kind does not have are NULL."""
     parts = []
     if columns is not None:
-        parts.append(columns.select(
-            F.lit("column").alias("source_type"), "database", "table_name", "column_name",
-            F.lit(None).cast("string").alias("object_path"), F.lit(None).cast("long").alias("item_count"),
-            "pii_types", "data_classification"))
+        parts.append(_conform(columns, "column", {}))
     if objects is not None:
-        parts.append(objects.select(
-            F.lit("object").alias("source_type"), F.lit(None).cast("string").alias("database"),
-            F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("string").alias("column_name"),
-            F.col("path").cast("string").alias("object_path"), F.lit(None).cast("long").alias("item_count"),
-            "pii_types", "data_classification"))
+        parts.append(_conform(objects, "object", {"object_path": "path"}))
     if items is not None:
-        parts.append(items.select(
-            F.lit("item_table").alias("source_type"), F.lit(None).cast("string").alias("database"),
-            "table_name", F.lit(None).cast("string").alias("column_name"),
-            F.lit(None).cast("string").alias("object_path"), F.col("item_count").cast("long"),
-            "pii_types", "data_classification"))
+        parts.append(_conform(items, "item_table", {}))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
