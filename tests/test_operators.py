@@ -2,6 +2,8 @@
 
 import brute
 from conftest import SF_SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def test_scan_items_json_sampled_and_whole(spark):
     counts = {}
     for r in rows:
         counts[r["source"]] = counts.get(r["source"], 0) + 1
-        js = json.dumps(r.asDict(), ensure_ascii=False)
+        js = json.dumps(r.asDict())
         want.setdefault(r["source"], set()).update(brute.content_types(js))
     want = {k: v for k, v in want.items() if v}
     assert set(whole) == set(want)
@@ -216,3 +218,25 @@ def test_adding_clean_rows_changes_nothing(spark):
     a = sorted(tuple(r) for r in FD.content_findings(docs, "doc_id", "text").select("doc_id", "pii_types").collect())
     b = sorted(tuple(r) for r in FD.content_findings(docs.unionByName(clean), "doc_id", "text").select("doc_id", "pii_types").collect())
     assert a == b
+
+
+ITEM_ALPHABET = list("0123456789-./()@ _aZ|\n\"\\\x01") + ["é", "ü", "٣", "😀", "ß", "x", "5"]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet=ITEM_ALPHABET, min_size=1, max_size=30),
+                          st.text(alphabet=ITEM_ALPHABET, min_size=1, max_size=30)), min_size=15, max_size=15))
+def test_item_json_scan_equals_python_json_dumps(spark, pairs):
+    """Rows serialised as Python's json.dumps (ASCII escapes) give the same
+    types as the Spark scan; each row is its own item table."""
+    import json
+
+    rows = [(f"t{i}", a, b, i * 101) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "tid string, a string, b string, n long")
+    got = {r["table_name"]: list(r["pii_types"]) for r in FD.scan_items_json(df, table_col="tid").collect()}
+    want = {}
+    for tid, a, b, n in rows:
+        t = brute.content_types(json.dumps({"tid": tid, "a": a, "b": b, "n": n}))
+        if t:
+            want[tid] = t
+    assert got == want

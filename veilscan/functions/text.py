@@ -52,3 +52,20 @@ def suffix_filter(path: str | Column, suffixes=rules.DIRECT_SCAN_SUFFIXES) -> Co
         c = p.endswith(s)
         cond = c if cond is None else cond | c
     return cond
+
+
+# Python's json.dumps escapes each non-ASCII character as \uXXXX (a surrogate
+# pair for astral characters). For the fixed content patterns only the shape
+# of an escape matters: no match can cross its backslash or start at a hex
+# character (each follows a word character); only an EMAIL local part can
+# start at the "u", and it accepts hex digits and letters alike. So one
+# placeholder of that shape - backslash, "u", four non-digit word characters -
+# per non-ASCII character gives the same matches as the real escape; the
+# property test in tests/test_operators.py checks this against json.dumps.
+_NON_ASCII = r"[^\x00-\x7F]"
+_ESCAPE_SHAPE = r"\\uxxxx"  # Java replacement syntax for the literal \uxxxx
+
+
+def ascii_escaped(json_text: str | Column) -> Column:
+    """JSON text with non-ASCII characters in escape shape (see above)."""
+    return F.regexp_replace(_col(json_text), F.lit(_NON_ASCII), F.lit(_ESCAPE_SHAPE))

@@ -193,10 +193,15 @@ def scan_items_json(
     key_cols=None,
     max_items: int | None = None,
     profile: str | dict[str, str] = "content",
+    ascii_escape: bool = True,
 ) -> DataFrame:
     """Serialise each (sampled) row to JSON, run content detection on it, and
     union the types per table. Only tables with a hit are returned.
 
+    With ``ascii_escape`` non-ASCII characters take the shape of the
+    ``\\uXXXX`` escapes an ASCII JSON encoder writes (``text.ascii_escaped``),
+    so word boundaries next to them behave as in that form.
+
     ``table_col`` groups one DataFrame into many item tables; otherwise the
     whole DataFrame is one table called ``table_name``. ``max_items`` keeps the
     first n rows per table by ``key_cols`` (None = every row).
@@ -212,6 +217,8 @@ def scan_items_json(
         payload_cols = list(df.columns)
     sampled = df if max_items is None else sample_rows(df, max_items, key_cols, group_cols=[table_col])
     js = F.to_json(F.struct(*[F.col(c) for c in payload_cols]))
+    if ascii_escape:
+        js = T.ascii_escaped(js)
     patterns = D.profile_patterns(profile)
     # One projection: the JSON string is built once (common subexpression),
     # each pattern runs once; the aggregation is max() per flag so the
