@@ -35,11 +35,17 @@ CONTENT_CASES = [
     ("13/01/1990", []),
     ("31-12-1990", []),
     ("x01-31-1990", []),
+    ("e\u0301123-45-6789", ["SSN"]),
+    ("123-45-6789\u0301", ["SSN"]),
+    ("x\u203f555-123-4567", ["PHONE"]),
+    ("tel(555)\x1c123-4567", ["PHONE"]),
+    ("²123-45-6789", []),
+    ("123-45-6789\u200d", ["SSN"]),
     ("", []),
     (None, []),
 ]
 
-SIMPLE_PHONE = {"555-123-4567", "1 555-123-4567"}
+SIMPLE_PHONE = {"555-123-4567", "1 555-123-4567", "x\u203f555-123-4567"}
 
 
 def _types(spark, texts, profile="content"):
@@ -62,7 +68,7 @@ def test_simple_profile_truth_table(spark):
         assert ("PHONE" in got[i]) == (text in SIMPLE_PHONE), text
 
 
-ALPHABET = list("0123456789-./() @_aZé٣|\n") + [" ", "x", "1", "5"]
+ALPHABET = list("0123456789-./() @_aZé٣|\n") + [" ", "x", "1", "5", "\u0301", "\u203f", "\u200d", "\x1c", "²", "\u00a0"]
 
 
 @settings(max_examples=25, deadline=None)

@@ -10,6 +10,7 @@ Every function returns ``array<string>`` in rule order.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,20 +46,82 @@ def has_digit_run(text) -> Column:
     return (F.octet_length(t) >= 3) & t.rlike(DIGIT_RUN)
 
 
-# First characters a match of a fixed pattern can start with. Patterns whose
-# first node is an alternation are slow to reject a position; a one-character
-# lookahead in front rejects it at once. The match set is unchanged.
+# First characters a match of a fixed pattern can start with. Java tries every
+# position; a one-character lookahead in front rejects most of them with one
+# class test before any boundary or alternation work. The match set is
+# unchanged.
 _FIRST_CHAR: dict[str, str] = {
+    rules.CONTENT_PATTERNS["EMAIL"]: r"[A-Za-z0-9._%+-]",
+    rules.CONTENT_PATTERNS["SSN"]: r"\d",
     rules.CONTENT_PATTERNS["PHONE"]: r"[(\d]",
+    rules.CONTENT_PATTERNS["CREDIT_CARD"]: r"\d",
     rules.CONTENT_PATTERNS["DATE_OF_BIRTH"]: r"[01]",
+    rules.SIMPLE_PATTERNS["PHONE"]: r"\d",
 }
 
 
+# Python's ``re`` on str: \w is a Unicode letter or number or "_" (combining
+# marks, connector punctuation and joiners are not), \s also covers
+# \x1c-\x1f, \d is a decimal digit (Nd). Java's (?U) classes differ on the
+# first two, so those escapes are spelled out; \d keeps (?U).
+_PY_WORD = r"\p{L}\p{N}_"
+_PY_SPACE = r"\s\x1c-\x1f"
+_PY_BOUNDARY = rf"(?:(?<=[{_PY_WORD}])(?![{_PY_WORD}])|(?<![{_PY_WORD}])(?=[{_PY_WORD}]))"
+_PY_NON_BOUNDARY = rf"(?:(?<=[{_PY_WORD}])(?=[{_PY_WORD}])|(?<![{_PY_WORD}])(?![{_PY_WORD}]))"
+# A boundary right before a digit token holds iff the previous character is
+# not a word character; right after one, iff the next is not. One lookaround
+# instead of four.
+_PY_BOUNDARY_BEFORE_DIGIT = rf"(?<![{_PY_WORD}])"
+_PY_BOUNDARY_AFTER_DIGIT = rf"(?![{_PY_WORD}])"
+_ENDS_WITH_DIGIT_TOKEN = re.compile(r"(?<!\\)\\d(\{\d+(,\d*)?\})?$")
+
+
+def _python_classes(pattern: str) -> str:
+    r"""Rewrite \b \B \w \W \s \S of a Python pattern with Python's
+    definitions (inside and outside character classes)."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            e = pattern[i + 1]
+            if in_class:
+                out.append({"w": _PY_WORD, "s": _PY_SPACE}.get(e, c + e))
+            elif e == "b" and pattern.startswith("\\d", i + 2):
+                out.append(_PY_BOUNDARY_BEFORE_DIGIT)
+            elif e == "b" and _ENDS_WITH_DIGIT_TOKEN.search(pattern[:i]):
+                out.append(_PY_BOUNDARY_AFTER_DIGIT)
+            else:
+                out.append({
+                    "b": _PY_BOUNDARY, "B": _PY_NON_BOUNDARY,
+                    "w": f"[{_PY_WORD}]", "W": f"[^{_PY_WORD}]",
+                    "s": f"[{_PY_SPACE}]", "S": f"[^{_PY_SPACE}]",
+                }.get(e, c + e))
+            i += 2
+            continue
+        if c == "[" and not in_class:
+            in_class = True
+            out.append(c)
+            i += 1
+            # a "]" (after an optional "^") right after "[" is a literal
+            if i < len(pattern) and pattern[i] == "^":
+                out.append("^")
+                i += 1
+            if i < len(pattern) and pattern[i] == "]":
+                out.append("\\]")
+                i += 1
+            continue
+        if c == "]" and in_class:
+            in_class = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def java_regex(python_pattern: str) -> str:
-    """Python ``re`` pattern -> Java pattern with Unicode character classes
-    (``(?U)``), plus a first-character lookahead for known fixed patterns."""
+    """Python ``re`` pattern -> Java pattern with Python's Unicode classes,
+    plus a first-character lookahead for known fixed patterns."""
     first = _FIRST_CHAR.get(python_pattern)
-    return "(?U)" + (f"(?={first})" if first else "") + python_pattern
+    return "(?U)" + (f"(?={first})" if first else "") + _python_classes(python_pattern)
 
 
 def profile_patterns(profile: str | dict[str, str]) -> dict[str, str]:
