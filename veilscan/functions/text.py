@@ -60,12 +60,17 @@ def suffix_filter(path: str | Column, suffixes=rules.DIRECT_SCAN_SUFFIXES) -> Co
 # character (each follows a word character); only an EMAIL local part can
 # start at the "u", and it accepts hex digits and letters alike. So one
 # placeholder of that shape - backslash, "u", four non-digit word characters -
-# per non-ASCII character gives the same matches as the real escape; the
-# property test in tests/test_operators.py checks this against json.dumps.
-_NON_ASCII = r"[^\x00-\x7F]"
+# gives the same matches as the real escape. A run of escapes behaves like one
+# (each inner backslash only separates word characters no match can start
+# at), so each run of non-ASCII characters becomes one placeholder. Texts
+# whose byte and character lengths agree are pure ASCII and left as they are.
+# The property test in tests/test_operators.py checks this against json.dumps.
+_NON_ASCII_RUN = r"[^\x00-\x7F]+"
 _ESCAPE_SHAPE = r"\\uxxxx"  # Java replacement syntax for the literal \uxxxx
 
 
 def ascii_escaped(json_text: str | Column) -> Column:
     """JSON text with non-ASCII characters in escape shape (see above)."""
-    return F.regexp_replace(_col(json_text), F.lit(_NON_ASCII), F.lit(_ESCAPE_SHAPE))
+    t = _col(json_text)
+    shaped = F.regexp_replace(t, F.lit(_NON_ASCII_RUN), F.lit(_ESCAPE_SHAPE))
+    return F.when(F.octet_length(t) == F.length(t), t).otherwise(shaped)

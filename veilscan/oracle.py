@@ -173,7 +173,7 @@ def _items_cte() -> str:
     types = "concat_ws(',', " + ", ".join(
         f"CASE WHEN h{i} THEN {q(t)} END" for i, t in enumerate(rules.CONTENT_PATTERNS)
     ) + ")"
-    js = f"regexp_replace({js}, '[^\\x00-\\x7F]', '\\\\uxxxx', 'g')"
+    js = f"regexp_replace({js}, '[^\\x00-\\x7F]+', '\\\\uxxxx', 'g')"
     return f"""ij AS (SELECT source, {js} AS js FROM documents),
 iflags AS (SELECT source AS table_name, count(*) AS item_count, {flags} FROM ij GROUP BY source),
 it AS (SELECT table_name, item_count, {types} AS pii_types FROM iflags),
