@@ -189,11 +189,11 @@ def discovery_workflow(
     return DiscoveryResult(cat, cls, TG.source_tags(cls), counts, k, R.pii_type_counts(cls), report_path)
 
 
-def direct_object_scan(
-    spark: SparkSession, path: str, max_objects: int | None = rules.DIRECT_SCAN_MAX_OBJECTS
-) -> DataFrame:
+def direct_object_scan(spark: SparkSession, path: str, max_objects: int | None = None) -> DataFrame:
     """Text objects with a .txt/.csv/.json suffix: the simple detector on the
-    first 1000 characters; objects with hits as ``path, size_bytes, pii_types``."""
+    first 1000 characters; objects with hits as ``path, size_bytes, pii_types``.
+    ``max_objects`` optionally keeps the first n objects by path (the studied
+    tool's default was ``rules.DIRECT_SCAN_MAX_OBJECTS``)."""
     objs = direct_text_objects(spark, path, max_objects=max_objects)
     out = FD.head_char_findings(objs, ["path"], "text", keep_cols=["size_bytes"])
     return out.select("path", "size_bytes", "pii_types")
@@ -217,9 +217,10 @@ def scan_object_files(
     return out.withColumn("source_type", F.lit("object"))
 
 
-def direct_item_scan(df: DataFrame, key_cols, table_name: str, max_items: int | None = rules.MAX_ITEMS) -> DataFrame:
-    """The simple detector on every string attribute of the first
-    ``max_items`` rows by key."""
+def direct_item_scan(df: DataFrame, key_cols, table_name: str, max_items: int | None = None) -> DataFrame:
+    """The simple detector on every string attribute of every row, or of the
+    first ``max_items`` rows by key (the studied tool's default was
+    ``rules.MAX_ITEMS``)."""
     return FD.scan_string_attributes(df, key_cols, table_name, max_items=max_items)
 
 

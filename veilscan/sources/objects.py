@@ -25,7 +25,7 @@ def object_inventory(
     spark: SparkSession,
     path: str,
     prefix: str = "",
-    max_objects: int | None = rules.MAX_OBJECTS,
+    max_objects: int | None = None,
     glob: str | None = None,
 ) -> DataFrame:
     """Files under ``path``: ``path, size_bytes, modified``.
@@ -34,8 +34,9 @@ def object_inventory(
     read file contents (ReadSchema has no ``content``). ``prefix`` is a string
     prefix of the object key relative to ``path`` (object-store semantics):
     it is turned into a listing glob, so only the matching subtree is listed,
-    and then checked exactly. ``max_objects`` is a global cap in path order
-    (None = all).
+    and then checked exactly. ``max_objects`` is an optional global cap in
+    path order (None = every object; the studied tool's default was
+    ``rules.MAX_OBJECTS``).
     """
     root = path.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
