@@ -22,6 +22,27 @@ NODES = ["Exchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
          "TakeOrderedAndProject", "MapInPandas", "BatchEvalPython", "ArrowEvalPython"]
 
 
+NOTES = """## Reading the plans at scale
+
+- **Detection queries** (`content_findings` … `string_attribute_findings`) are one narrow stage:
+  Scan (pruned to the id and text columns) -> Project (text sample and the shared three-digit guard) ->
+  Generate (0 or 1 row per input row). They have no exchange, so the stage scales with the number of input
+  splits.
+- **`entity_merge`** has exactly one exchange, on `doc_id`, behind partial per-type max/min aggregates.
+- **`source_table_types`, `column_content_profile`, `table_classes`** group by a handful of keys (item table,
+  column or table). Their partial aggregation leaves at most one row per key per task, so a key holding a third
+  of all rows costs nothing extra.
+- **`tag_upsert`** uses a sort-based partial `max(struct(seq, value))`, because a struct buffer cannot live in
+  a hash-aggregate row. It is still combined map-side before the exchange, and the sort spills rather than
+  failing.
+- **`row_samples`** plans `WindowGroupLimit` twice: a partial limit before the exchange and a final one after.
+  A hot event type ships at most n rows per task.
+- **`registry`, `tag_definitions`**: AQE broadcast the small side at this size. With a large registry the same
+  plan stays a shuffled anti-join on `resource`, and the dedup and the join share one hash partitioning.
+- **`table_stats`** counts per file through `_metadata`: one small aggregation per table and no data columns read.
+"""
+
+
 def summarise(plan: str) -> dict:
     out = {}
     for n in NODES:
@@ -58,7 +79,7 @@ def main():
         lines.append(f"| `{name}` | {ops_s} | {partial} | {sch} |")
         print(name, ops_s, partial, flush=True)
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
-        f.write("\n".join(lines) + "\n")
+        f.write("\n".join(lines) + "\n\n" + NOTES)
 
 
 if __name__ == "__main__":
