@@ -73,6 +73,8 @@ def test_register_sources_and_catalog(spark, scratch):
     names = {(r["database"], r["table_name"], r["column_name"]) for r in cols}
     assert ("user_profiles_db", "user_profiles", "c_name") in names
     assert ("dynamodb_catalog", "orders", "o_custkey") in names
+    locs = {r["location"] for r in catalog_columns(spark, ["user_profiles_db"], with_location=True).collect()}
+    assert len(locs) == 1 and next(iter(locs)).endswith("customer.parquet")
     res = full_scan(spark, databases=["user_profiles_db", "dynamodb_catalog"])
     tot = res.totals.first()
     assert tot["total_tables"] == 2 and tot["total_columns"] == 11 and tot["pii_columns_found"] == 1

@@ -49,11 +49,14 @@ def catalog_columns_from_frames(
     return local_frame(spark, rows, CATALOG_SCHEMA)
 
 
-def catalog_columns(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
+def catalog_columns(
+    spark: SparkSession, databases: list[str] | None = None, with_location: bool = False
+) -> DataFrame:
     """Columns of every table in the listed databases (all if None).
 
     A database that cannot be read is skipped, as is a table whose schema
-    cannot be resolved.
+    cannot be resolved. ``with_location`` adds each table's storage location
+    (one catalog lookup per table, so off by default for large catalogs).
     """
     cat = spark.catalog
     dbs = databases if databases is not None else [d.name for d in cat.listDatabases()]
@@ -70,7 +73,7 @@ def catalog_columns(spark: SparkSession, databases: list[str] | None = None) ->
                 cols = cat.listColumns(f"{db}.{t.name}")
             except Exception:  # noqa: BLE001
                 continue
-            loc = _table_location(spark, db, t.name)
+            loc = _table_location(spark, db, t.name) if with_location else None
             for i, c in enumerate(cols):
                 rows.append((db, t.name, loc, c.name, c.dataType, i))
     return local_frame(spark, rows, CATALOG_SCHEMA)
