@@ -116,3 +116,40 @@ def test_mask_table_by_column_names(spark):
 
 def test_default_rules_cover_column_types():
     assert set(rules.DEFAULT_MASKING) == set(rules.COLUMN_TYPES)
+
+
+def test_mask_by_type_per_row(spark):
+    from veilscan.functions.mask import mask_by_type
+
+    rows = [("EMAIL", "jane.doe@company.com"), ("PHONE", "555-123-4567"), ("SSN", "123-45-6789"),
+            ("MEDICAL_RECORD", "abc"), ("NAME", None), ("AGE", "")]
+    df = spark.createDataFrame(rows, "t string, v string")
+    got = [r["m"] for r in df.select(mask_by_type("v", "t").alias("m")).collect()]
+    assert got == [brute.mask_value(v, t) for t, v in rows]
+
+
+def test_preview_and_masked_copy(spark, scratch):
+    from conftest import SF_SMALL
+
+    from veilscan.operators.masking import mask_preview
+    from veilscan.plans import standins
+    from veilscan.plans.scan import masked_copy
+    from veilscan.session import read_table
+    from veilscan.sources.sinks import write_findings
+
+    ppl = standins.people(read_table(spark, SF_SMALL, "customer"))
+    prev = mask_preview(ppl, n=5, key_cols="c_custkey").collect()
+    assert [r["c_custkey"] for r in prev] == [0, 1, 2, 3, 4]
+    assert all(r["ssn_masked"] in ("***-**-****", "*********") or "*" in r["ssn_masked"] for r in prev)
+    assert prev[1]["email"] != prev[1]["email_masked"]
+    out = masked_copy(ppl, f"{scratch}/masked")
+    back = spark.read.parquet(out)
+    assert back.count() == ppl.count()
+    orig = {r["c_custkey"]: r for r in ppl.collect()}
+    for r in back.collect():
+        o = orig[r["c_custkey"]]
+        assert r["email"] == brute.mask_value(o["email"], "EMAIL")
+        assert r["credit_card_number"] == brute.mask_value(o["credit_card_number"], "CREDIT_CARD")
+        assert r["salary"] == "[REDACTED_SALARY]" and r["c_mktsegment"] == o["c_mktsegment"]
+    path = write_findings(ppl.select("c_custkey", "c_mktsegment"), f"{scratch}/f", partition_by=["c_mktsegment"])
+    assert spark.read.parquet(path).count() == ppl.count()
