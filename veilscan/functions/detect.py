@@ -36,6 +36,12 @@ _NO_GUARD = (0, (), False)
 DIGIT_RUN = r"(?U)\d{3}"
 
 
+def min_match_bytes(patterns: dict[str, str]) -> int:
+    """A lower bound on the byte length of any text one of ``patterns`` can
+    match (0 when a pattern is not one of the fixed ones)."""
+    return min((_GUARDS.get(p, _NO_GUARD)[0] for p in patterns.values()), default=0)
+
+
 def needs_digit_run(patterns: dict[str, str]) -> bool:
     return any(_GUARDS.get(p, _NO_GUARD)[2] for p in patterns.values())
 

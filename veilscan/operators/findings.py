@@ -133,17 +133,24 @@ def analyze_table(columns: DataFrame, database: str | None = None, table: str |
     )
 
 
-def string_values(tables: dict[str, DataFrame]) -> DataFrame | None:
+def string_values(tables: dict[str, DataFrame], min_bytes: int = 0) -> DataFrame | None:
     """Every string cell of the given tables in long form
-    ``(table_name, column_name, value)``: a narrow unpivot per table, no
-    shuffle. None when no table has a string column."""
+    ``(table_name, column_name, value)``, as a union of one narrow branch per
+    string column. Each branch reads only its column (columnar formats read
+    each column once in total) and runs as scan -> filter -> project inside
+    whole-stage codegen; no generator, no shuffle. Cells shorter than
+    ``min_bytes`` (and NULLs when ``min_bytes`` > 0) are dropped in the branch.
+    None when no table has a string column."""
     parts = []
     for name, df in tables.items():
-        scols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-        if not scols:
-            continue
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in scols])
-        parts.append(df.select(F.lit(name).alias("table_name"), F.inline(cells)))
+        for f in df.schema.fields:
+            if not isinstance(f.dataType, StringType):
+                continue
+            part = df.select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
+                             F.col(f.name).alias("value"))
+            if min_bytes > 0:
+                part = part.where(F.octet_length("value") >= min_bytes)
+            parts.append(part)
     if not parts:
         return None
     out = parts[0]
@@ -161,10 +168,13 @@ def column_content_profile(
 
     One detection expression over the unpivoted cells and one grouped
     aggregation; per-type counters are partial aggregates, so each task
-    ships at most one row per (table, column) whatever the skew.
+    ships at most one row per (table, column) whatever the skew. Cells too
+    short for any pattern never leave the unpivot.
     """
-    cells = string_values(tables)
+    if min_rows < 1:
+        raise ValueError("min_rows must be >= 1: columns without a match are not reported")
     patterns = D.profile_patterns(profile)
+    cells = string_values(tables, D.min_match_bytes(patterns))
     text_col, digit_run, pre = _prepared(cells, ["table_name", "column_name"], "value", profile)
     hits = D.content_hits(text_col, profile, digit_run)
     g = pre.groupBy("table_name", "column_name").agg(
