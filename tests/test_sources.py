@@ -137,3 +137,19 @@ def test_run_scan_with_config(spark, scratch):
     want_objs = sum(1 for _, txt in names if brute.content_types(brute.head_bytes(txt)))
     assert t["objects_with_pii"] == want_objs and t["total_columns"] == 5 and t["pii_columns_found"] == 1
     assert t["total_sources"] == 1 + want_objs + t["item_tables_with_pii"]
+
+
+def test_cli_mask_and_scan(spark, scratch, capsys):
+    from veilscan.__main__ import main
+    from veilscan.plans import standins
+
+    src = f"{scratch}/people"
+    standins.people(read_table(spark, SF_SMALL, "customer")).write.parquet(src)
+    assert main(["mask", src, f"{scratch}/masked", "--rule", "NAME=full_mask"]) == 0
+    out = spark.read.parquet(f"{scratch}/masked")
+    assert out.where("c_name NOT RLIKE '^[*]+$'").count() == 0
+    assert main(["scan", "--tables", SF_SMALL]) == 0
+    line = [x for x in capsys.readouterr().out.splitlines() if x.startswith("{")][-1]
+    import json
+
+    assert json.loads(line)["total_columns"] == 63
