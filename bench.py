@@ -1,7 +1,7 @@
 """Bench: headline queries over the test tables, one JSON line on stdout.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; the best run per query is reported).
+BENCH_REPEAT (default 3; the best run per query is reported).
 
 Each query is executed in full through the ``noop`` sink (no driver
 collect). ``value`` is the sum of the per-query seconds. Throughput of the
@@ -56,7 +56,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="veilscan-bench")
 
     # Input volume of the text scan (for throughput figures).
