@@ -153,3 +153,18 @@ def test_cli_mask_and_scan(spark, scratch, capsys):
     import json
 
     assert json.loads(line)["total_columns"] == 63
+
+
+def test_discover_sources_and_workflow_from_roots(spark, scratch):
+    from veilscan.plans.scan import discovery_from_roots
+    from veilscan.sources import discover_sources
+
+    root = f"{scratch}/lake"
+    for name, table in (("user-profiles", "customer"), ("audit-trail", "events"), ("billing-exports", "orders")):
+        read_table(spark, SF_SMALL, table).write.parquet(f"{root}/{name}")
+    register_sources(spark, item_sources={"orders": f"{SF_SMALL}/orders.parquet"})
+    found = {(r["type"], r["name"]) for r in discover_sources(spark, [root], ["dynamodb_catalog"]).collect()}
+    assert {("file", "user-profiles"), ("file", "audit-trail"), ("file", "billing-exports"), ("table", "orders")} <= found
+    res = discovery_from_roots(spark, [root])
+    risk = {r["source"]: r["risk_level"] for r in res.classified.collect()}
+    assert risk == {"user-profiles": "HIGH", "audit-trail": "NO_RISK", "billing-exports": "MEDIUM"}

@@ -189,6 +189,18 @@ def discovery_workflow(
     return DiscoveryResult(cat, cls, TG.source_tags(cls), counts, k, R.pii_type_counts(cls), report_path)
 
 
+def discovery_from_roots(
+    spark: SparkSession, roots=(), report_path: str | None = None, fmt: str = "parquet"
+) -> DiscoveryResult:
+    """Discover the sub-folders of ``roots`` as file sources and run the
+    discovery workflow on them. The listing holds source names only."""
+    from veilscan.sources.catalog import discover_sources
+
+    found = discover_sources(spark, roots).collect()  # one row per source folder
+    files = {r["name"]: r["path"] for r in found if r["type"] == "file"}
+    return discovery_workflow(spark, files, None, report_path=report_path, fmt=fmt)
+
+
 def direct_object_scan(spark: SparkSession, path: str, max_objects: int | None = None) -> DataFrame:
     """Text objects with a .txt/.csv/.json suffix: the simple detector on the
     first 1000 characters; objects with hits as ``path, size_bytes, pii_types``.
@@ -233,6 +245,6 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 
 __all__ = [
-    "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
+    "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "discovery_from_roots", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
     "direct_item_scan", "masked_copy",
 ]

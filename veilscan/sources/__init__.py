@@ -3,6 +3,7 @@
 from veilscan.sources.catalog import (  # noqa: F401
     catalog_columns,
     catalog_columns_from_frames,
+    discover_sources,
     file_database_name,
     register_sources,
 )

@@ -127,3 +127,36 @@ def register_sources(
     for name, path in (item_sources or {}).items():
         register("table", name, path, rules.ITEM_TABLE_DATABASE)
     return local_frame(spark, results, REGISTRATION_SCHEMA)
+
+
+SOURCES_SCHEMA = StructType(
+    [StructField("type", StringType()), StructField("name", StringType()), StructField("path", StringType())]
+)
+
+
+def discover_sources(spark: SparkSession, roots=(), databases: list[str] | None = None) -> DataFrame:
+    """Data sources by name: each immediate sub-folder of each root is a file
+    source (``type='file'``, like a bucket), each table of the listed catalog
+    databases an item source (``type='table'``). Only folder and table names
+    are listed (one listing call per root), never the files inside."""
+    rows = []
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        for st in fs.listStatus(path):
+            if st.isDirectory():
+                p = st.getPath()
+                rows.append(("file", p.getName(), p.toString()))
+    for db in databases or []:
+        try:
+            tables = spark.catalog.listTables(db)
+        except Exception:  # noqa: BLE001 - an unreadable database is skipped
+            continue
+        for t in tables:
+            if not t.isTemporary:
+                rows.append(("table", t.name, f"{db}.{t.name}"))
+    return local_frame(spark, sorted(rows), SOURCES_SCHEMA)
