@@ -226,23 +226,31 @@ def scan_items_json(
     else:
         payload_cols = list(df.columns)
     sampled = df if max_items is None else sample_rows(df, max_items, key_cols, group_cols=[table_col])
-    js = F.to_json(F.struct(*[F.col(c) for c in payload_cols]))
-    if ascii_escape:
-        js = T.ascii_escaped(js)
     patterns = D.profile_patterns(profile)
-    # One projection: the JSON string is built once (common subexpression),
-    # each pattern runs once; the aggregation is max() per flag so the
-    # shuffle carries one partial row per table per task, whatever the skew.
-    pre = sampled.select(F.col(table_col).alias("table_name"), js.alias("__json"))
-    digit_run = None
+    # A match never crosses a JSON separator (quote, colon, comma, brace,
+    # space), so matching the row's JSON equals matching each field's own
+    # JSON {"c":value} and OR-ing. Per field, the cheap guards (length,
+    # literals, digit run) skip long texts the numeric id fields would
+    # otherwise let through. Each field's JSON and guard are projected once;
+    # the aggregation is max() per flag, so the shuffle carries one partial
+    # row per table per task, whatever the skew.
+    fields = []
+    for c in payload_cols:
+        js = F.to_json(F.struct(F.col(c)))
+        fields.append(T.ascii_escaped(js) if ascii_escape else js)
+    pre = sampled.select(F.col(table_col).alias("table_name"), *[j.alias(f"__j{i}") for i, j in enumerate(fields)])
+    digits = [None] * len(fields)
     if D.needs_digit_run(patterns):
-        pre = pre.select("*", D.has_digit_run(F.col("__json")).alias("__digits"))
-        digit_run = F.col("__digits")
-    flags = pre.select(
-        "table_name",
-        *[D.content_hit(F.col("__json"), t, p, digit_run=digit_run).alias(f"__hit_{i}")
-          for i, (t, p) in enumerate(patterns.items())],
-    )
+        pre = pre.select("*", *[D.has_digit_run(F.col(f"__j{i}")).alias(f"__d{i}") for i in range(len(fields))])
+        digits = [F.col(f"__d{i}") for i in range(len(fields))]
+    hits = []
+    for t, p in patterns.items():
+        cond = None
+        for i in range(len(fields)):
+            h = D.content_hit(F.col(f"__j{i}"), t, p, digit_run=digits[i])
+            cond = h if cond is None else cond | h
+        hits.append(cond)
+    flags = pre.select("table_name", *[h.alias(f"__hit_{i}") for i, h in enumerate(hits)])
     aggs = [F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(patterns))]
     if max_items is None:
         aggs.append(F.count(F.lit(1)).alias("item_count"))
