@@ -110,6 +110,11 @@ def test_full_scan_over_test_tables(spark):
     t = res.totals.first()
     assert t["total_columns"] == 63 and t["pii_columns_found"] == 6 and t["total_tables"] == 14
     assert res.column_tags.count() == 6 * 5 + 57 * 4
+    reg = {r["resource"]: r["status"] for r in res.registry.collect()}
+    assert len(reg) == 14 + t["objects_with_pii"] and set(reg.values()) == {"registered"}
+    again = full_scan(spark, tables=frames, objects=standins.document_objects(docs),
+                      existing_registry=res.registry.select("resource"), materialize=False)
+    assert {r["status"] for r in again.registry.collect()} == {"already_registered"}
 
 
 def test_scan_object_files_ranged_heads(spark, scratch):

@@ -36,6 +36,7 @@ class ScanResult:
     table_classes: DataFrame
     totals: DataFrame
     classification_summary: DataFrame
+    registry: DataFrame
 
     def findings(self) -> DataFrame:
         return R.unified_findings(self.column_findings, self.object_findings, self.item_findings)
@@ -55,11 +56,14 @@ def full_scan(
     object_sample_bytes: int = rules.OBJECT_SAMPLE_BYTES,
     database: str = "default",
     materialize: bool = True,
+    existing_registry: DataFrame | None = None,
 ) -> ScanResult:
     """The three-phase scan.
 
     With ``materialize`` the object and item findings are checkpointed once
     (reliably, in ``spark.checkpoint.dir``) and shared by all reports.
+    ``registry`` lists the resources the scan registers (tables, table
+    locations, objects with PII), merged into ``existing_registry``.
 
     Phase 1: column names of ``tables`` (DataFrames) or of the catalog
     ``databases``. Phase 2: ``objects`` ``(path, size_bytes, text)`` by the
@@ -89,6 +93,16 @@ def full_scan(
         objs = cut_lineage(objs) if objs is not None else None
         items = cut_lineage(items) if items is not None else None
     findings = R.unified_findings(cols, objs, items)
+    # Resources registered by the scan: every catalog table, each table
+    # location, and each object with PII (idempotent against a registry).
+    res = catalog.select(F.concat_ws(".", "database", "table_name").alias("resource")).unionByName(
+        catalog.where(F.col("location").isNotNull()).select(F.col("location").alias("resource"))
+    )
+    if objs is not None:
+        res = res.unionByName(objs.select(F.col("path").cast("string").alias("resource")))
+    registry = TG.register_resources(
+        existing_registry if existing_registry is not None else res.limit(0), res
+    )
     return ScanResult(
         catalog=catalog,
         column_findings=cols,
@@ -98,6 +112,7 @@ def full_scan(
         table_classes=TG.table_classification(cols),
         totals=R.scan_totals(catalog, cols, objs, items),
         classification_summary=R.classification_summary(findings),
+        registry=registry,
     )
 
 
