@@ -77,6 +77,7 @@ def cmd_scan(args) -> int:
     if args.out:
         write_findings(res.findings(), os.path.join(args.out, "findings"))
         write_findings(res.column_tags, os.path.join(args.out, "column_tags"))
+        write_findings(res.registry, os.path.join(args.out, "registry"))
         write_report(res.totals, os.path.join(args.out, "totals"))
         write_report(res.classification_summary, os.path.join(args.out, "classification_summary"))
     return 0
