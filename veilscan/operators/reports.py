@@ -74,21 +74,26 @@ def scan_totals(
     ``no_risk_columns_found`` counts columns only. ``catalog_tables`` is the
     table list (a table without columns still counts).
     """
-    u = unified_findings(column_findings, object_findings, item_findings).select("source_type", "pii_types")
-    tables = (
-        catalog_tables.select("database", "table_name").distinct()
-        .select(F.lit("table").alias("source_type"), F.array().cast("array<string>").alias("pii_types"))
-    )
-    st = F.col("source_type")
+    # Each input is aggregated on its own (its own map stage, so independent
+    # scans run concurrently) and only the partial rows are unioned and summed.
+    counters = ["total_tables", "total_columns", "pii_columns_found", "no_risk_columns_found",
+                "objects_with_pii", "item_tables_with_pii"]
+
+    def part(df: DataFrame, **aggs) -> DataFrame:
+        row = df.agg(*[a.alias(k) for k, a in aggs.items()])
+        return row.select(*[(F.col(k) if k in aggs else F.lit(0)).cast("long").alias(k) for k in counters])
+
     has = _has_pii()
-    f = u.unionByName(tables).agg(
-        F.count_if(st == "table").alias("total_tables"),
-        F.count_if(st == "column").alias("total_columns"),
-        F.count_if((st == "column") & has).alias("pii_columns_found"),
-        F.count_if((st == "column") & ~has).alias("no_risk_columns_found"),
-        F.count_if((st == "object") & has).alias("objects_with_pii"),
-        F.count_if((st == "item_table") & has).alias("item_tables_with_pii"),
-    )
+    parts = [
+        part(catalog_tables.select("database", "table_name").distinct(), total_tables=F.count(F.lit(1))),
+        part(column_findings, total_columns=F.count(F.lit(1)), pii_columns_found=F.count_if(has),
+             no_risk_columns_found=F.count_if(~has)),
+    ]
+    if object_findings is not None:
+        parts.append(part(object_findings, objects_with_pii=F.count_if(has)))
+    if item_findings is not None:
+        parts.append(part(item_findings, item_tables_with_pii=F.count_if(has)))
+    f = reduce(lambda x, y: x.unionByName(y), parts).agg(*[F.sum(k).cast("long").alias(k) for k in counters])
     return f.select(
         (F.col("total_tables") + F.col("objects_with_pii") + F.col("item_tables_with_pii")).alias("total_sources"),
         F.col("total_tables"),
