@@ -100,32 +100,36 @@ def register_sources(
     file_sources: dict[str, str] | None = None,
     item_sources: dict[str, str] | None = None,
     fmt: str = "parquet",
+    parallelism: int = 8,
 ) -> DataFrame:
     """Register each source as an external table on its path.
 
     File sources get a database ``<name with - as _>_db`` and a table named
     after the source; item tables share one database. Status is
     ``cataloged`` or ``error`` with the message; one failure does not stop the
-    rest. Schemas are inferred by the data source (footer/metadata reads).
+    rest. Schemas are inferred by the data source (footer/metadata reads);
+    independent sources are registered ``parallelism`` at a time (Spark runs
+    jobs from several threads concurrently). Rows keep the input order.
     """
-    results = []
+    from concurrent.futures import ThreadPoolExecutor
 
     def register(kind: str, name: str, path: str, db: str):
         table = _ident(name)
         try:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
             spark.read.format(fmt).load(path).schema  # infer; raises on a bad path
             full = f"`{db}`.`{table}`"
             spark.sql(f"DROP TABLE IF EXISTS {full}")
             spark.catalog.createTable(f"{db}.{table}", path=path, source=fmt)
-            results.append((kind, name, rules.CATALOGED, db, table, path, None))
+            return (kind, name, rules.CATALOGED, db, table, path, None)
         except Exception as e:  # noqa: BLE001 - recorded per source
-            results.append((kind, name, rules.CATALOG_ERROR, db, table, path, str(e).splitlines()[0][:500]))
-
-    for name, path in (file_sources or {}).items():
-        register("file", name, path, file_database_name(name))
-    for name, path in (item_sources or {}).items():
-        register("table", name, path, rules.ITEM_TABLE_DATABASE)
+            return (kind, name, rules.CATALOG_ERROR, db, table, path, str(e).splitlines()[0][:500])
+
+    todo = [("file", n, p, file_database_name(n)) for n, p in (file_sources or {}).items()]
+    todo += [("table", n, p, rules.ITEM_TABLE_DATABASE) for n, p in (item_sources or {}).items()]
+    for db in dict.fromkeys(t[3] for t in todo):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(lambda t: register(*t), todo))
     return local_frame(spark, results, REGISTRATION_SCHEMA)
 
 
