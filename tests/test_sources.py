@@ -173,3 +173,17 @@ def test_discover_sources_and_workflow_from_roots(spark, scratch):
     res = discovery_from_roots(spark, [root])
     risk = {r["source"]: r["risk_level"] for r in res.classified.collect()}
     assert risk == {"user-profiles": "HIGH", "audit-trail": "NO_RISK", "billing-exports": "MEDIUM"}
+
+
+def test_register_many_sources_concurrently(spark, scratch):
+    from veilscan.session import TABLES
+
+    files = {f"src-{i:02d}-{t}": f"{SF_SMALL}/{t}.parquet" for i, t in enumerate(TABLES)}
+    files.update({f"missing-{i}": f"{scratch}/none-{i}" for i in range(4)})
+    rows = register_sources(spark, file_sources=files, parallelism=6).collect()
+    assert [r["name"] for r in rows] == list(files)
+    status = {r["name"]: r["status"] for r in rows}
+    assert sum(v == "cataloged" for v in status.values()) == len(TABLES)
+    assert all(status[f"missing-{i}"] == "error" for i in range(4))
+    cols = catalog_columns(spark, [f"src_{i:02d}_{t}_db" for i, t in enumerate(TABLES)]).count()
+    assert cols == 63
