@@ -33,6 +33,12 @@ STRING_COLUMNS: dict[str, list[str]] = {
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+# Distinct web hosts of the pages, as source names.
+HOSTS = (
+    "SELECT DISTINCT h AS name FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages) "
+    "WHERE h <> ''"
+)
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -120,13 +126,14 @@ def _column_tags_cte() -> str:
 )"""
 
 
-def _sources_cte() -> str:
+def _sources_cte(src_select: str | None = None) -> str:
     risk = (
         "CASE WHEN len(l) = 0 THEN 'NO_RISK' "
         f"WHEN len(l) >= {rules.SOURCE_HIGH_RISK_MIN_TYPES} THEN 'HIGH' ELSE 'MEDIUM' END"
     )
+    src = src_select or "SELECT DISTINCT table_name AS name FROM cat"
     return f"""{_catalog_cte()},
-src AS (SELECT DISTINCT table_name AS name FROM cat),
+src AS ({src}),
 sl AS (SELECT name, {source_types_list('name')} AS l FROM src),
 scls AS (
   SELECT name AS source, l, array_to_string(l, ',') AS pii_types, {risk} AS risk_level, true AS tagged FROM sl
@@ -396,6 +403,14 @@ SELECT source AS table_name, s.k AS tag_key, s.v AS tag_value FROM (
   SELECT source, unnest([struct_pack(k := 'DataClassification', v := risk_level), struct_pack(k := 'AccessLevel', v := access_level),
                          struct_pack(k := 'PIIType', v := pii_type), struct_pack(k := 'DataGovernance', v := data_governance)]) AS s
   FROM stags)""",
+        "page_host_classes": f"WITH {_sources_cte(HOSTS)}\nSELECT source, pii_types, risk_level, access_level, pii_type, data_governance FROM stags",
+        "page_host_kpis": f"""
+WITH {_sources_cte(HOSTS)}
+SELECT file_sources + table_sources AS total_sources, successful AS cataloged_sources,
+  high_risk + medium_risk AS pii_sources, high_risk AS high_risk_sources,
+  least(100.0, tagged_resources / greatest(1, high_risk + medium_risk) * 100.0)::DOUBLE AS compliance_score,
+  file_sources, table_sources, greatest(0, file_sources + table_sources - successful) AS uncataloged,
+  high_risk, medium_risk, low_risk FROM counts""",
         "discovery_kpis": f"""
 WITH {_sources_cte()}
 SELECT file_sources + table_sources AS total_sources, successful AS cataloged_sources,

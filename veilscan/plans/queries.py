@@ -173,6 +173,39 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat, TG.classify_sources(cat)
 
 
+HOST_PATTERN = r"^https?://([^/?#]+)"
+
+
+def _host_sources(spark: SparkSession, sf_dir: str):
+    """Every distinct web host in ``pages.url`` as a cataloged source."""
+    pages = read_table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", HOST_PATTERN, 1).alias("name")).where(F.col("name") != "").distinct()
+    cat = hosts.select(
+        F.lit("file").alias("type"), "name", F.lit(rules.CATALOGED).alias("status"),
+        F.concat(F.replace("name", F.lit("-"), F.lit("_")), F.lit(rules.FILE_DATABASE_SUFFIX)).alias("database"),
+    )
+    return cat, TG.classify_sources(cat)
+
+
+def page_host_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 + C4 + C5 over the web hosts of all pages (sources derived from data)."""
+    _, cls = _host_sources(spark, sf_dir)
+    return cls.select(
+        "source",
+        C.types_string("pii_types").alias("pii_types"),
+        "risk_level",
+        F.col("tags")["AccessLevel"].alias("access_level"),
+        F.col("tags")["PIIType"].alias("pii_type"),
+        F.col("tags")["DataGovernance"].alias("data_governance"),
+    )
+
+
+def page_host_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 -> R6 over the web-host sources."""
+    cat, cls = _host_sources(spark, sf_dir)
+    return R.kpis(R.run_counts(cat, cls))
+
+
 def source_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 + C4 + C5: the source-name profile over the table names."""
     _, cls = _classified(spark, sf_dir)
@@ -340,6 +373,8 @@ QUERIES = {
     "column_tags": column_tags,
     "table_classes": table_classes,
     "source_classes": source_classes,
+    "page_host_classes": page_host_classes,
+    "page_host_kpis": page_host_kpis,
     "source_tag_table": source_tag_table,
     "discovery_kpis": discovery_kpis,
     "pii_type_counts": pii_type_counts,
