@@ -197,7 +197,7 @@ def test_scan_totals_definitions(spark):
 def test_kpis_clip_and_counts(spark):
     cat = spark.createDataFrame(
         [("file", "user-profiles", "cataloged", "user_profiles_db"), ("file", "audit-trail", "cataloged", "a_db"),
-         ("table", "payments", "error", "dynamodb_catalog")],
+         ("table", "payments", "error", rules.ITEM_TABLE_DATABASE)],
         "type string, name string, status string, database string",
     )
     cls = TG.classify_sources(cat)

@@ -5,6 +5,7 @@ import os
 import brute
 from conftest import SF_SMALL
 
+from veilscan import rules
 from veilscan.plans.scan import direct_object_scan, discovery_workflow, full_scan
 from veilscan.session import read_table, read_tables
 from veilscan.sources import catalog_columns, object_inventory, read_text_objects, register_sources, table_stats
@@ -68,14 +69,14 @@ def test_register_sources_and_catalog(spark, scratch):
     rows = {r["name"]: r for r in reg.collect()}
     assert rows["user-profiles"]["status"] == "cataloged" and rows["user-profiles"]["database"] == "user_profiles_db"
     assert rows["broken-bucket"]["status"] == "error" and rows["broken-bucket"]["error"]
-    assert rows["orders"]["database"] == "dynamodb_catalog"
-    cols = catalog_columns(spark, ["user_profiles_db", "dynamodb_catalog", "no_such_db"]).collect()
+    assert rows["orders"]["database"] == rules.ITEM_TABLE_DATABASE
+    cols = catalog_columns(spark, ["user_profiles_db", rules.ITEM_TABLE_DATABASE, "no_such_db"]).collect()
     names = {(r["database"], r["table_name"], r["column_name"]) for r in cols}
     assert ("user_profiles_db", "user_profiles", "c_name") in names
-    assert ("dynamodb_catalog", "orders", "o_custkey") in names
+    assert (rules.ITEM_TABLE_DATABASE, "orders", "o_custkey") in names
     locs = {r["location"] for r in catalog_columns(spark, ["user_profiles_db"], with_location=True).collect()}
     assert len(locs) == 1 and next(iter(locs)).endswith("customer.parquet")
-    res = full_scan(spark, databases=["user_profiles_db", "dynamodb_catalog"])
+    res = full_scan(spark, databases=["user_profiles_db", rules.ITEM_TABLE_DATABASE])
     tot = res.totals.first()
     assert tot["total_tables"] == 2 and tot["total_columns"] == 11 and tot["pii_columns_found"] == 1
 
@@ -168,7 +169,7 @@ def test_discover_sources_and_workflow_from_roots(spark, scratch):
     for name, table in (("user-profiles", "customer"), ("audit-trail", "events"), ("billing-exports", "orders")):
         read_table(spark, SF_SMALL, table).write.parquet(f"{root}/{name}")
     register_sources(spark, item_sources={"orders": f"{SF_SMALL}/orders.parquet"})
-    found = {(r["type"], r["name"]) for r in discover_sources(spark, [root], ["dynamodb_catalog"]).collect()}
+    found = {(r["type"], r["name"]) for r in discover_sources(spark, [root], [rules.ITEM_TABLE_DATABASE]).collect()}
     assert {("file", "user-profiles"), ("file", "audit-trail"), ("file", "billing-exports"), ("table", "orders")} <= found
     res = discovery_from_roots(spark, [root])
     risk = {r["source"]: r["risk_level"] for r in res.classified.collect()}
