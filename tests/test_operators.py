@@ -190,6 +190,9 @@ def test_scan_totals_definitions(spark):
     u = R.unified_findings(cols, objs, items)
     summary = {x["data_classification"]: (x["count"], list(x["tables"])) for x in R.classification_summary(u).collect()}
     assert summary == {"MEDIUM_RISK": (2, ["d.t1", "unknown"]), "NO_RISK": (2, ["d.t1", "d.t2"]), "CRITICAL_RISK": (1, ["it"])}
+    merged = {x["data_classification"]: (x["count"], list(x["tables"]))
+              for x in R.classification_summary_of(cols, objs, items).collect()}
+    assert merged == summary
     with_pii, without = R.split_findings(u)
     assert with_pii.count() == 3 and without.count() == 2
 

@@ -121,6 +121,29 @@ def classification_summary(findings: DataFrame) -> DataFrame:
     )
 
 
+def classification_summary_of(
+    columns: DataFrame | None = None, objects: DataFrame | None = None, items: DataFrame | None = None
+) -> DataFrame:
+    """R3 over the three finding kinds, each summarised on its own first (its
+    own map stage, so independent scans run concurrently), then merged: per
+    class the summed counts and the sorted union of the table sets. Same
+    result as ``classification_summary(unified_findings(...))``."""
+    parts = []
+    if columns is not None:
+        parts.append(columns.groupBy("data_classification").agg(
+            F.count(F.lit(1)).alias("n"), F.collect_set(F.concat_ws(".", "database", "table_name")).alias("t")))
+    if objects is not None:
+        parts.append(objects.groupBy("data_classification").agg(
+            F.count(F.lit(1)).alias("n"), F.array(F.lit("unknown")).alias("t")))
+    if items is not None:
+        parts.append(items.groupBy("data_classification").agg(
+            F.count(F.lit(1)).alias("n"), F.collect_set("table_name").alias("t")))
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    return u.groupBy("data_classification").agg(
+        F.sum("n").alias("count"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tables")
+    )
+
+
 def run_counts(catalog_results: DataFrame, classified: DataFrame) -> DataFrame:
     """R4 as one row: sources by kind, cataloged / failed, per-risk counts,
     tagged resources, total classified. LOW is counted for parity but the

@@ -291,12 +291,11 @@ def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 over columns, objects and item tables together."""
     catalog = _catalog(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents")
-    u = R.unified_findings(
+    out = R.classification_summary_of(
         FD.column_name_findings(catalog),
         FD.scan_objects(standins.document_objects(docs)),
         FD.scan_items_json(docs, table_col="source"),
     )
-    out = R.classification_summary(u)
     return out.select("data_classification", "count", F.concat_ws(",", "tables").alias("tables"))
 
 

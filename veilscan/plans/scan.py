@@ -111,7 +111,7 @@ def full_scan(
         column_tags=TG.column_tags(cols),
         table_classes=TG.table_classification(cols),
         totals=R.scan_totals(catalog, cols, objs, items),
-        classification_summary=R.classification_summary(findings),
+        classification_summary=R.classification_summary_of(cols, objs, items),
         registry=registry,
     )
 
