@@ -188,3 +188,12 @@ def test_register_many_sources_concurrently(spark, scratch):
     assert all(status[f"missing-{i}"] == "error" for i in range(4))
     cols = catalog_columns(spark, [f"src_{i:02d}_{t}_db" for i, t in enumerate(TABLES)]).count()
     assert cols == 63
+
+
+def test_item_sample_without_declared_key(spark):
+    from veilscan.plans.scan import default_sort_keys
+
+    docs = read_table(spark, SF_SMALL, "documents")
+    assert default_sort_keys(docs) == ["doc_id", "text", "lang", "source", "n_chars"]
+    res = full_scan(spark, tables={"documents": docs}, item_tables={"documents": docs}, max_items=5, materialize=False)
+    assert res.totals.first()["item_tables_with_pii"] in (0, 1)

@@ -26,6 +26,17 @@ from veilscan.sources.objects import direct_text_objects
 from veilscan.sources.sinks import write_report
 
 
+def default_sort_keys(df: DataFrame) -> list[str]:
+    """All atomic columns, in schema order: a total order for first-n samples
+    of a table without a declared key (maps and nested types are skipped)."""
+    from pyspark.sql.types import ArrayType, MapType, StructType
+
+    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    if not keys:
+        raise ValueError("no orderable column to sample by; pass item_keys")
+    return keys
+
+
 @dataclass
 class ScanResult:
     catalog: DataFrame
@@ -81,7 +92,7 @@ def full_scan(
     if item_tables:
         parts = []
         for name, df in item_tables.items():
-            keys = (item_keys or {}).get(name)
+            keys = (item_keys or {}).get(name) or (default_sort_keys(df) if max_items is not None else None)
             parts.append(FD.scan_items_json(df, table_name=name, key_cols=keys, max_items=max_items))
         items = parts[0]
         for p in parts[1:]:
