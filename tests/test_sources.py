@@ -201,3 +201,19 @@ def test_item_sample_without_declared_key(spark):
     first5 = docs.orderBy(*default_sort_keys(docs)).limit(5).collect()
     hit = any(brute.content_types(json.dumps(r.asDict())) for r in first5)
     assert res.totals.first()["item_tables_with_pii"] == int(hit)
+
+
+def test_unreadable_objects_and_missing_roots(spark, scratch):
+    from veilscan.operators import findings as FD
+    from veilscan.sources import discover_sources
+    from veilscan.sources.heads import object_heads
+
+    root, names = _write_docs(spark, scratch, n=6)
+    inv = object_inventory(spark, root, max_objects=None)
+    gone = spark.createDataFrame([(f"{scratch}/no-such-object.txt", 10)], "path string, size_bytes long")
+    heads = {r["path"].replace("file:", ""): r["text"] for r in object_heads(inv.select("path", "size_bytes").unionByName(gone), 64).collect()}
+    assert heads[f"{scratch}/no-such-object.txt"] is None
+    assert all(heads[p] == brute.head_bytes(t, 64) for p, t in names)
+    found = FD.scan_objects(object_heads(gone, 64)).count()
+    assert found == 0
+    assert discover_sources(spark, [f"{scratch}/missing-root"]).count() == 0
