@@ -135,22 +135,25 @@ def analyze_table(columns: DataFrame, database: str | None = None, table: str |
 
 def string_values(tables: dict[str, DataFrame], min_bytes: int = 0) -> DataFrame | None:
     """Every string cell of the given tables in long form
-    ``(table_name, column_name, value)``, as a union of one narrow branch per
-    string column. Each branch reads only its column (columnar formats read
-    each column once in total) and runs as scan -> filter -> project inside
-    whole-stage codegen; no generator, no shuffle. Cells shorter than
-    ``min_bytes`` (and NULLs when ``min_bytes`` > 0) are dropped in the branch.
-    None when no table has a string column."""
+    ``(table_name, column_name, value)``: one narrow branch per table (so the
+    plan grows with the number of tables, not columns) that unpivots the
+    table's string columns with ``inline``; no shuffle. Cells shorter than
+    ``min_bytes`` (and NULLs when ``min_bytes`` > 0) are dropped right after
+    the unpivot. None when no table has a string column."""
     parts = []
     for name, df in tables.items():
-        for f in df.schema.fields:
-            if not isinstance(f.dataType, StringType):
-                continue
-            part = df.select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                             F.col(f.name).alias("value"))
-            if min_bytes > 0:
-                part = part.where(F.octet_length("value") >= min_bytes)
-            parts.append(part)
+        scols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        if not scols:
+            continue
+        if len(scols) == 1:
+            part = df.select(F.lit(name).alias("table_name"), F.lit(scols[0]).alias("column_name"),
+                             F.col(scols[0]).alias("value"))
+        else:
+            cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in scols])
+            part = df.select(F.lit(name).alias("table_name"), F.inline(cells))
+        if min_bytes > 0:
+            part = part.where(F.octet_length("value") >= min_bytes)
+        parts.append(part)
     if not parts:
         return None
     out = parts[0]
