@@ -110,8 +110,8 @@ def mix(
     fan_in: int = 64,
     seed: int = 17,
 ) -> DataFrame:
-    """One row for each row of ``rows`` (``id_col``, ``source``, ``size``): those and source_size,
-    target and copies (int, 0 to ``most``)."""
+    """One row for each row of ``rows`` (``id_col``, ``source``, ``size``): those and repeat (the
+    running number among rows that are equal in them), source_size, target and copies (0 to ``most``)."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"))
     targets = staged(source_targets(rows, "source", "size", weights, most), "mix-targets")
     largest = targets.agg(F.coalesce(F.max("documents"), F.lit(0)).alias("n")).first()["n"]
@@ -156,7 +156,31 @@ def mix(
         F.col("row.id").alias(id_col),
         F.col("row.source").alias(source),
         F.col("row.size").alias(size),
+        "row.repeat",
         "row.source_size",
         "row.target",
         (F.col("row.whole") + F.col("up").cast("int")).alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """``docs`` with all its columns, each row as often as the mix takes it."""
+    key = ("__id", "__source", "__size")
+    rows = docs.select("*", F.col(id_col).alias("__id"), F.col(source).alias("__source"), word_count(F.col("text")).alias("__size"))
+    copies = mix(rows.select(*key), *key).where("copies > 0")
+    copies = copies.select(
+        *(F.col(c).alias(f"{c}2") for c in key),
+        F.col("repeat").alias("__repeat2"),
+        F.col("copies").alias("__copies"),
+        F.xxhash64(*key).alias("__key2"),
+    )
+    rows = rows.withColumn("__key", F.xxhash64(*key)).repartition("__key")
+    numbered = rows.withColumn(
+        "__repeat", F.row_number().over(Window.partitionBy("__key", *key).orderBy(F.xxhash64("text"))) - 1
+    )
+    same = (F.col("__key") == F.col("__key2")) & (F.col("__repeat") == F.col("__repeat2"))
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}2"))
+    taken = numbered.join(copies, same)
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__time")
+    return taken.select(*docs.columns, times).drop("__time")

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.session import read_table
+
 from .common import documents, text_or_empty
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .langid import held_out as language_held_out
+from .langid import predict_language
+from .lm_score import lm_scores
+from .minhash import near_duplicates
 from .mixing import mix, word_count
+from .quality import THRESHOLD, quality_scores
+from .quality import held_out as quality_held_out
 from .sharding import shard_slots
+from .suffix_dedup import remove_repeats
+from .tokens import read_documents, write_shards
 
 SHARDS = 16
 
@@ -42,10 +53,73 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes under strings of 400 bytes that start more than once."""
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        (F.size("edges") / 2).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, copied or re-parameterised: one row for each pair."""
+    return contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by the byte-level network."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scores = quality_scores(docs, read_table(spark, sf_dir, "labels"))
+    return scores.select(
+        "doc_id",
+        quality_held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by the n-gram filters."""
+    found = predict_language(documents(spark, sf_dir))
+    return found.select("doc_id", language_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary; every executor's machine has the files."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in wavelet-matrix shards, and each document read back from them."""
+    return read_documents(write_shards(documents(spark, sf_dir), vocabulary()))
+
+
+def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts by the context tree, with the base of single words."""
+    return lm_scores(documents(spark, sf_dir))
+
+
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_template_decontamination": op5_template_decontamination,
+    "op6_byte_quality": op6_byte_quality,
+    "op7_language_filters": op7_language_filters,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
+    "op9_context_tree_scores": op9_context_tree_scores,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
