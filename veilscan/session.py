@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the workers of ``spark``'s cluster.
+
+    Spark hands a zip of the sources to every executor (once per context). Nothing is done where
+    PYTHONPATH names the package's folder already or the package is installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    named = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in named or "site-packages" in root or getattr(context, "_veilscan_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="veilscan-src-"), "veilscan.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(os.path.join(root, "veilscan")):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._veilscan_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
