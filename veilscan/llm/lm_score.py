@@ -233,9 +233,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, max_grams
         return pa.table({"batch": batch, "word": distinct.view(np.int64), "n": n})
 
     words = dealt.groupBy("batch").applyInArrow(batch_words, "batch bigint, word bigint, n bigint").repartition(batches, "word")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("distinct_tokens"))
-    known = words.select("batch", "word").join(counts, "word").select("batch", "word", "c")
+    # all three uses of the words read the same columns, so that they are dealt only once
+    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.max("batch").alias("last"))
+    totals = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"),
+        F.count_if(F.col("c") > 0).alias("distinct_tokens"),
+        F.max("last").alias("last"),
+    )
+    known = words.join(counts, "word").select("batch", "word", "c", "n", "last")
 
     def batch_scores(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("word").to_numpy().view(np.uint64))
@@ -268,8 +273,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, max_grams
     kind = dealt.schema["id"].dataType.simpleString()
     shape = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, log_sum double, score double, n_bytes bigint"
     scored = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(batch_scores, shape)
-    # totals is a single row
-    scored = scored.join(F.broadcast(totals))
+    both = totals.select(F.struct("train_tokens", "distinct_tokens", "last")).scalar()
+    scored = scored.withColumn("both", both).select("*", "both.train_tokens", "both.distinct_tokens")
     size = F.col("train_tokens") + F.col("distinct_tokens") + 1
     return scored.select(
         F.col("id").alias(id_col),
