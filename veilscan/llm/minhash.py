@@ -14,11 +14,11 @@ the work follows the larger of its weight and k ln k. The chance that two docume
 dart is their weighted similarity.
 
 Joining. Each band of coordinates is hashed; documents that share a band are candidates. Within a
-band's group each member is compared with the group's pivot, and pivots change from round to
-round; after each round the links are merged into classes, and only groups that still hold
-several classes go on. What is left after ``rounds`` is compared exactly: every member outside
+band's group each member is compared with the group's pivot (with others in further rounds, if
+asked for); the links are merged into classes, and only groups that still hold several classes go
+on. What is left is compared exactly: every member outside
 the group's largest class with every member of another class, in pairs that were not compared
-before. Each comparison counts the shingles (32 bits of their hashes) of both whole texts. So within the groups no link is
+before and that exact bounds do not rule out (see :func:`remaining_pairs`). Each comparison counts the shingles (32 bits of their hashes) of both whole texts. So within the groups no link is
 lost; a pair of similarity 0.8 shares no group with probability (1 - 0.8^rows)^bands, 7 in 10,000
 with the defaults.
 
@@ -30,6 +30,8 @@ Rows that repeat that doc_id in the class all have kept true. An empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from .textbytes import mix64, prefix_hash, span_hash, text_slices, words
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
+LACK_BITS = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +130,19 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets (sorted shingles, weights)."""
+def common_weight(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes, bytes]:
+    """The weight that two sets (sorted shingles, weights) share, and which shingles of either the
+    other lacks in part or whole, as bits by the shingles' last ``LACK_BITS`` values."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
-    total = int(a[1].sum()) + int(b[1].sum()) - common
-    return common / total if total else 0.0
+    least = np.minimum(a[1][i], b[1][j])
+    lacks = []
+    for (shingle, weight), at in ((a, i), (b, j)):
+        lacking = np.ones(len(shingle), bool)
+        lacking[at[least >= weight[at]]] = False
+        bits = np.zeros(LACK_BITS, bool)
+        bits[shingle[lacking] % LACK_BITS] = True
+        lacks.append(np.packbits(bits).tobytes())
+    return int(least.sum()), *lacks
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +178,47 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [[np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in range(2, 6)]
-        close = [similarity((a, v), (b, w)) >= SIMILARITY for a, v, b, w in zip(*sets, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+        found = [common_weight((a, v), (b, w)) for a, v, b, w in zip(*sets, strict=True)]
+        totals = [np.array([x.sum() for x in sets[c]], np.int64) for c in (1, 3)]
+        common = np.array([f[0] for f in found], np.int64)
+        lacks = [np.frombuffer(b"".join(f[k] for f in found), np.int64) for k in (1, 2)]
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (LACK_BITS // 64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(common),
+                pa.array(common / np.maximum(1, totals[0] + totals[1] - common)),
+                *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in lacks],
+            ],
+            names=["a", "b", "common", "similarity", "of_a", "of_b"],
+        )
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shingle, weight = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in (1, 2))
+        node = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in shingle]))
+        values = [pa.array(np.concatenate([*x, np.zeros(0, "<u4")]).astype(np.int64)) for x in (shingle, weight)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(node), *values], names=["node", "shingle", "weight"])
+
+
+def own_weights(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, own: the weight of the shingles that no other of ``nodes`` has."""
+    some = sets.join(nodes, "node", "left_semi").select("node", "shingles", "weights")
+    rows = some.mapInArrow(_shingle_rows, "node binary, shingle bigint, weight bigint")
+    found = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("one"))
+    return found.where("n = 1").groupBy("one.node").agg(F.sum("one.weight").alias("own"))
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+    """The pairs (a, b) with their common weight, similarity, and what of either the other lacks."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "wa", "sb", "wb")
-    return both.mapInArrow(_linked, "a binary, b binary")
+    return both.mapInArrow(_compared, "a binary, b binary, common bigint, similarity double, of_a array<bigint>, of_b array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,35 +253,99 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _as_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Distinct unordered pairs whose weights allow the similarity and that were not compared before."""
-    allowed = F.least("ta", "tb") >= F.greatest("ta", "tb") * SIMILARITY
-    pairs = pairs.where(allowed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _as_pairs(pairs: DataFrame, tested: DataFrame | None, by_weight: bool = True) -> DataFrame:
+    """Distinct unordered pairs that were not compared before, and whose weights allow the similarity."""
+    if by_weight:
+        pairs = pairs.where(F.least("ta", "tb") >= F.greatest("ta", "tb") * SIMILARITY)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def pivot_pairs(members: DataFrame, labels: DataFrame | None, turn: int, tested: DataFrame | None) -> DataFrame:
-    """Each member with the pivot of its group, in groups that hold several classes."""
+def pivots_of(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """band, y, tb, cy: the pivot of each group that holds several classes.
+
+    First the member that shares its groups with most others, which lies in the middle of a cluster;
+    later any one."""
     now = _labelled(members, labels)
-    order = F.col("node") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
+    order = F.struct(-F.col("shared"), "node") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
     groups = now.groupBy("band").agg(
         F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(order.alias("order"), "node", "total", "comp")).alias("pivot")
     )
-    groups = staged(groups.where("c1 <> c2").select("band", F.col("pivot.node").alias("y"), F.col("pivot.total").alias("tb"), F.col("pivot.comp").alias("cy")), "pivots")
-    pairs = now.withColumnsRenamed({"node": "x", "total": "ta"}).join(groups, "band").where("comp <> cy")
-    return _as_pairs(pairs, tested)
-
-
-def remaining_pairs(members: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-    """In groups that hold several classes: all members outside the largest with those of other classes."""
+    pivot = [F.col(f"pivot.{name}").alias(alias) for name, alias in (("node", "y"), ("total", "tb"), ("comp", "cy"))]
+    return groups.where("c1 <> c2").select("band", *pivot)
+
+
+def pivot_pairs(members: DataFrame, labels: DataFrame | None, pivots: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Each member with its group's pivot, if they are of different classes. At first all are compared,
+    whatever their weights: ``remaining_pairs`` uses their distance from that pivot."""
+    now = _labelled(members, labels).withColumnsRenamed({"node": "x", "total": "ta"})
+    return _as_pairs(now.join(pivots, "band").where("comp <> cy"), tested, by_weight=tested is not None)
+
+
+def remaining_pairs(
+    members: DataFrame,
+    labels: DataFrame | None,
+    pivots: DataFrame | None,
+    compared: DataFrame | None,
+    tested: DataFrame | None,
+    sets: DataFrame,
+) -> DataFrame:
+    """In groups that hold several classes: all members outside the largest with those of other classes
+    that may be similar enough, each pair in the first group that both share.
+
+    Ruled out is only what cannot be a link. 1 - similarity is a metric, so the distances from the
+    group's first pivot p differ by no more than a link allows; they are cut into steps of that
+    size, and members meet those of the same and the next steps. What x and y have in common is
+    bounded twice: by what either shares with any other member at all; and by p's weight less the
+    shingles of p that x or y lacks (at least as many as bits are set for them), plus what either has
+    beyond p and not alone."""
     now = _labelled(members, labels)
     sizes = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     groups = sizes.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("classes"))
-    groups = staged(groups.where("classes > 1"), "open-groups")
-    opened = staged(now.join(groups.select("band", "largest"), "band"), "open-members")
-    x = opened.where("comp <> largest").select("band", F.col("node").alias("x"), F.col("total").alias("ta"), F.col("comp").alias("cx"))
-    y = opened.select("band", F.col("node").alias("y"), F.col("total").alias("tb"), F.col("comp").alias("cy"))
-    return _as_pairs(x.join(y, "band").where("cx <> cy"), tested)
+    groups = staged(groups.where("classes > 1").select("band", "largest"), "open-groups")
+    opened = now.join(groups, "band")
+    width = 1 - SIMILARITY + 1e-9  # for rounding
+    none = F.array(*[F.lit(0).cast("bigint")] * (LACK_BITS // 64))
+    if compared is not None:
+        first = pivots.select("band", F.col("y").alias("p"), F.col("tb").alias("tp"))
+        opened = opened.join(first, "band").withColumns({"a": F.least("node", "p"), "b": F.greatest("node", "p")})
+        opened = opened.join(compared, ["a", "b"], "left")
+        itself = F.col("node") == F.col("p")
+        opened = opened.withColumns(
+            {
+                "distance": F.when(itself, 0.0).otherwise(1 - F.col("similarity")),
+                "with_p": F.when(itself, F.col("total")).otherwise(F.col("common")),
+                "lacks": F.when(itself, none).when(F.col("a") == F.col("p"), F.col("of_a")).otherwise(F.col("of_b")),
+            }
+        )
+    else:
+        opened = opened.select("*", F.lit(0.0).alias("distance"), F.col("total").alias("tp"), F.lit(0).alias("with_p"), none.alias("lacks"))
+    opened = staged(opened.select("band", "node", "total", "comp", "largest", "tp", "distance", "with_p", "lacks"), "open-members")
+    own = own_weights(opened.select("node").distinct(), sets)
+    shared = opened.groupBy("node").agg(F.collect_set("band").alias("bands"))  # BANDS of them at most
+    opened = opened.join(own, "node", "left").join(shared, "node").withColumns(
+        {
+            "step": F.floor(F.col("distance") / width).cast("int"),
+            "shares": F.col("total") - F.coalesce("own", F.lit(0)),
+            "beyond": F.greatest(F.lit(0), F.col("total") - F.coalesce("own", F.lit(0)) - F.col("with_p")),
+        }
+    )
+    opened = staged(opened, "open-members-weighed")
+    renamed = lambda side, df: df.select("band", "step", "tp", *[F.col(c).alias(f"{side}_{c}") for c in sides])
+    sides = ("node", "total", "comp", "distance", "lacks", "bands", "shares", "beyond")
+    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
+    x = renamed("x", opened.where("comp <> largest").select(*[c for c in opened.columns if c != "step"], near)).drop("tp")
+    y = renamed("y", opened)
+    lacking = reduce(add, [F.bit_count(F.col("x_lacks")[k].bitwiseOR(F.col("y_lacks")[k])) for k in range(LACK_BITS // 64)])
+    most = F.least("x_shares", "y_shares", F.col("tp") - lacking + F.least("x_beyond", "y_beyond"))
+    may = (F.col("x_comp") != F.col("y_comp")) & (F.abs(F.col("x_distance") - F.col("y_distance")) < width)
+    may &= most >= SIMILARITY * (F.col("x_total") + F.col("y_total") - most) - 1e-9
+    may &= F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
+    pairs = x.join(y, ["band", "step"]).where(may)
+    return _as_pairs(
+        pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"), F.col("x_total").alias("ta"), F.col("y_total").alias("tb")),
+        tested,
+    )
 
 
 def node_of(text: Column) -> Column:
@@ -250,30 +353,36 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rounds: int = 1) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, class_id, kept, node (the text's digest)."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
     rows = rows.withColumn("node", node_of(F.col("text")))
     signed = rows.select("node", "text").mapInArrow(_signed, "node binary, total bigint, bands array<bigint>")
     signed = staged(signed.dropDuplicates(["node"]), "signatures")
     members = signed.select("node", "total", F.explode("bands").alias("band"))
-    shared = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "groups")
-    members = staged(members.join(shared, "band"), "members")
+    groups = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    members = staged(members.join(groups, "band"), "members")
+    shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    members = staged(members.drop("n").join(shared, "node"), "members")
     wanted = members.select("node").distinct()
     texts = rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
     sets = staged(texts.mapInArrow(_as_sets, "node binary, shingles binary, weights binary"), "sets")
 
-    links = tested = labels = None
+    links = tested = labels = compared = pivots = None
     for turn in range(rounds + 1):
-        if turn < rounds:
-            pairs = pivot_pairs(members, labels, turn, tested)
+        if turn == rounds:
+            pairs = remaining_pairs(members, labels, pivots, compared, tested, sets)
         else:
-            pairs = remaining_pairs(members, labels, tested)
+            chosen = staged(pivots_of(members, labels, turn), "pivots")
+            pivots = chosen if pivots is None else pivots
+            pairs = pivot_pairs(members, labels, chosen, tested)
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = staged(compare(pairs, sets), "links")
-        links = found if links is None else links.union(found)
+        found = staged(compare(pairs, sets), "compared")
+        compared = found if compared is None else compared
+        close = found.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+        links = close if links is None else links.union(close)
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
 
