@@ -19,7 +19,7 @@ def test_head_bytes_equals_python_decode(spark, parts):
     """Texts whose 1024-byte cut falls inside multi-byte characters."""
     texts = ["a" * pad + tail for pad, tail in parts]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    got = {r["id"]: r["h"] for r in df.select("id", head_bytes(F.col("t")).alias("h")).collect()}
+    got = {r["id"]: r["h"] for r in df.select("id", head_bytes(F.col("t"), 1024).alias("h")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute.head_bytes(t)
 

@@ -2,11 +2,9 @@
 
 from veilscan.functions.classify import (  # noqa: F401
     access_level,
-    classification_of_rank,
     data_classification,
     pii_classification,
     primary_type,
-    risk_rank,
     source_governance,
     source_risk,
     types_string,
@@ -30,4 +28,4 @@ from veilscan.functions.mask import (  # noqa: F401
     merged_rules,
     strategies,
 )
-from veilscan.functions.text import head_bytes, head_chars, recogniser_input, suffix_filter  # noqa: F401
+from veilscan.functions.text import head_bytes, head_chars, suffix_filter  # noqa: F401

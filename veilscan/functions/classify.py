@@ -27,23 +27,6 @@ def data_classification(types: str | Column) -> Column:
     return F.coalesce(expr.otherwise(F.lit(rules.NO_RISK)), F.lit(rules.NO_RISK))
 
 
-def risk_rank(classification: str | Column) -> Column:
-    """NO_RISK 0 .. CRITICAL_RISK 4, for max-style roll-ups."""
-    c = _col(classification)
-    expr = F.when(c == F.lit(rules.NO_RISK), F.lit(0))
-    for rank, (name, _) in enumerate(reversed(rules.RISK_TIERS), start=1):
-        expr = expr.when(c == F.lit(name), F.lit(rank))
-    return expr.otherwise(F.lit(0))
-
-
-def classification_of_rank(rank: str | Column) -> Column:
-    r = _col(rank)
-    expr = F.when(r == 0, F.lit(rules.NO_RISK))
-    for i, (name, _) in enumerate(reversed(rules.RISK_TIERS), start=1):
-        expr = expr.when(r == i, F.lit(name))
-    return expr.otherwise(F.lit(rules.NO_RISK))
-
-
 def access_level(classification: str | Column) -> Column:
     """Classification -> access level; unknown values (incl. the source
     profile's HIGH/MEDIUM) give INTERNAL."""

@@ -57,7 +57,6 @@ def has_digit_run(text) -> Column:
 # class test before any boundary or alternation work. The match set is
 # unchanged.
 _FIRST_CHAR: dict[str, str] = {
-    rules.CONTENT_PATTERNS["EMAIL"]: r"[A-Za-z0-9._%+-]",
     rules.CONTENT_PATTERNS["SSN"]: r"\d",
     rules.CONTENT_PATTERNS["PHONE"]: r"[(\d]",
     rules.CONTENT_PATTERNS["CREDIT_CARD"]: r"\d",
@@ -66,6 +65,17 @@ _FIRST_CHAR: dict[str, str] = {
 }
 
 
+# Java has no bound on retries: a long run of local-part characters without an
+# "@" behind it would be tried from every place in it. The linear form enters
+# a run only at its start and only if an "@" ends it, goes to the run's first
+# word boundary once, and takes the rest. It matches in the same texts: if any
+# boundary in the run can begin a match, so can the first.
+_LOCAL = "[A-Za-z0-9._%+-]"
+_LINEAR: dict[str, str] = {
+    rules.CONTENT_PATTERNS["EMAIL"]: rf"(?<!{_LOCAL})(?={_LOCAL}++@)(?>{_LOCAL}*?\b){_LOCAL}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b",
+}
+
+
 # Python's ``re`` on str: \w is a Unicode letter or number or "_" (combining
 # marks, connector punctuation and joiners are not), \s also covers
 # \x1c-\x1f, \d is a decimal digit (Nd). Java's (?U) classes differ on the
@@ -126,6 +136,8 @@ def _python_classes(pattern: str) -> str:
 def java_regex(python_pattern: str) -> str:
     """Python ``re`` pattern -> Java pattern with Python's Unicode classes,
     plus a first-character lookahead for known fixed patterns."""
+    if python_pattern in _LINEAR:
+        return "(?U)" + _python_classes(_LINEAR[python_pattern])
     first = _FIRST_CHAR.get(python_pattern)
     return "(?U)" + (f"(?={first})" if first else "") + _python_classes(python_pattern)
 

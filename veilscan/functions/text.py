@@ -12,7 +12,7 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def head_bytes(text: str | Column, n: int = rules.OBJECT_SAMPLE_BYTES) -> Column:
+def head_bytes(text: str | Column, n: int) -> Column:
     """First ``n`` UTF-8 bytes of ``text`` decoded with a cut character dropped
     (what a byte-range read followed by a lenient decode returns).
 
@@ -34,16 +34,11 @@ def head_bytes(text: str | Column, n: int = rules.OBJECT_SAMPLE_BYTES) -> Column
     return F.when(t.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(*candidates, fallback))
 
 
-def head_chars(text: str | Column, n: int = rules.DIRECT_SCAN_CHARS) -> Column:
+def head_chars(text: str | Column, n: int) -> Column:
     """First ``n`` characters (code points)."""
     return F.left(_col(text), F.lit(n))
 
 
-def recogniser_input(text: str | Column) -> Column:
-    """The part of a text handed to an external entity recogniser."""
-    return head_chars(text, rules.RECOGNISER_INPUT_CHARS)
-
-
 def suffix_filter(path: str | Column, suffixes=rules.DIRECT_SCAN_SUFFIXES) -> Column:
     """Case-sensitive file-suffix test."""
     p = _col(path)

@@ -48,9 +48,6 @@ NAME_CONFIDENCE = 0.8
 PATTERN_CONFIDENCE = 0.7
 ITEM_TABLE_CONFIDENCE = 0.8
 
-# Characters the content sample handed to an external entity recogniser is cut to.
-RECOGNISER_INPUT_CHARS = 5000
-
 # External entity-recogniser type -> our type; all other entity types dropped.
 ENTITY_TYPE_MAP: dict[str, str] = {
     "EMAIL": "EMAIL",
@@ -96,8 +93,6 @@ SOURCE_TAG_DEFINITIONS: dict[str, list[str]] = {
     "DataGovernance": ["PII_DETECTED", "REQUIRES_MASKING", "ACCESS_RESTRICTED", "PUBLIC"],
 }
 
-# Column tag keys, in the order they are applied; the last one only with PII.
-COLUMN_TAG_KEYS = ["PIIType", "DataClassification", "AccessLevel", "DataGovernance", "PIIClassification"]
 SOURCE_TAG_KEYS = ["DataClassification", "AccessLevel", "PIIType", "DataGovernance"]
 
 # Source-name profile: keyword group -> types appended (cumulative, duplicates kept).
@@ -110,14 +105,8 @@ SOURCE_NAME_RULES: list[tuple[list[str], list[str]]] = [
 # More than this many (possibly duplicated) types makes a source HIGH, else MEDIUM.
 SOURCE_HIGH_RISK_MIN_TYPES = 3
 
-# Sampling defaults.
-OBJECT_SAMPLE_BYTES = 1024
-MAX_OBJECTS = 100
-MAX_ITEMS = 10
-DIRECT_SCAN_CHARS = 1000
-DIRECT_SCAN_MAX_OBJECTS = 10
+# Suffixes of objects that the direct scan reads as text.
 DIRECT_SCAN_SUFFIXES = (".txt", ".csv", ".json")
-SUMMARY_MAX_OBJECTS = 1000
 
 # Catalog registration naming.
 FILE_DATABASE_SUFFIX = "_db"
@@ -162,12 +151,6 @@ CONTENT_TYPES = list(CONTENT_PATTERNS)
 COLUMN_TYPES = list(COLUMN_NAME_PATTERNS)
 
 
-def risk_rank(classification: str) -> int:
-    """0 for NO_RISK up to 4 for CRITICAL_RISK (unknown -> 0)."""
-    order = [NO_RISK] + [name for name, _ in reversed(RISK_TIERS)]
-    return order.index(classification) if classification in order else 0
-
-
 def classify_types(types: list[str]) -> str:
     """Reference semantics of the column/content classification, in Python.
 
