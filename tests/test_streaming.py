@@ -33,3 +33,18 @@ def test_stream_masked(spark, scratch):
     out = spark.read.parquet(f"{scratch}/masked")
     assert out.count() == ppl.count()
     assert out.where("ssn NOT IN ('***-**-****', '*********') AND ssn NOT LIKE '%*%'").count() == 0
+
+
+def test_restarted_stream_goes_on_without_duplicates(spark, scratch):
+    import uuid
+
+    docs = read_table(spark, SF_SMALL, "documents")
+    src, name = f"{scratch}/in", f"restart-{uuid.uuid4().hex}"
+    docs.where("doc_id % 2 = 0").write.parquet(src)
+    for _ in range(2):
+        stream = read_parquet_stream(spark, src, docs.schema)
+        start_to_parquet(stream.select("doc_id"), f"{scratch}/out", name).awaitTermination(120)
+        if spark.read.parquet(src).count() < docs.count():
+            docs.where("doc_id % 2 = 1").write.mode("append").parquet(src)
+    got = [r["doc_id"] for r in spark.read.parquet(f"{scratch}/out").collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in docs.collect())

@@ -1,8 +1,8 @@
 """Command line: ``python -m veilscan {scan,discover,mask} ...``.
 
 scan      full scan of the parquet tables under a directory (column names),
-          optional object roots (ranged 1 KiB heads) and item tables (rows as
-          JSON); prints the totals and writes findings/reports when --out is set
+          optional object roots (whole contents) and item tables (rows as JSON);
+          prints the totals and writes findings/reports when --out is set
 discover  register sources, classify them by name, print KPIs, write the report
 mask      write a masked copy of a table (columns masked by their name profile)
 
@@ -13,7 +13,6 @@ started.
 from __future__ import annotations
 
 import argparse
-import glob
 import json
 import os
 import sys
@@ -46,40 +45,40 @@ def _pairs(values):
 
 
 def _tables_under(spark, root: str) -> dict:
-    from veilscan.session import read_parquet
+    from veilscan.sources.catalog import list_folder
 
-    paths = sorted(glob.glob(os.path.join(root, "*.parquet")) + [
-        d for d in glob.glob(os.path.join(root, "*")) if os.path.isdir(d)
-    ])
-    return {os.path.basename(p).removesuffix(".parquet"): read_parquet(spark, p) for p in paths}
+    found = [(n, p) for n, p, folder in list_folder(spark, root) if folder or n.endswith(".parquet")]
+    if not found:
+        raise SystemExit(f"no tables under {root!r}")
+    return {n.removesuffix(".parquet"): spark.read.parquet(p) for n, p in found if not n.startswith(("_", "."))}
 
 
 def cmd_scan(args) -> int:
-    from veilscan.plans.scan import full_scan
-    from veilscan.sources.heads import object_heads
-    from veilscan.sources.objects import object_inventory
+    from functools import reduce
+
+    from veilscan.plans.scan import full_scan, scan_objects_under
     from veilscan.sources.sinks import write_findings, write_report
 
     spark = _session()
     tables = _tables_under(spark, args.tables) if args.tables else None
     objects = None
     if args.objects:
-        inv = None
-        for root in args.objects:
-            part = object_inventory(spark, root, prefix=args.prefix, max_objects=args.max_objects)
-            inv = part if inv is None else inv.unionByName(part)
-        objects = object_heads(inv, args.sample_bytes)
+        parts = [scan_objects_under(spark, root, args.prefix) for root in args.objects]
+        objects = reduce(lambda a, b: a.unionByName(b), parts)
     items = {n: spark.read.format(args.item_format).load(p) for n, p in _pairs(args.item).items()} or None
-    res = full_scan(spark, tables=tables, databases=args.database or None, objects=objects,
-                    item_tables=items, max_items=args.max_items, object_sample_bytes=args.sample_bytes)
+    res = full_scan(spark, tables=tables, databases=args.database or None, objects=objects, item_tables=items)
     totals = res.totals.first().asDict()
+    if res.object_status is not None:  # one row for each of three states
+        totals["object_status"] = {r["status"]: r["objects"] for r in res.object_status.collect()}
     print(json.dumps({"status": "completed", **totals}))
     if args.out:
-        write_findings(res.findings(), os.path.join(args.out, "findings"))
-        write_findings(res.column_tags, os.path.join(args.out, "column_tags"))
-        write_findings(res.registry, os.path.join(args.out, "registry"))
-        write_report(res.totals, os.path.join(args.out, "totals"))
-        write_report(res.classification_summary, os.path.join(args.out, "classification_summary"))
+        out = args.out.rstrip("/")
+        write_findings(res.findings(), f"{out}/findings")
+        write_findings(res.column_tags, f"{out}/column_tags")
+        write_findings(res.registry, f"{out}/registry")
+        write_findings(res.tables, f"{out}/tables")
+        write_report(res.totals, f"{out}/totals")
+        write_report(res.classification_summary, f"{out}/classification_summary")
     return 0
 
 
@@ -89,8 +88,6 @@ def cmd_discover(args) -> int:
     spark = _session()
     res = discovery_workflow(spark, _pairs(args.file), _pairs(args.item), report_path=args.out, fmt=args.format)
     print(json.dumps(res.kpis.first().asDict()))
-    for r in res.classified.select("source", "pii_types", "risk_level").collect():
-        print(f"  {r['source']}: {', '.join(r['pii_types']) or '-'} ({r['risk_level']})")
     return 0
 
 
@@ -117,11 +114,8 @@ def main(argv=None) -> int:
     s.add_argument("--database", action="append", help="catalog database to scan (repeatable)")
     s.add_argument("--objects", action="append", help="object root (repeatable)")
     s.add_argument("--prefix", default="")
-    s.add_argument("--max-objects", type=int, default=None)
-    s.add_argument("--sample-bytes", type=int, default=1024)
     s.add_argument("--item", action="append", help="item table name=path (repeatable)")
     s.add_argument("--item-format", default="parquet")
-    s.add_argument("--max-items", type=int, default=None)
     s.add_argument("--out", help="output folder for findings and reports")
     s.set_defaults(fn=cmd_scan)
     d = sub.add_parser("discover", help="register, classify by name, report")

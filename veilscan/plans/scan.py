@@ -6,40 +6,41 @@
                            count and write the dashboard report.
 * ``direct_object_scan`` / ``direct_item_scan`` - the direct content scans.
 
-Every step stays a lazy DataFrame; only the report sink triggers work.
+Steps are lazy DataFrames; registration, report sinks and (with
+``materialize``) the checkpoint of the findings trigger work.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan import rules
+from veilscan.functions import detect as D
+from veilscan.functions import text as T
 from veilscan.operators import findings as FD
 from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
-from veilscan.session import cut_lineage
-from veilscan.sources.catalog import catalog_columns, catalog_columns_from_frames, register_sources
-from veilscan.sources.objects import direct_text_objects
+from veilscan.session import cut_lineage, local_frame
+from veilscan.sources.catalog import (
+    TABLES_SCHEMA,
+    catalog_columns_from_frames,
+    list_folder,
+    read_catalog,
+    register_sources,
+)
+from veilscan.sources.objects import object_findings, object_inventory, object_texts
 from veilscan.sources.sinks import write_report
 
 
-def default_sort_keys(df: DataFrame) -> list[str]:
-    """All atomic columns, in schema order: a total order for first-n samples
-    of a table without a declared key (maps and nested types are skipped)."""
-    from pyspark.sql.types import ArrayType, MapType, StructType
-
-    keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
-    if not keys:
-        raise ValueError("no orderable column to sample by; pass item_keys")
-    return keys
-
-
 @dataclass
 class ScanResult:
     catalog: DataFrame
+    tables: DataFrame
+    object_status: DataFrame | None
     column_findings: DataFrame
     object_findings: DataFrame | None
     item_findings: DataFrame | None
@@ -62,14 +63,11 @@ def full_scan(
     databases: list[str] | None = None,
     objects: DataFrame | None = None,
     item_tables: dict[str, DataFrame] | None = None,
-    item_keys: dict[str, list[str]] | None = None,
-    max_items: int | None = None,
-    object_sample_bytes: int = rules.OBJECT_SAMPLE_BYTES,
     database: str = "default",
     materialize: bool = True,
     existing_registry: DataFrame | None = None,
 ) -> ScanResult:
-    """The three-phase scan.
+    """The three-phase scan, over whole objects and all rows.
 
     With ``materialize`` the object and item findings are checkpointed once
     (reliably, in ``spark.checkpoint.dir``) and shared by all reports.
@@ -77,37 +75,40 @@ def full_scan(
     locations, objects with PII), merged into ``existing_registry``.
 
     Phase 1: column names of ``tables`` (DataFrames) or of the catalog
-    ``databases``. Phase 2: ``objects`` ``(path, size_bytes, text)`` by the
-    first ``object_sample_bytes`` bytes. Phase 3: every row (or the first
-    ``max_items`` by key) of each item table serialised to JSON.
+    ``databases``. Phase 2: ``objects``, either ``(path, size_bytes, text)`` or
+    already scanned ``(path, size_bytes, pii_types, status)`` as
+    ``scan_objects_under`` returns them; unreadable ones are counted in
+    ``object_status``. Phase 3: every row of each item table serialised to JSON.
     """
-    catalog = (
-        catalog_columns_from_frames(spark, tables, database=database)
-        if tables is not None
-        else catalog_columns(spark, databases)
-    )
+    if tables is not None:
+        catalog = catalog_columns_from_frames(spark, tables, database=database)
+        listed = local_frame(spark, [(database, n, None, rules.CATALOGED, None) for n in tables], TABLES_SCHEMA)
+    else:
+        listed, catalog = read_catalog(spark, databases)
     cols = FD.column_name_findings(catalog)
-    objs = FD.scan_objects(objects, n_bytes=object_sample_bytes) if objects is not None else None
-    items = None
-    if item_tables:
-        parts = []
-        for name, df in item_tables.items():
-            keys = (item_keys or {}).get(name) or (default_sort_keys(df) if max_items is not None else None)
-            parts.append(FD.scan_items_json(df, table_name=name, key_cols=keys, max_items=max_items))
-        items = parts[0]
-        for p in parts[1:]:
-            items = items.unionByName(p)
+    objs = status = None
+    if objects is not None and "text" in objects.columns:
+        objs = FD.scan_objects(objects)
+    elif objects is not None:
+        status = objects.groupBy("status").agg(F.count(F.lit(1)).alias("objects"))
+        objs = FD.with_classification(objects.where(F.size("pii_types") > 0)).withColumn(
+            "confidence", D.confidence_map(F.col("pii_types"), rules.PATTERN_CONFIDENCE)
+        )
+    items = FD.scan_item_tables(item_tables) if item_tables else None
     if materialize:
         # The content scans are the expensive part and every report below is
         # its own action; their findings (hit rows only) are written once to
         # the shared checkpoint folder so no report rescans the inputs.
         objs = cut_lineage(objs) if objs is not None else None
+        status = cut_lineage(status) if status is not None else None
         items = cut_lineage(items) if items is not None else None
     findings = R.unified_findings(cols, objs, items)
     # Resources registered by the scan: every catalog table, each table
     # location, and each object with PII (idempotent against a registry).
-    res = catalog.select(F.concat_ws(".", "database", "table_name").alias("resource")).unionByName(
-        catalog.where(F.col("location").isNotNull()).select(F.col("location").alias("resource"))
+    res = listed.where(F.col("table_name").isNotNull()).select(
+        F.concat_ws(".", "database", "table_name").alias("resource")
+    ).unionByName(
+        listed.where(F.col("location").isNotNull()).select(F.col("location").alias("resource"))
     )
     if objs is not None:
         res = res.unionByName(objs.select(F.col("path").cast("string").alias("resource")))
@@ -116,12 +117,14 @@ def full_scan(
     )
     return ScanResult(
         catalog=catalog,
+        tables=listed,
+        object_status=status,
         column_findings=cols,
         object_findings=objs,
         item_findings=items,
         column_tags=TG.column_tags(cols),
         table_classes=TG.table_classification(cols),
-        totals=R.scan_totals(catalog, cols, objs, items),
+        totals=R.scan_totals(listed.where(F.col("table_name").isNotNull()), cols, objs, items),
         classification_summary=R.classification_summary_of(cols, objs, items),
         registry=registry,
     )
@@ -129,14 +132,11 @@ def full_scan(
 
 @dataclass
 class ScanConfig:
-    """Driver-side scan settings (the studied tool's 15-field config, re-aimed).
+    """Driver-side scan settings.
 
     ``databases``: catalog databases to scan (empty = all). ``object_paths``:
     file roots scanned as objects (all of them, not only the first);
     ``item_tables``: name -> path of tables scanned row by row.
-    ``confidence_threshold``, ``dry_run`` and ``apply_tags`` are accepted for
-    parity; detection scores are constants and tags are always produced as
-    tables.
     """
 
     databases: list[str] = field(default_factory=list)
@@ -144,44 +144,31 @@ class ScanConfig:
     enable_item_discovery: bool = True
     object_paths: list[str] = field(default_factory=list)
     object_prefix: str = ""
-    max_objects: int | None = None
-    object_sample_bytes: int = rules.OBJECT_SAMPLE_BYTES
     item_tables: dict[str, str] = field(default_factory=dict)
-    item_keys: dict[str, list[str]] = field(default_factory=dict)
-    max_items: int | None = None
     item_format: str = "parquet"
-    confidence_threshold: float = 0.8
-    dry_run: bool = False
-    apply_tags: bool = True
     materialize: bool = True
 
 
+def scan_objects_under(spark: SparkSession, path: str, prefix: str = "", profile="content", glob: str | None = None) -> DataFrame:
+    """Every object under ``path`` with its whole content scanned: the
+    inventory's columns, ``pii_types`` and ``status`` (``scanned``, ``empty`` or
+    ``unreadable``)."""
+    inventory = object_inventory(spark, path, prefix=prefix, glob=glob)
+    return object_findings(inventory, object_texts(spark, path, prefix, glob), profile)
+
+
 def run_scan(spark: SparkSession, config: ScanConfig) -> ScanResult:
-    """Catalog columns of ``config.databases``, object heads under every path
+    """Catalog columns of ``config.databases``, all objects under every path
     of ``config.object_paths``, and every row of each item table."""
-    from veilscan.sources.heads import object_heads
-    from veilscan.sources.objects import object_inventory
-
     objects = None
     if config.enable_object_discovery and config.object_paths:
-        parts = [object_inventory(spark, p, prefix=config.object_prefix, max_objects=config.max_objects)
-                 for p in config.object_paths]
-        inv = parts[0]
-        for q in parts[1:]:
-            inv = inv.unionByName(q)
-        objects = object_heads(inv, config.object_sample_bytes)
+        parts = [scan_objects_under(spark, p, config.object_prefix) for p in config.object_paths]
+        objects = reduce(lambda a, b: a.unionByName(b), parts)
     items = None
     if config.enable_item_discovery and config.item_tables:
         items = {n: spark.read.format(config.item_format).load(p) for n, p in config.item_tables.items()}
     return full_scan(
-        spark,
-        databases=config.databases or None,
-        objects=objects,
-        item_tables=items,
-        item_keys=config.item_keys,
-        max_items=config.max_items,
-        object_sample_bytes=config.object_sample_bytes,
-        materialize=config.materialize,
+        spark, databases=config.databases or None, objects=objects, item_tables=items, materialize=config.materialize
     )
 
 
@@ -208,58 +195,49 @@ def discovery_workflow(
     cls = TG.classify_sources(cat)
     counts = R.run_counts(cat, cls)
     k = R.kpis(counts)
+    type_counts = R.pii_type_counts(cls)
     if report_path:
-        write_report(k, report_path + "/kpis")
-        write_report(cls.select("source", "type", "database", "pii_types", "risk_level", "tagged", "tags"),
-                     report_path + "/classified")
-    return DiscoveryResult(cat, cls, TG.source_tags(cls), counts, k, R.pii_type_counts(cls), report_path)
+        for name, df in {
+            "kpis": k,
+            "counts": counts,
+            "type_counts": type_counts,
+            "tag_keys": R.tag_keys_used(cls),
+            "catalog": cat,
+            "classified": cls.select("source", "type", "database", "pii_types", "risk_level", "tagged", "tags"),
+        }.items():
+            write_report(df, f"{report_path}/{name}")
+    return DiscoveryResult(cat, cls, TG.source_tags(cls), counts, k, type_counts, report_path)
 
 
 def discovery_from_roots(
     spark: SparkSession, roots=(), report_path: str | None = None, fmt: str = "parquet"
 ) -> DiscoveryResult:
     """Discover the sub-folders of ``roots`` as file sources and run the
-    discovery workflow on them. The listing holds source names only."""
-    from veilscan.sources.catalog import discover_sources
-
-    found = discover_sources(spark, roots).collect()  # one row per source folder
-    files = {r["name"]: r["path"] for r in found if r["type"] == "file"}
+    discovery workflow on them. Only folder names are listed."""
+    files = {name: path for root in roots for name, path, folder in list_folder(spark, root) if folder}
     return discovery_workflow(spark, files, None, report_path=report_path, fmt=fmt)
 
 
-def direct_object_scan(spark: SparkSession, path: str, max_objects: int | None = None) -> DataFrame:
-    """Text objects with a .txt/.csv/.json suffix: the simple detector on the
-    first 1000 characters; objects with hits as ``path, size_bytes, pii_types``.
-    ``max_objects`` optionally keeps the first n objects by path (the studied
-    tool's default was ``rules.DIRECT_SCAN_MAX_OBJECTS``)."""
-    objs = direct_text_objects(spark, path, max_objects=max_objects)
-    out = FD.head_char_findings(objs, ["path"], "text", keep_cols=["size_bytes"])
-    return out.select("path", "size_bytes", "pii_types")
+def direct_object_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Text objects with a .txt/.csv/.json suffix: the simple detector on their
+    whole content; objects with hits as ``path, size_bytes, pii_types``."""
+    found = scan_objects_under(spark, path, profile="simple").where(T.suffix_filter(F.col("path")))
+    return found.where(F.size("pii_types") > 0).select("path", "size_bytes", "pii_types")
 
 
-def scan_object_files(
-    spark: SparkSession,
-    path: str,
-    prefix: str = "",
-    max_objects: int | None = None,
-    n_bytes: int = rules.OBJECT_SAMPLE_BYTES,
-) -> DataFrame:
-    """Object scan over files: list (metadata only), read each object's first
-    ``n_bytes`` with a ranged read, detect, classify. Only objects with PII."""
-    from veilscan.sources.heads import object_heads
-    from veilscan.sources.objects import object_inventory
+def scan_object_files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Object scan over files: list, read every object whole, detect, classify.
 
-    inv = object_inventory(spark, path, prefix=prefix, max_objects=max_objects)
-    heads = object_heads(inv, n_bytes)
-    out = FD.content_findings(heads, ["path"], "text", keep_cols=["size_bytes"])
-    return out.withColumn("source_type", F.lit("object"))
+    Objects with PII, and unreadable ones with status ``unreadable``."""
+    found = scan_objects_under(spark, path, prefix)
+    found = found.where((F.size("pii_types") > 0) | (F.col("status") == "unreadable"))
+    out = found.withColumn("confidence", D.confidence_map(F.col("pii_types"), rules.PATTERN_CONFIDENCE))
+    return FD.with_classification(out).withColumn("source_type", F.lit("object"))
 
 
-def direct_item_scan(df: DataFrame, key_cols, table_name: str, max_items: int | None = None) -> DataFrame:
-    """The simple detector on every string attribute of every row, or of the
-    first ``max_items`` rows by key (the studied tool's default was
-    ``rules.MAX_ITEMS``)."""
-    return FD.scan_string_attributes(df, key_cols, table_name, max_items=max_items)
+def direct_item_scan(df: DataFrame, key_cols, table_name: str) -> DataFrame:
+    """The simple detector on every string attribute of every row."""
+    return FD.scan_string_attributes(df, key_cols, table_name)
 
 
 def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet") -> str:
@@ -271,6 +249,7 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 
 __all__ = [
-    "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "discovery_from_roots", "full_scan", "discovery_workflow", "direct_object_scan", "scan_object_files",
+    "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "discovery_from_roots", "full_scan", "discovery_workflow",
+    "direct_object_scan", "scan_object_files", "scan_objects_under",
     "direct_item_scan", "masked_copy",
 ]

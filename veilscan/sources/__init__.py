@@ -3,16 +3,18 @@
 from veilscan.sources.catalog import (  # noqa: F401
     catalog_columns,
     catalog_columns_from_frames,
+    catalog_tables,
     discover_sources,
     file_database_name,
     register_sources,
 )
 from veilscan.sources.objects import (  # noqa: F401
-    direct_text_objects,
+    object_findings,
     object_inventory,
-    read_text_objects,
+    object_texts,
     source_summary,
     table_stats,
+    tables_stats,
 )
 from veilscan.sources.samples import sample_rows  # noqa: F401
 from veilscan.sources.sinks import write_findings, write_report  # noqa: F401

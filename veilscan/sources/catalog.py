@@ -21,6 +21,8 @@ CATALOG_SCHEMA = StructType(
     ]
 )
 
+TABLES_SCHEMA = "database string, table_name string, location string, status string, error string"
+
 REGISTRATION_SCHEMA = StructType(
     [
         StructField("type", StringType()),
@@ -49,52 +51,84 @@ def catalog_columns_from_frames(
     return local_frame(spark, rows, CATALOG_SCHEMA)
 
 
+def _message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def catalog_tables(spark: SparkSession, databases: list[str] | None = None, parallelism: int = 8) -> DataFrame:
+    """Every table of the listed databases (all if None) with its location and
+    status: ``cataloged``, or ``error`` with the message for a table whose
+    schema cannot be resolved and (without a table name) for a database that
+    cannot be listed. Lookups run ``parallelism`` at a time; what passes
+    through the driver is catalog metadata."""
+    tables, _ = _read_catalog(spark, databases, parallelism)
+    return local_frame(spark, tables, TABLES_SCHEMA)
+
+
 def catalog_columns(
-    spark: SparkSession, databases: list[str] | None = None, with_location: bool = False
+    spark: SparkSession, databases: list[str] | None = None, with_location: bool = False, parallelism: int = 8
 ) -> DataFrame:
-    """Columns of every table in the listed databases (all if None).
+    """Columns of every readable table in the listed databases (all if None);
+    ``catalog_tables`` reports the ones that are not. ``with_location`` adds
+    each table's storage location."""
+    _, columns = _read_catalog(spark, databases, parallelism, with_location)
+    return local_frame(spark, columns, CATALOG_SCHEMA)
+
+
+def read_catalog(spark: SparkSession, databases: list[str] | None = None, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
+    """``catalog_tables`` and ``catalog_columns`` with locations, from one walk of the catalog."""
+    tables, columns = _read_catalog(spark, databases, parallelism)
+    return local_frame(spark, tables, TABLES_SCHEMA), local_frame(spark, columns, CATALOG_SCHEMA)
+
+
+def _read_catalog(spark, databases, parallelism: int, with_location: bool = True) -> tuple[list[tuple], list[tuple]]:
+    from concurrent.futures import ThreadPoolExecutor
 
-    A database that cannot be read is skipped, as is a table whose schema
-    cannot be resolved. ``with_location`` adds each table's storage location
-    (one catalog lookup per table, so off by default for large catalogs).
-    """
     cat = spark.catalog
-    dbs = databases if databases is not None else [d.name for d in cat.listDatabases()]
-    rows = []
-    for db in dbs:
+    tables: list[tuple] = []
+    found: list[tuple[str, str]] = []
+    for db in databases if databases is not None else [d.name for d in cat.listDatabases()]:
         try:
-            tables = cat.listTables(db)
-        except Exception:  # noqa: BLE001 - an unreadable database is skipped
-            continue
-        for t in tables:
-            if t.isTemporary:
-                continue
-            try:
-                cols = cat.listColumns(f"{db}.{t.name}")
-            except Exception:  # noqa: BLE001
-                continue
-            loc = _table_location(spark, db, t.name) if with_location else None
-            for i, c in enumerate(cols):
-                rows.append((db, t.name, loc, c.name, c.dataType, i))
-    return local_frame(spark, rows, CATALOG_SCHEMA)
+            found += [(db, t.name) for t in cat.listTables(_quoted(db)) if not t.isTemporary]
+        except Exception as e:  # noqa: BLE001 - reported in the table list
+            tables.append((db, None, None, rules.CATALOG_ERROR, _message(e)))
 
+    def read(name: tuple[str, str]):
+        db, table = name
+        try:
+            columns = cat.listColumns(f"{_quoted(db)}.{_quoted(table)}")
+            location = _table_location(spark, db, table) if with_location else None
+            rows = [(db, table, location, c.name, c.dataType, i) for i, c in enumerate(columns)]
+            return (db, table, location, rules.CATALOGED, None), rows
+        except Exception as e:  # noqa: BLE001 - reported in the table list
+            return (db, table, None, rules.CATALOG_ERROR, _message(e)), []
+
+    columns: list[tuple] = []
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for table, rows in pool.map(read, found):
+            tables.append(table)
+            columns += rows
+    return tables, columns
 
-def _table_location(spark: SparkSession, db: str, table: str) -> str | None:
-    try:
-        desc = spark.sql(f"DESCRIBE TABLE EXTENDED `{db}`.`{table}`").where("col_name = 'Location'").collect()
-        return desc[0]["data_type"] if desc else None
-    except Exception:  # noqa: BLE001
-        return None
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def file_database_name(source_name: str) -> str:
-    return source_name.replace("-", "_") + rules.FILE_DATABASE_SUFFIX
+
+def _table_location(spark: SparkSession, db: str, table: str) -> str | None:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(db)}.{_quoted(table)}")
+    row = described.where("col_name = 'Location'").first()
+    return row["data_type"] if row else None
 
 
 def _ident(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
+def file_database_name(source_name: str) -> str:
+    return _ident(source_name) + rules.FILE_DATABASE_SUFFIX
+
+
 def register_sources(
     spark: SparkSession,
     file_sources: dict[str, str] | None = None,
@@ -104,35 +138,64 @@ def register_sources(
 ) -> DataFrame:
     """Register each source as an external table on its path.
 
-    File sources get a database ``<name with - as _>_db`` and a table named
-    after the source; item tables share one database. Status is
-    ``cataloged`` or ``error`` with the message; one failure does not stop the
-    rest. Schemas are inferred by the data source (footer/metadata reads);
-    independent sources are registered ``parallelism`` at a time (Spark runs
-    jobs from several threads concurrently). Rows keep the input order.
+    File sources get a database ``<name>_db`` and a table named after the
+    source (both with ``_`` for what is no letter or digit); item tables share
+    one database. Status is ``cataloged`` or ``error`` with the message; one
+    failure does not stop the rest. Nothing is ever dropped or replaced: a
+    source whose table exists is cataloged if that table lies on the same path
+    and an error otherwise, and sources that would share one table name are
+    all errors but the first. Schemas are inferred by the data source
+    (footer/metadata reads); independent sources are registered
+    ``parallelism`` at a time. Rows keep the input order.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    def register(kind: str, name: str, path: str, db: str):
+    def register(kind: str, name: str, path: str, db: str, first: str):
         table = _ident(name)
+        full = f"{_quoted(db)}.{_quoted(table)}"
         try:
+            if first != name:
+                raise ValueError(f"table {full} belongs to source {first!r}")
             spark.read.format(fmt).load(path).schema  # infer; raises on a bad path
-            full = f"`{db}`.`{table}`"
-            spark.sql(f"DROP TABLE IF EXISTS {full}")
-            spark.catalog.createTable(f"{db}.{table}", path=path, source=fmt)
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(db)}")
+            if spark.catalog.tableExists(full):
+                there = _table_location(spark, db, table)
+                if _place(spark, there) != _place(spark, path):
+                    raise ValueError(f"table {full} exists on {there}")
+            else:
+                spark.catalog.createTable(full, path=path, source=fmt)
             return (kind, name, rules.CATALOGED, db, table, path, None)
         except Exception as e:  # noqa: BLE001 - recorded per source
-            return (kind, name, rules.CATALOG_ERROR, db, table, path, str(e).splitlines()[0][:500])
+            return (kind, name, rules.CATALOG_ERROR, db, table, path, _message(e))
 
     todo = [("file", n, p, file_database_name(n)) for n, p in (file_sources or {}).items()]
     todo += [("table", n, p, rules.ITEM_TABLE_DATABASE) for n, p in (item_sources or {}).items()]
-    for db in dict.fromkeys(t[3] for t in todo):
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    firsts: dict[tuple[str, str], str] = {}
+    for _, name, _, db in todo:
+        firsts.setdefault((db.lower(), _ident(name).lower()), name)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(lambda t: register(*t), todo))
+        results = list(pool.map(lambda t: register(*t, firsts[t[3].lower(), _ident(t[1]).lower()]), todo))
     return local_frame(spark, results, REGISTRATION_SCHEMA)
 
 
+def _place(spark: SparkSession, path: str | None) -> str | None:
+    """A path as its file system names it."""
+    if path is None:
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
+def list_folder(spark: SparkSession, root: str) -> list[tuple[str, str, bool]]:
+    """Name, path and whether it is a folder, of what lies directly under ``root``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted((st.getPath().getName(), st.getPath().toString(), st.isDirectory()) for st in fs.listStatus(path))
+
+
 SOURCES_SCHEMA = StructType(
     [StructField("type", StringType()), StructField("name", StringType()), StructField("path", StringType())]
 )
@@ -144,23 +207,10 @@ def discover_sources(spark: SparkSession, roots=(), databases: list[str] | None
     databases an item source (``type='table'``). Only folder and table names
     are listed (one listing call per root), never the files inside."""
     rows = []
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            continue
-        for st in fs.listStatus(path):
-            if st.isDirectory():
-                p = st.getPath()
-                rows.append(("file", p.getName(), p.toString()))
+        rows += [("file", name, path) for name, path, folder in list_folder(spark, root) if folder]
     for db in databases or []:
-        try:
-            tables = spark.catalog.listTables(db)
-        except Exception:  # noqa: BLE001 - an unreadable database is skipped
-            continue
-        for t in tables:
+        for t in spark.catalog.listTables(_quoted(db)):
             if not t.isTemporary:
                 rows.append(("table", t.name, f"{db}.{t.name}"))
     return local_frame(spark, sorted(rows), SOURCES_SCHEMA)

@@ -1,36 +1,39 @@
-"""S4 on files: the first n bytes of each object, read with a ranged read.
+"""S4 on files: an explicit sample of the first n bytes of each object.
 
-Spark's file sources read whole files (``binaryFile`` content, whole-text);
-sampling a 1 KiB head of multi-GB objects that way moves the whole object.
-Here the object listing (metadata only) is spread over tasks and each task
-opens its objects and reads only ``n`` bytes, decoding leniently (a cut
-multi-byte character is dropped) - the sampling rule of the object scan.
+Spark's file sources read whole files; a 1 KiB head of multi-GB objects would
+move the whole object. Here the listing (metadata only) is spread over tasks
+and each task opens its objects and reads only ``n`` bytes, decoding leniently
+(a cut multi-byte character is dropped). Whatever cannot be read is reported
+with its error. Scans read whole objects instead (``objects.object_findings``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan import rules
+HEAD_SCHEMA = "path string, size_bytes long, text string, status string, error string"
 
-HEAD_SCHEMA = "path string, size_bytes long, text string"
 
-
-def _open_head(path: str, n: int) -> str | None:
+def _open_head(path: str, n: int) -> tuple[str | None, str, str | None]:
     import pyarrow.fs as pafs
 
-    uri = path if "://" in path else ("file://" + path[len("file:"):] if path.startswith("file:") else "file://" + path)
     try:
-        fs, p = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_file(p) as f:
-            data = f.read(n)
-    except (OSError, ValueError):
-        return None
-    return data.decode("utf-8", errors="ignore")
+        scheme, colon, rest = path.partition(":")
+        if not colon or scheme == "file":
+            fs, place = pafs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+        else:
+            # the listing has plain paths; a URI needs them quoted
+            store = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+            fs, place = pafs.FileSystem.from_uri(f"{store}:{quote(rest)}")
+        with fs.open_input_file(place) as f:
+            return f.read(n).decode("utf-8", errors="ignore"), "read", None
+    except Exception as e:  # noqa: BLE001 - recorded per object
+        return None, "error", f"{type(e).__name__}: {e}"
 
 
 def _heads(n: int, io_threads: int):
@@ -40,23 +43,26 @@ def _heads(n: int, io_threads: int):
         # Small ranged reads are latency-bound on object stores: overlap them.
         with ThreadPoolExecutor(max_workers=io_threads) as pool:
             for pdf in batches:
-                texts = list(pool.map(lambda p: _open_head(p, n), pdf["path"]))
-                yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], "text": texts})
+                read = list(pool.map(lambda p: _open_head(p, n), pdf["path"]))
+                columns = {name: [r[i] for r in read] for i, name in enumerate(("text", "status", "error"))}
+                yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], **columns})
 
     return fn
 
 
-def object_heads(
-    inventory: DataFrame, n: int = rules.OBJECT_SAMPLE_BYTES, partitions: int | None = None, io_threads: int = 16
-) -> DataFrame:
-    """``inventory`` (path, size_bytes) -> ``path, size_bytes, text`` with the
-    first ``n`` bytes of each object. Unreadable objects get NULL text.
+def object_heads(inventory: DataFrame, n: int, partitions: int | None = None, io_threads: int = 16) -> DataFrame:
+    """``inventory`` (path, size_bytes) -> ``path, size_bytes, text, status, error``
+    with the first ``n`` bytes of each object; an object that cannot be read
+    has status ``error`` and its message.
 
     The listing is hash-partitioned by path (``partitions`` defaults to the
     session's shuffle partitions) so many small reads run in parallel, and
     each task overlaps its reads on ``io_threads`` threads.
     """
+    from veilscan.session import ship_package
+
     spark = inventory.sparkSession
+    ship_package(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = inventory.select("path", F.col("size_bytes").cast("long")).repartition(parts, "path")
     return spread.mapInPandas(_heads(n, io_threads), HEAD_SCHEMA)

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan import rules
-from veilscan.functions import text as T
+from veilscan.functions import detect as D
+from veilscan.session import local_frame
+
+# Files up to this size are matched as one text; larger ones are read in splits.
+WHOLE_BYTES = 64 << 20
+
+# Content types of the suffixes that scans meet most; all else is a byte stream.
+CONTENT_TYPES = {
+    "txt": "text/plain", "csv": "text/csv", "json": "application/json", "html": "text/html", "xml": "text/xml",
+    "md": "text/markdown", "log": "text/plain", "parquet": "application/vnd.apache.parquet", "gz": "application/gzip",
+}
+INVENTORY_SCHEMA = "path string, size_bytes long, modified timestamp, uri string, content_type string, etag string"
 
 
 def _local_part(path_col):
@@ -21,79 +33,130 @@ def _strip_scheme(path: str) -> str:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path)
 
 
-def object_inventory(
-    spark: SparkSession,
-    path: str,
-    prefix: str = "",
-    max_objects: int | None = None,
-    glob: str | None = None,
-) -> DataFrame:
-    """Files under ``path``: ``path, size_bytes, modified``.
-
-    Only metadata columns are selected, so the binaryFile source does not
-    read file contents (ReadSchema has no ``content``). ``prefix`` is a string
-    prefix of the object key relative to ``path`` (object-store semantics):
-    it is turned into a listing glob, so only the matching subtree is listed,
-    and then checked exactly. ``max_objects`` is an optional global cap in
-    path order (None = every object; the studied tool's default was
-    ``rules.MAX_OBJECTS``).
+def object_inventory(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None) -> DataFrame:
+    """Files under ``path``: ``path, size_bytes, modified, uri, content_type, etag``.
+
+    Only metadata is selected, so the binaryFile source does not read file
+    contents (ReadSchema has no ``content``). ``prefix`` is a string prefix of
+    the object key relative to ``path`` (object-store semantics): it is turned
+    into a listing glob, so only the matching subtree is listed, and then
+    checked exactly. ``path`` is plain and ``uri`` its encoded form, by which
+    Spark's readers name the same file. ``content_type`` follows from the
+    suffix; ``etag`` stands for the object's version (size and time). Files of
+    no bytes are not listed.
     """
     root = path.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     load_path = f"{root}/{prefix}*" if prefix else root
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    version = F.concat_ws("-", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
     try:
         listed = reader.load(load_path)
     except AnalysisException:
         if not prefix:
             raise
-        return spark.createDataFrame([], "path string, size_bytes long, modified timestamp")
-    df = listed.select(F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+        return spark.createDataFrame([], INVENTORY_SCHEMA)
+    df = listed.select(
+        F.col("path"),
+        F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified"),
+        F.col("_metadata.file_path").alias("uri"),
+        F.coalesce(F.try_element_at(kinds, suffix), F.lit("application/octet-stream")).alias("content_type"),
+        F.md5(version.cast("binary")).alias("etag"),
+    )
     if prefix:
         df = df.where(_local_part(F.col("path")).startswith(_strip_scheme(root) + "/" + prefix))
-    if max_objects is not None:
-        df = df.orderBy("path").limit(max_objects)
     return df
 
 
-def read_text_objects(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Whole text files: ``path, size_bytes, text`` (one row per file)."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+def object_texts(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """The contents of all files under ``path`` as ``uri, text``, through the session's file systems.
+
+    A file of up to ``whole_bytes`` is one text. A larger one is read in
+    splits, line by line, each line a text of its own, so no task holds it
+    whole; a match there must lie within a line. Files that cannot be read
+    have no row (``object_status`` finds them).
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    reader = reader.option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path, wholetext=True)
-    return df.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size_bytes"),
-        F.col("value").alias("text"),
-    )
+    load_path = f"{path.rstrip('/')}/{prefix}*" if prefix else path
+    size = F.col("_metadata.file_size")
+    whole = reader.text(load_path, wholetext=True).where(size <= whole_bytes)
+    lines = reader.text(load_path, lineSep="\n").where(size > whole_bytes)
+    texts = [df.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text")) for df in (whole, lines)]
+    return texts[0].unionByName(texts[1])
 
 
-def direct_text_objects(
-    spark: SparkSession, path: str, suffixes=rules.DIRECT_SCAN_SUFFIXES, max_objects: int | None = None
-) -> DataFrame:
-    """Text objects with one of ``suffixes`` (case-sensitive), optionally
-    the first ``max_objects`` in path order."""
-    df = read_text_objects(spark, path).where(T.suffix_filter(F.col("path"), suffixes))
-    if max_objects is not None:
-        df = df.orderBy("path").limit(max_objects)
-    return df
+def object_flags(texts: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+    """Per object (``uri``): one flag per type of the profile that any of its texts holds.
+
+    Bytes that are no UTF-8 are dropped before matching, as a lenient decode does."""
+    patterns = D.profile_patterns(profile)
+    text = F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(
+        F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))
+    )
+    rows = texts.select("uri", text.alias("text"))
+    digits = None
+    if D.needs_digit_run(patterns):
+        rows = rows.select("*", D.has_digit_run(F.col("text")).alias("__digits"))
+        digits = F.col("__digits")
+    hits = D.content_hits("text", profile, digits)
+    flags = rows.select("uri", *[h.alias(f"__hit_{i}") for i, (_, h) in enumerate(hits)])
+    return flags.groupBy("uri").agg(*[F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(hits))])
+
+
+def object_findings(inventory: DataFrame, texts: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+    """Every object of ``inventory`` with its types and how its scan went.
+
+    Adds ``pii_types`` (NULL if the object could not be read) and ``status``:
+    ``scanned``, ``empty`` or ``unreadable``."""
+    patterns = D.profile_patterns(profile)
+    flags = object_flags(texts, profile)
+    types = F.array_compact(F.array(*[F.when(F.col(f"__hit_{i}"), F.lit(t)) for i, t in enumerate(patterns)]))
+    # a text without a value for a flag (NULL) holds nothing; a missing row was not read
+    read = flags.select("uri", F.lit(True).alias("__read"), types.alias("pii_types"))
+    none = F.array().cast("array<string>")
+    empty = F.col("size_bytes") == 0
+    return inventory.join(read, "uri", "left").select(
+        *inventory.columns,
+        F.when(F.col("__read") | empty, F.coalesce("pii_types", none)).alias("pii_types"),
+        F.when(empty, F.lit("empty")).when(F.col("__read"), F.lit("scanned")).otherwise(F.lit("unreadable")).alias("status"),
+    )
 
 
 def table_stats(df: DataFrame, table_name: str) -> DataFrame:
-    """S3: item_count, size_bytes (sum of the distinct input files' sizes) and
-    the attribute names/types of a file-backed DataFrame, as one row."""
-    attrs = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    counted = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
-    per_file = counted.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"))
-    return per_file.agg(
-        F.sum("n").cast("long").alias("item_count"), F.sum("s").cast("long").alias("size_bytes")
-    ).select(
-        F.lit(table_name).alias("table_name"),
+    """S3 of one file-backed DataFrame (see ``tables_stats``)."""
+    return tables_stats({table_name: df})
+
+
+def tables_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """S3 of file-backed DataFrames, one row per table: item_count, size_bytes
+    (sum of the distinct input files' sizes) and the attributes' names and
+    types. Rows of all tables are counted per file, then per table, in one
+    aggregation; a table without rows has a row as well."""
+    rows, listed = [], []
+    for name, df in tables.items():
+        rows.append(df.select(F.lit(name).alias("table_name"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")))
+        listed.append((name, [(f.name, f.dataType.simpleString()) for f in df.schema.fields]))
+    counted = reduce(lambda a, b: a.unionByName(b), rows).groupBy("table_name", "f")
+    per_file = counted.agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"))
+    sums = per_file.groupBy("table_name").agg(F.sum("n").alias("item_count"), F.sum("s").alias("size_bytes"))
+    attributes = F.create_map(*[
+        x
+        for name, fields in listed
+        for x in (F.lit(name), F.array(*[F.struct(F.lit(c).alias("name"), F.lit(t).alias("type")) for c, t in fields]))
+    ])
+    names = local_frame(next(iter(tables.values())).sparkSession, [(n,) for n, _ in listed], "table_name string")
+    return names.join(sums, "table_name", "left").select(
+        "table_name",
         F.coalesce("item_count", F.lit(0)).alias("item_count"),
         F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
-        F.lit(attrs).alias("attributes"),
+        attributes[F.col("table_name")].alias("attributes"),
     )
 
 

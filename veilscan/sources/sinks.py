@@ -6,13 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
-    """Write ``df`` (a report or a findings table) to ``path`` in ``fmt``.
-
-    Reports are one or a few rows and are coalesced to one file; findings are
-    written with their natural partitioning (pass ``fmt='parquet'``).
-    """
-    out = df.coalesce(1) if fmt == "json" else df
-    out.write.mode(mode).format(fmt).save(path)
+    """Write ``df`` (a report or a findings table) to ``path`` in ``fmt``, as its tasks have it."""
+    df.write.mode(mode).format(fmt).save(path)
     return path
 
 

@@ -9,8 +9,6 @@ given.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -41,15 +39,15 @@ def stream_masked(stream: DataFrame, column_types=None, custom_rules=None) -> Da
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    """The checkpoint of the stream called ``name``: the same one after a restart."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
 def start_to_parquet(
     df: DataFrame, path: str, name: str, checkpoint: str | None = None, available_now: bool = True
 ) -> StreamingQuery:
     """Append the stream to parquet at ``path`` (exactly-once via the
-    checkpoint). ``available_now`` processes what is there and stops."""
+    checkpoint, which a stream of the same name goes on from). ``available_now`` processes what is there and stops."""
     w = (
         df.writeStream.format("parquet")
         .option("path", path)
