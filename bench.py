@@ -24,6 +24,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from veilscan.plans import queries as Q  # noqa: E402
 from veilscan.session import local_session, read_table  # noqa: E402
 
+# The queries whose sum was the metric at first; its sum is still reported beside that of all.
 HEADLINE = [
     "content_findings",
     "content_findings_pages",
@@ -69,7 +70,7 @@ def main() -> None:
     run(Q.content_findings(spark, sf_dir))
 
     times, errors = {}, {}
-    for name in HEADLINE:
+    for name in Q.QUERIES:
         best = None
         try:
             for _ in range(repeat):
@@ -92,6 +93,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "headline_seconds": round(sum(times.get(name, 0) for name in HEADLINE), 3),
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": int(cpus),
         "content_scan_rows_per_sec": round(rows / scan_s, 1) if scan_s else None,

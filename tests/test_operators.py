@@ -40,11 +40,11 @@ def test_head_bytes_equal_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     from veilscan.functions.text import head_bytes
 
-    got = {r["id"]: r["h"] for r in df.select("id", head_bytes(F.col("t")).alias("h")).collect()}
+    got = {r["id"]: r["h"] for r in df.select("id", head_bytes(F.col("t"), 1024).alias("h")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (None if t is None else brute.head_bytes(t)), i
     docs = read_table(spark, SF_SMALL, "documents")
-    rows = docs.select("text", head_bytes(F.col("text")).alias("h")).collect()
+    rows = docs.select("text", head_bytes(F.col("text"), 1024).alias("h")).collect()
     assert all(r["h"] == brute.head_bytes(r["text"]) for r in rows)
 
 
@@ -188,11 +188,10 @@ def test_scan_totals_definitions(spark):
                  "no_risk_columns_found": 2, "pii_sources_found": 2, "glue_tables_scanned": 2,
                  "objects_with_pii": 1, "item_tables_with_pii": 1}
     u = R.unified_findings(cols, objs, items)
-    summary = {x["data_classification"]: (x["count"], list(x["tables"])) for x in R.classification_summary(u).collect()}
-    assert summary == {"MEDIUM_RISK": (2, ["d.t1", "unknown"]), "NO_RISK": (2, ["d.t1", "d.t2"]), "CRITICAL_RISK": (1, ["it"])}
-    merged = {x["data_classification"]: (x["count"], list(x["tables"]))
-              for x in R.classification_summary_of(cols, objs, items).collect()}
-    assert merged == summary
+    want = {("MEDIUM_RISK", "d.t1"): 1, ("MEDIUM_RISK", "unknown"): 1, ("NO_RISK", "d.t1"): 1, ("NO_RISK", "d.t2"): 1,
+            ("CRITICAL_RISK", "it"): 1}
+    for summary in (R.classification_summary(u), R.classification_summary_of(cols, objs, items)):
+        assert {(x["data_classification"], x["table_name"]): x["count"] for x in summary.collect()} == want
     with_pii, without = R.split_findings(u)
     assert with_pii.count() == 3 and without.count() == 2
 
@@ -243,3 +242,40 @@ def test_item_json_scan_equals_python_json_dumps(spark, pairs):
         if t:
             want[tid] = t
     assert got == want
+
+
+def test_nested_strings_are_scanned(spark):
+    shape = "id int, who struct<mail: string, deep: struct<ids: array<string>>>, tags array<string>, by_name map<string, string>, `odd.name` string"
+    rows = [
+        (1, ("jane@x.org", (["123-45-6789", None],)), ["555-123-4567"], {"4111-1111-1111-1111": "01/31/1990"}, "a@b.co"),
+        (2, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, shape)
+    found = {(r["column_name"], r["pii_type"]): r["rows"] for r in FD.column_content_profile({"t": df}).collect()}
+    assert found == {
+        ("who", "EMAIL"): 1, ("who", "SSN"): 1, ("tags", "PHONE"): 1, ("by_name", "CREDIT_CARD"): 1,
+        ("by_name", "DATE_OF_BIRTH"): 1, ("odd.name", "EMAIL"): 1,
+    }
+    (item,) = FD.scan_items_json(df, table_name="t").collect()
+    assert list(item["pii_types"]) == rules.CONTENT_TYPES
+    (both,) = FD.scan_item_tables({"t": df}).collect()
+    assert list(both["pii_types"]) == rules.CONTENT_TYPES and both["size_bytes"] is None and both["item_count"] == 2
+
+
+def test_tables_without_strings(spark):
+    numbers = spark.range(3).selectExpr("id", "array(id) as ids")
+    assert FD.column_content_profile({"n": numbers}).collect() == []
+    assert FD.string_values({"n": numbers}) is None
+    assert FD.scan_item_tables({"n": numbers}).collect() == []
+
+
+def test_one_pass_equals_the_separate_scans(spark):
+    from veilscan.plans import standins
+
+    docs = read_table(spark, SF_SMALL, "documents")
+    once = FD.scan_documents_once(docs, "source", "text")
+    apart = {r["table_name"]: (r["item_count"], list(r["pii_types"])) for r in FD.scan_items_json(docs, table_col="source").collect()}
+    assert {r["table_name"]: (r["item_count"], list(r["pii_types"])) for r in FD.items_of_scan(once).collect()} == apart
+    objects = FD.scan_objects(standins.document_objects(docs)).groupBy("data_classification").count().collect()
+    counted = once.agg(*[F.sum(f"objects_{n}").alias(n) for n, _ in rules.RISK_TIERS]).first().asDict()
+    assert {k: v for k, v in counted.items() if v} == {r["data_classification"]: r["count"] for r in objects}

@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from veilscan.plans.queries import QUERIES
 from veilscan.session import TABLES
 
 
@@ -30,10 +31,11 @@ def _norm(cols, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    # those of the llm subpackage that SQL cannot express are tested in tests/llm
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_duckdb(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]

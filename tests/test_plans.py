@@ -6,6 +6,7 @@ from conftest import SF_MID
 
 import __spark_entry__ as E
 from veilscan.operators import findings as FD
+from veilscan.plans.queries import QUERIES
 from veilscan.session import read_table
 from veilscan.sources.samples import sample_rows
 
@@ -39,7 +40,7 @@ def test_grouped_sample_has_partial_group_limit(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_or_python_udf(spark, name):
     df = E.queries()[name](spark, SF_MID)
     plan = df._jdf.queryExecution().optimizedPlan().toString() + _plan(df)

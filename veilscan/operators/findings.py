@@ -7,9 +7,12 @@ Shapes are chosen so each regex runs once per row (see
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from veilscan import rules
 from veilscan.functions import classify as C
@@ -80,7 +83,7 @@ def content_findings_long(
     return pre.select(*ids, F.explode(D.content_types(text_col, profile, digit_run)).alias("pii_type"))
 
 
-def head_byte_findings(df: DataFrame, id_cols, text: str, n: int = rules.OBJECT_SAMPLE_BYTES, **kw) -> DataFrame:
+def head_byte_findings(df: DataFrame, id_cols, text: str, n: int, **kw) -> DataFrame:
     """S4 + D2: detection on the first ``n`` UTF-8 bytes of each text."""
     return content_findings(df, id_cols, T.head_bytes(F.col(text), n), **kw)
 
@@ -89,7 +92,7 @@ def head_char_findings(
     df: DataFrame,
     id_cols,
     text: str,
-    n: int = rules.DIRECT_SCAN_CHARS,
+    n: int,
     profile: str | dict[str, str] = "simple",
     **kw,
 ) -> DataFrame:
@@ -133,24 +136,70 @@ def analyze_table(columns: DataFrame, database: str | None = None, table: str |
     )
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever dots or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _cell(column: str, value: Column) -> Column:
+    return F.struct(F.lit(column).alias("column_name"), value.alias("value"))
+
+
+def string_parts(value: Column, kind: DataType) -> Column | None:
+    """All strings inside ``value`` of type ``kind`` as an array (fields,
+    elements, map keys and values, at any depth); None if it can hold none."""
+    if isinstance(kind, StringType):
+        return F.array(value)
+    if isinstance(kind, StructType):
+        parts = [string_parts(value.getField(f.name), f.dataType) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        none = F.array().cast("array<string>")
+        return F.concat(*[F.coalesce(p, none) for p in parts]) if parts else None
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType):
+            return value
+        if string_parts(F.lit(None).cast(kind.elementType), kind.elementType) is None:
+            return None
+        return F.flatten(F.transform(value, lambda x: string_parts(x, kind.elementType)))
+    if isinstance(kind, MapType):
+        sides = [
+            string_parts(F.map_keys(value), ArrayType(kind.keyType)),
+            string_parts(F.map_values(value), ArrayType(kind.valueType)),
+        ]
+        none = F.array().cast("array<string>")
+        sides = [F.coalesce(p, none) for p in sides if p is not None]
+        return F.concat(*sides) if sides else None
+    return None
+
+
 def string_values(tables: dict[str, DataFrame], min_bytes: int = 0) -> DataFrame | None:
-    """Every string cell of the given tables in long form
-    ``(table_name, column_name, value)``: one narrow branch per table (so the
-    plan grows with the number of tables, not columns) that unpivots the
-    table's string columns with ``inline``; no shuffle. Cells shorter than
+    """Every string of the given tables in long form
+    ``(table_name, column_name, value)``, those inside structs, arrays and maps
+    under their top-level column: one narrow branch per table (so the plan
+    grows with the number of tables, not columns) that unpivots the table's
+    string columns with ``inline``; no shuffle. Strings shorter than
     ``min_bytes`` (and NULLs when ``min_bytes`` > 0) are dropped right after
-    the unpivot. None when no table has a string column."""
+    the unpivot. None when no table has a string."""
     parts = []
     for name, df in tables.items():
         scols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-        if not scols:
+        nested = {
+            f.name: string_parts(F.col(quoted(f.name)), f.dataType)
+            for f in df.schema.fields
+            if isinstance(f.dataType, (StructType, ArrayType, MapType))
+        }
+        nested = {c: p for c, p in nested.items() if p is not None}
+        if not scols and not nested:
             continue
-        if len(scols) == 1:
+        if len(scols) == 1 and not nested:
             part = df.select(F.lit(name).alias("table_name"), F.lit(scols[0]).alias("column_name"),
-                             F.col(scols[0]).alias("value"))
+                             F.col(quoted(scols[0])).alias("value"))
         else:
-            cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in scols])
-            part = df.select(F.lit(name).alias("table_name"), F.inline(cells))
+            cells = [F.array(*[_cell(c, F.col(quoted(c))) for c in scols])] if scols else []
+            for c, p in nested.items():
+                none = F.slice(F.array(_cell(c, F.lit(None).cast("string"))), 1, 0)
+                cells.append(F.coalesce(F.transform(p, partial(_cell, c)), none))
+            part = df.select(F.lit(name).alias("table_name"), F.inline(F.concat(*cells)))
         if min_bytes > 0:
             part = part.where(F.octet_length("value") >= min_bytes)
         parts.append(part)
@@ -178,6 +227,11 @@ def column_content_profile(
         raise ValueError("min_rows must be >= 1: columns without a match are not reported")
     patterns = D.profile_patterns(profile)
     cells = string_values(tables, D.min_match_bytes(patterns))
+    if cells is None:
+        if not tables:
+            raise ValueError("no tables given")
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table_name string, column_name string, pii_type string, rows bigint")
     text_col, digit_run, pre = _prepared(cells, ["table_name", "column_name"], "value", profile)
     hits = D.content_hits(text_col, profile, digit_run)
     g = pre.groupBy("table_name", "column_name").agg(
@@ -199,6 +253,46 @@ def _types_from_flags(flags: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(f, F.lit(t)) for t, f in flags]))
 
 
+def _item_flags(df: DataFrame, table: Column, carried: list[Column], profile, ascii_escape: bool) -> DataFrame:
+    """Per row: ``table_name``, ``carried`` and one flag per type of the row's JSON.
+
+    A match never crosses a JSON separator (quote, colon, comma, brace,
+    space), so matching the row's JSON equals matching each field's own JSON
+    {"c":value} and OR-ing. Per field, the cheap guards (length, literals,
+    digit run) skip long texts the numeric id fields would otherwise let
+    through. Each field's JSON and guard are projected once.
+    """
+    patterns = D.profile_patterns(profile)
+    fields = []
+    for c in df.columns:
+        js = F.to_json(F.struct(F.col(quoted(c))))
+        fields.append(T.ascii_escaped(js) if ascii_escape else js)
+    names = [f"__c{i}" for i in range(len(carried))]
+    pre = df.select(
+        table.alias("table_name"),
+        *[c.alias(n) for c, n in zip(carried, names, strict=True)],
+        *[j.alias(f"__j{i}") for i, j in enumerate(fields)],
+    )
+    digits = [None] * len(fields)
+    if D.needs_digit_run(patterns):
+        pre = pre.select("*", *[D.has_digit_run(F.col(f"__j{i}")).alias(f"__d{i}") for i in range(len(fields))])
+        digits = [F.col(f"__d{i}") for i in range(len(fields))]
+    hits = [
+        reduce(lambda a, b: a | b, [D.content_hit(F.col(f"__j{i}"), t, p, digit_run=digits[i]) for i in range(len(fields))])
+        for t, p in patterns.items()
+    ]
+    return pre.select("table_name", *names, *[h.alias(f"__hit_{i}") for i, h in enumerate(hits)])
+
+
+def _item_findings(per_table: DataFrame, profile, extra: list[str]) -> DataFrame:
+    """Tables with a hit, classified, from one row of flags per table."""
+    flags = [(t, F.col(f"__hit_{i}")) for i, t in enumerate(D.profile_patterns(profile))]
+    out = per_table.select("table_name", "item_count", *extra, _types_from_flags(flags).alias("pii_types"))
+    out = out.where(F.size("pii_types") > 0)
+    out = out.withColumn("confidence", D.confidence_map(F.col("pii_types"), rules.ITEM_TABLE_CONFIDENCE))
+    return with_classification(out)
+
+
 def scan_items_json(
     df: DataFrame,
     table_col: str | None = None,
@@ -208,65 +302,86 @@ def scan_items_json(
     profile: str | dict[str, str] = "content",
     ascii_escape: bool = True,
 ) -> DataFrame:
-    """Serialise each (sampled) row to JSON, run content detection on it, and
-    union the types per table. Only tables with a hit are returned.
+    """Serialise each row to JSON, run content detection on it, and union the
+    types per table. Only tables with a hit are returned.
 
     With ``ascii_escape`` non-ASCII characters take the shape of the
     ``\\uXXXX`` escapes an ASCII JSON encoder writes (``text.ascii_escaped``),
     so word boundaries next to them behave as in that form.
 
     ``table_col`` groups one DataFrame into many item tables; otherwise the
-    whole DataFrame is one table called ``table_name``. ``max_items`` keeps the
-    first n rows per table by ``key_cols`` (None = every row).
+    whole DataFrame is one table called ``table_name``. ``max_items`` makes it
+    an explicit sample of the first n rows per table by ``key_cols``. The
+    aggregation is max() per flag, so the shuffle carries one partial row per
+    table per task, whatever the skew.
 
     Output: ``table_name, item_count, pii_types, confidence,
     data_classification, access_level``. ``item_count`` is the whole table's.
     """
-    if table_col is None:
+    if max_items is not None and table_col is None:
         df = df.withColumn("__table", F.lit(table_name or "table"))
-        table_col = "__table"
-        payload_cols = [c for c in df.columns if c != "__table"]
+        sampled = sample_rows(df, max_items, key_cols, group_cols=["__table"]).drop("__table")
+    elif max_items is not None:
+        sampled = sample_rows(df, max_items, key_cols, group_cols=[table_col])
     else:
-        payload_cols = list(df.columns)
-    sampled = df if max_items is None else sample_rows(df, max_items, key_cols, group_cols=[table_col])
-    patterns = D.profile_patterns(profile)
-    # A match never crosses a JSON separator (quote, colon, comma, brace,
-    # space), so matching the row's JSON equals matching each field's own
-    # JSON {"c":value} and OR-ing. Per field, the cheap guards (length,
-    # literals, digit run) skip long texts the numeric id fields would
-    # otherwise let through. Each field's JSON and guard are projected once;
-    # the aggregation is max() per flag, so the shuffle carries one partial
-    # row per table per task, whatever the skew.
-    fields = []
-    for c in payload_cols:
-        js = F.to_json(F.struct(F.col(c)))
-        fields.append(T.ascii_escaped(js) if ascii_escape else js)
-    pre = sampled.select(F.col(table_col).alias("table_name"), *[j.alias(f"__j{i}") for i, j in enumerate(fields)])
-    digits = [None] * len(fields)
-    if D.needs_digit_run(patterns):
-        pre = pre.select("*", *[D.has_digit_run(F.col(f"__j{i}")).alias(f"__d{i}") for i in range(len(fields))])
-        digits = [F.col(f"__d{i}") for i in range(len(fields))]
-    hits = []
-    for t, p in patterns.items():
-        cond = None
-        for i in range(len(fields)):
-            h = D.content_hit(F.col(f"__j{i}"), t, p, digit_run=digits[i])
-            cond = h if cond is None else cond | h
-        hits.append(cond)
-    flags = pre.select("table_name", *[h.alias(f"__hit_{i}") for i, h in enumerate(hits)])
-    aggs = [F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(patterns))]
+        sampled = df
+    name = F.col(quoted(table_col)) if table_col and table_col != "__table" else F.lit(table_name or "table")
+    payload = sampled if "__table" not in sampled.columns else sampled.drop("__table")
+    flags = _item_flags(payload, name, [], profile, ascii_escape)
+    n = len(D.profile_patterns(profile))
+    aggs = [F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(n)]
     if max_items is None:
         aggs.append(F.count(F.lit(1)).alias("item_count"))
     per_table = flags.groupBy("table_name").agg(*aggs)
     if max_items is not None:
-        counts = df.groupBy(F.col(table_col).alias("table_name")).agg(F.count(F.lit(1)).alias("item_count"))
+        counts = df.groupBy(name.alias("table_name")).agg(F.count(F.lit(1)).alias("item_count"))
         per_table = per_table.join(counts, "table_name")
-    types = _types_from_flags([(t, F.col(f"__hit_{i}")) for i, t in enumerate(patterns)])
-    out = per_table.select(
-        "table_name", "item_count", types.alias("pii_types")
-    ).where(F.size("pii_types") > 0)
-    out = out.withColumn("confidence", D.confidence_map(F.col("pii_types"), rules.ITEM_TABLE_CONFIDENCE))
-    return with_classification(out)
+    return _item_findings(per_table, profile, [])
+
+
+def scan_item_tables(tables: dict[str, DataFrame], profile: str | dict[str, str] = "content") -> DataFrame:
+    """D5 over several tables with one aggregation: rows of all tables are
+    flagged, then combined per file and per table. Adds ``size_bytes``, the
+    size of the table's files (NULL for a table that is not read from files)."""
+    parts = []
+    for name, df in tables.items():
+        try:
+            file = df.select("_metadata.file_path", "_metadata.file_size")
+            carried = [F.col("_metadata.file_path"), F.col("_metadata.file_size")] if file.columns else []
+        except AnalysisException:
+            carried = [F.lit(None).cast("string"), F.lit(None).cast("bigint")]
+        parts.append(_item_flags(df, F.lit(name), carried, profile, True))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    flags = [f"__hit_{i}" for i in range(len(D.profile_patterns(profile)))]
+    per_file = rows.groupBy("table_name", "__c0").agg(
+        *[F.max(f).alias(f) for f in flags], F.count(F.lit(1)).alias("item_count"), F.max("__c1").alias("size_bytes")
+    )
+    per_table = per_file.groupBy("table_name").agg(
+        *[F.max(f).alias(f) for f in flags], F.sum("item_count").alias("item_count"), F.sum("size_bytes").alias("size_bytes")
+    )
+    return _item_findings(per_table, profile, ["size_bytes"])
+
+
+def scan_documents_once(docs: DataFrame, table_col: str, text_col: str, profile: str | dict[str, str] = "content") -> DataFrame:
+    """Both content scans of one table in one pass: each row's text as an
+    object (D9) and each row's JSON as an item of ``table_col`` (D5).
+
+    One row per table: ``table_name, item_count``, the items' flags
+    ``__hit_i``, and ``objects_<class>``, the objects with PII per class."""
+    patterns = D.profile_patterns(profile)
+    digits = D.has_digit_run(F.col(quoted(text_col))) if D.needs_digit_run(patterns) else None
+    found = C.data_classification(D.content_types(F.col(quoted(text_col)), profile, digits))
+    rows = _item_flags(docs, F.col(quoted(table_col)), [found], profile, True)
+    return rows.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("item_count"),
+        *[F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(patterns))],
+        *[F.count_if(F.col("__c0") == name).alias(f"objects_{name}") for name, _ in rules.RISK_TIERS],
+    )
+
+
+def items_of_scan(per_table: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+    """The item findings (D5) of ``scan_documents_once``."""
+    return _item_findings(per_table, profile, [])
 
 
 # --------------------------------------------------------------------------
@@ -291,7 +406,7 @@ def scan_string_attributes(
     digits = {}
     if D.needs_digit_run(patterns) and string_cols:
         sampled = sampled.select(
-            "*", *[D.has_digit_run(F.col(c)).alias(f"__d{i}") for i, c in enumerate(string_cols)]
+            "*", *[D.has_digit_run(F.col(quoted(c))).alias(f"__d{i}") for i, c in enumerate(string_cols)]
         )
         digits = {c: F.col(f"__d{i}") for i, c in enumerate(string_cols)}
     flags = []
@@ -300,11 +415,11 @@ def scan_string_attributes(
             break
         cond = None
         for c in string_cols:
-            h = D.content_hit(F.col(c), t, p, digit_run=digits.get(c))
+            h = D.content_hit(F.col(quoted(c)), t, p, digit_run=digits.get(c))
             cond = h if cond is None else cond | h
         flags.append((t, cond))
     types = _types_from_flags(flags) if flags else F.array().cast("array<string>")
-    attrs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in df.columns]))
+    attrs = F.array_compact(F.array(*[F.when(F.col(quoted(c)).isNotNull(), F.lit(c)) for c in df.columns]))
     hit = sampled.select(
         F.lit(table_name).alias("table_name"),
         *keys,
@@ -384,10 +499,12 @@ def scan_objects(
     path_col: str = "path",
     text_col: str = "text",
     size_col: str | None = "size_bytes",
-    n_bytes: int = rules.OBJECT_SAMPLE_BYTES,
+    n_bytes: int | None = None,
 ) -> DataFrame:
-    """Objects ``(path, size, text)`` -> findings for objects whose first
-    ``n_bytes`` hold PII (clean objects are not returned)."""
+    """Objects ``(path, size, text)`` -> findings for objects whose text holds
+    PII (clean objects are not returned). The whole text is read; ``n_bytes``
+    makes it an explicit sample of the first bytes."""
     keep = [c for c in (size_col,) if c and c in objects.columns]
-    out = content_findings(objects, [path_col], T.head_bytes(F.col(text_col), n_bytes), keep_cols=keep)
+    text = F.col(text_col) if n_bytes is None else T.head_bytes(F.col(text_col), n_bytes)
+    out = content_findings(objects, [path_col], text, keep_cols=keep)
     return out.withColumn("source_type", F.lit("object"))

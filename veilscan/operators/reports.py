@@ -66,13 +66,16 @@ def scan_totals(
     column_findings: DataFrame,
     object_findings: DataFrame | None = None,
     item_findings: DataFrame | None = None,
+    objects_with_pii: DataFrame | None = None,
 ) -> DataFrame:
     """R1 as one row.
 
     ``total_sources`` = catalog tables + objects with PII + item tables with
     PII; ``pii_sources_found`` counts only objects and item tables;
     ``no_risk_columns_found`` counts columns only. ``catalog_tables`` is the
-    table list (a table without columns still counts).
+    table list (a table without columns still counts if the list has it).
+    Objects are given as findings, or as ``objects_with_pii``, one row with
+    their number in a column of that name.
     """
     # Each input is aggregated on its own (its own map stage, so independent
     # scans run concurrently) and only the partial rows are unioned and summed.
@@ -81,7 +84,7 @@ def scan_totals(
 
     def part(df: DataFrame, **aggs) -> DataFrame:
         row = df.agg(*[a.alias(k) for k, a in aggs.items()])
-        return row.select(*[(F.col(k) if k in aggs else F.lit(0)).cast("long").alias(k) for k in counters])
+        return row.select(*[(F.coalesce(F.col(k), F.lit(0)) if k in aggs else F.lit(0)).cast("long").alias(k) for k in counters])
 
     has = _has_pii()
     parts = [
@@ -91,6 +94,8 @@ def scan_totals(
     ]
     if object_findings is not None:
         parts.append(part(object_findings, objects_with_pii=F.count_if(has)))
+    if objects_with_pii is not None:
+        parts.append(part(objects_with_pii, objects_with_pii=F.sum("objects_with_pii")))
     if item_findings is not None:
         parts.append(part(item_findings, item_tables_with_pii=F.count_if(has)))
     f = reduce(lambda x, y: x.unionByName(y), parts).agg(*[F.sum(k).cast("long").alias(k) for k in counters])
@@ -108,40 +113,33 @@ def scan_totals(
 
 
 def classification_summary(findings: DataFrame) -> DataFrame:
-    """Per classification: number of findings and the sorted set of
-    tables (``db.table`` for columns, bare name for item tables, ``unknown``
-    for objects)."""
+    """R3 in long form: per classification and table the number of findings.
+
+    The table is ``db.table`` for columns, the bare name for item tables and
+    ``unknown`` for objects. Tables are rows, never gathered into a set."""
     table = (
         F.when(F.col("source_type") == "column", F.concat_ws(".", "database", "table_name"))
         .when(F.col("source_type") == "item_table", F.col("table_name"))
         .otherwise(F.lit("unknown"))
     )
-    return findings.groupBy("data_classification").agg(
-        F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_set(table)).alias("tables")
-    )
+    return findings.groupBy("data_classification", table.alias("table_name")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def classification_summary_of(
     columns: DataFrame | None = None, objects: DataFrame | None = None, items: DataFrame | None = None
 ) -> DataFrame:
-    """R3 over the three finding kinds, each summarised on its own first (its
-    own map stage, so independent scans run concurrently), then merged: per
-    class the summed counts and the sorted union of the table sets. Same
-    result as ``classification_summary(unified_findings(...))``."""
-    parts = []
-    if columns is not None:
-        parts.append(columns.groupBy("data_classification").agg(
-            F.count(F.lit(1)).alias("n"), F.collect_set(F.concat_ws(".", "database", "table_name")).alias("t")))
-    if objects is not None:
-        parts.append(objects.groupBy("data_classification").agg(
-            F.count(F.lit(1)).alias("n"), F.array(F.lit("unknown")).alias("t")))
-    if items is not None:
-        parts.append(items.groupBy("data_classification").agg(
-            F.count(F.lit(1)).alias("n"), F.collect_set("table_name").alias("t")))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.groupBy("data_classification").agg(
-        F.sum("n").alias("count"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("tables")
-    )
+    """R3 over the three finding kinds."""
+    return classification_summary(unified_findings(columns, objects, items))
+
+
+def classification_summary_once(columns: DataFrame, per_table: DataFrame, items: DataFrame) -> DataFrame:
+    """R3 from column findings and ``findings.scan_documents_once``, which counts the objects per class."""
+    classes = [name for name, _ in rules.RISK_TIERS]
+    counted = per_table.agg(*[F.sum(f"objects_{c}").alias(c) for c in classes])
+    entries = F.array(*[F.struct(F.lit(c).alias("data_classification"), F.col(c).alias("count")) for c in classes])
+    objects = counted.select(F.inline(entries)).where("count > 0")
+    rows = classification_summary_of(columns, None, items)
+    return rows.unionByName(objects.select("data_classification", F.lit("unknown").alias("table_name"), "count"))
 
 
 def run_counts(catalog_results: DataFrame, classified: DataFrame) -> DataFrame:

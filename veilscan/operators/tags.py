@@ -63,14 +63,18 @@ def table_classification(findings: DataFrame, types_col: str = "pii_types", keys
 def classify_sources(catalog_results: DataFrame, name_col: str = "name") -> DataFrame:
     """D7 + C4 + C5: source-name profile. Output: source, type, database,
     pii_types (duplicates kept), risk_level (HIGH/MEDIUM/NO_RISK), tagged, and
-    the four applied tags as a map."""
+    the four applied tags as a map. Only a cataloged source can be tagged:
+    ``tagged`` is its ``status`` (input without one counts as cataloged), and
+    a source that is not tagged has no tags."""
     n = F.col(name_col)
     types = D.source_types(n)
+    status = F.coalesce(F.col("status") == rules.CATALOGED, F.lit(False))
     out = catalog_results.select(
         n.alias("source"),
         F.col("type"),
         F.col("database"),
         types.alias("pii_types"),
+        (status if "status" in catalog_results.columns else F.lit(True)).alias("tagged"),
     )
     out = out.withColumn("risk_level", C.source_risk(F.col("pii_types")))
     tag_map = F.create_map(
@@ -79,7 +83,8 @@ def classify_sources(catalog_results: DataFrame, name_col: str = "name") -> Data
         F.lit("PIIType"), C.primary_type(F.col("pii_types")),
         F.lit("DataGovernance"), C.source_governance(F.col("pii_types"), F.col("risk_level")),
     )
-    return out.withColumn("tagged", F.lit(True)).withColumn("tags", tag_map)
+    out = out.withColumn("tags", F.when(F.col("tagged"), tag_map))
+    return out.select("source", "type", "database", "pii_types", "risk_level", "tagged", "tags")
 
 
 def source_tags(classified: DataFrame) -> DataFrame:

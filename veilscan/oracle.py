@@ -88,7 +88,7 @@ def source_types_list(name: str) -> str:
     return expr
 
 
-def head_bytes(text: str, n: int = rules.OBJECT_SAMPLE_BYTES) -> str:
+def head_bytes(text: str, n: int) -> str:
     tries = [f"try(decode(encode({text})[1:{n - k}]))" for k in range(4)]
     return "coalesce(" + ", ".join(tries) + ")"
 
@@ -101,13 +101,28 @@ c AS (SELECT {k}, pii_types, {classification('pii_types')} AS data_classificatio
 SELECT {k}, pii_types, data_classification, {access('data_classification')} AS access_level FROM c"""
 
 
+def _attributes_cte() -> str:
+    """Every attribute that some row holds, with the number of rows that have it."""
+    counted = "\n  UNION ALL ".join(
+        f"SELECT {q(t)} AS table_name, column_name, rows FROM "
+        f"(UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE rows)"
+        for t in TABLE_NAMES
+    )
+    return f"""cat AS (SELECT table_name, column_name, rows FROM ({counted}) WHERE rows > 0),
+{_findings_of_cat('rows, ')}"""
+
+
+def _findings_of_cat(more: str = "") -> str:
+    return f"""cf AS (SELECT table_name, column_name, {more}{name_types('column_name')} AS pii_types FROM cat),
+cfc AS (SELECT table_name, column_name, {more}pii_types, {classification('pii_types')} AS data_classification FROM cf)"""
+
+
 def _catalog_cte() -> str:
     names = ", ".join(q(n) for n in TABLE_NAMES)
     return f"""cat AS (
   SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({names})
 ),
-cf AS (SELECT table_name, column_name, {name_types('column_name')} AS pii_types FROM cat),
-cfc AS (SELECT table_name, column_name, pii_types, {classification('pii_types')} AS data_classification FROM cf)"""
+{_findings_of_cat()}"""
 
 
 def _column_tags_cte() -> str:
@@ -126,47 +141,53 @@ def _column_tags_cte() -> str:
 )"""
 
 
-def _sources_cte(src_select: str | None = None) -> str:
+# Sources found in the data: web hosts as file sources, documents.source as item tables.
+SOURCES = """SELECT type, name, max(filled) AS filled FROM (
+  SELECT 'file' AS type, regexp_extract(url, '^https?://([^/?#]+)', 1) AS name, length(html) > 0 AS filled FROM pages
+  UNION ALL SELECT 'table', source, length(text) > 0 FROM documents
+) WHERE name <> '' GROUP BY type, name"""
+HOST_SOURCES = f"SELECT 'file' AS type, name, true AS filled FROM ({HOSTS})"
+
+
+def _sources_cte(src: str = SOURCES) -> str:
     risk = (
         "CASE WHEN len(l) = 0 THEN 'NO_RISK' "
         f"WHEN len(l) >= {rules.SOURCE_HIGH_RISK_MIN_TYPES} THEN 'HIGH' ELSE 'MEDIUM' END"
     )
-    src = src_select or "SELECT DISTINCT table_name AS name FROM cat"
-    return f"""{_catalog_cte()},
-src AS ({src}),
-sl AS (SELECT name, {source_types_list('name')} AS l FROM src),
+    return f"""src AS ({src}),
+sl AS (SELECT type, name, coalesce(filled, false) AS tagged, {source_types_list('name')} AS l FROM src),
 scls AS (
-  SELECT name AS source, l, array_to_string(l, ',') AS pii_types, {risk} AS risk_level, true AS tagged FROM sl
+  SELECT type, name AS source, l, array_to_string(l, ',') AS pii_types, {risk} AS risk_level, tagged FROM sl
 ),
 stags AS (
   SELECT source, pii_types, risk_level, tagged,
-    {access('risk_level')} AS access_level,
-    coalesce(l[1], 'NONE') AS pii_type,
-    CASE WHEN len(l) = 0 THEN 'PUBLIC' WHEN risk_level IN ('HIGH', 'CRITICAL_RISK') THEN 'PII_DETECTED'
+    CASE WHEN tagged THEN {access('risk_level')} END AS access_level,
+    CASE WHEN tagged THEN coalesce(l[1], 'NONE') END AS pii_type,
+    CASE WHEN NOT tagged THEN NULL WHEN len(l) = 0 THEN 'PUBLIC' WHEN risk_level IN ('HIGH', 'CRITICAL_RISK') THEN 'PII_DETECTED'
          ELSE 'REQUIRES_MASKING' END AS data_governance
   FROM scls
 ),
 counts AS (
   SELECT
-    (SELECT count(*) FROM src) AS file_sources,
-    0::BIGINT AS table_sources,
-    (SELECT count(*) FROM src) AS total_cataloged,
-    (SELECT count(*) FROM src) AS successful,
-    0::BIGINT AS failed,
+    count(*) FILTER (WHERE type = 'file') AS file_sources,
+    count(*) FILTER (WHERE type = 'table') AS table_sources,
+    count(*) AS total_cataloged,
+    count(*) FILTER (WHERE tagged) AS successful,
+    count(*) FILTER (WHERE NOT tagged) AS failed,
     count(*) AS total_classified,
     count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk,
     count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium_risk,
     count(*) FILTER (WHERE risk_level = 'LOW') AS low_risk,
     count(*) FILTER (WHERE risk_level = 'NO_RISK') AS no_risk,
     count(*) FILTER (WHERE tagged) AS tagged_resources
-  FROM stags
+  FROM scls
 )"""
 
 
 def _doc_objects_cte() -> str:
     return f"""objs AS (
   SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, strlen(text)::BIGINT AS size_bytes,
-         {types_str(head_bytes('text'))} AS pii_types
+         {types_str('text')} AS pii_types
   FROM documents
 ),
 objf AS (SELECT path, size_bytes, pii_types, {classification('pii_types')} AS data_classification FROM objs WHERE pii_types <> '')"""
@@ -211,7 +232,7 @@ def _people_cte() -> str:
     30000 + ({k} * 37) % 90000 AS salary,
     CAST(18 + {k} % 60 AS INTEGER) AS age,
     CAST({k} % 900 + 100 AS VARCHAR) || ' Main Street' AS street_address,
-    c_mktsegment
+    c_nationkey, c_acctbal, c_mktsegment
   FROM customer
 )"""
 
@@ -262,7 +283,7 @@ def _mask(col: str, pii_type: str, strategy: str, first: int = 0, last: int = 0,
         e = q(f"[REDACTED_{pii_type}]")
     else:
         e = _format(v, pii_type, ch)
-    return _guard(v, e) + f" AS {col}"
+    return _guard(v, e)
 
 
 PEOPLE_TYPES = {
@@ -270,21 +291,31 @@ PEOPLE_TYPES = {
     "date_of_birth": "DATE_OF_BIRTH", "salary": "SALARY", "age": "AGE", "street_address": "ADDRESS",
 }
 PEOPLE_COLUMNS = ["c_custkey", "c_name", "email", "phone", "ssn", "credit_card_number", "date_of_birth",
-                  "salary", "age", "street_address", "c_mktsegment"]
+                  "salary", "age", "street_address", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def _masked(v: str, pii_type: str, custom: dict[str, tuple] | None = None) -> str:
+    strategy, first, last, ch = (custom or {}).get(pii_type, rules.DEFAULT_MASKING[pii_type] + ("*",))
+    return _mask(v, pii_type, strategy, first, last, ch)
 
 
 def _masking_sql(custom: dict[str, tuple]) -> str:
-    sel = []
-    for c in PEOPLE_COLUMNS:
-        t = PEOPLE_TYPES.get(c)
-        if t is None:
-            sel.append(c)
-            continue
-        strategy, first, last, ch = custom.get(t, rules.DEFAULT_MASKING[t] + ("*",))
-        sel.append(_mask(c, t, strategy, first, last, ch))
+    sel = [f"{_masked(c, PEOPLE_TYPES[c], custom)} AS {c}" if c in PEOPLE_TYPES else c for c in PEOPLE_COLUMNS]
+    sel += [
+        f"{_masked('email', 'EMAIL', custom)} AS contact_email",
+        f"concat_ws(';', {_masked('phone', 'PHONE', custom)}, {_masked(q('none'), 'PHONE', custom)}) AS contact_phones",
+        "c_custkey AS contact_id",
+    ]
     return f"WITH {_people_cte()}\nSELECT " + ",\n  ".join(sel) + " FROM ppl"
 
 
+def _masked_values_sql() -> str:
+    typed = {"email": "EMAIL", "phone": "PHONE", "ssn": "SSN", "credit_card_number": "CREDIT_CARD"}
+    rows = [f"SELECT c_custkey, {q(t)} AS pii_type, {_masked(c, t)} AS masked FROM ppl" for c, t in typed.items()]
+    rows.append("SELECT c_custkey, 'SEGMENT' AS pii_type, c_mktsegment AS masked FROM ppl")
+    return f"WITH {_people_cte()}\n" + "\nUNION ALL ".join(rows)
+
+
 def _entity_sql() -> str:
     from veilscan.plans.standins import ENTITY_NAMES
 
@@ -358,12 +389,14 @@ def oracle_sql() -> dict[str, str]:
         "conversation_findings": _findings("conversations", ["conv_id", "turn"], "text"),
         "simple_findings": _findings("documents", ["doc_id"], "text", "simple"),
         "head_byte_findings": _findings(
-            f"(SELECT doc_id, {head_bytes('text')} AS hb FROM documents)", ["doc_id"], "hb"
+            f"(SELECT doc_id, {head_bytes('text', 1024)} AS hb FROM documents)", ["doc_id"], "hb"
         ),
         "head_char_findings": _findings(
-            f"(SELECT doc_id, left(text, {rules.DIRECT_SCAN_CHARS}) AS hc FROM documents)", ["doc_id"], "hc", "simple"
+            f"(SELECT doc_id, left(text, 1000) AS hc FROM documents)", ["doc_id"], "hc", "simple"
         ),
         "object_findings": f"WITH {_doc_objects_cte()}\nSELECT path, size_bytes, pii_types, data_classification FROM objf",
+        "finding_split": f"""
+SELECT source, {types_str('text')} <> '' AS has_pii, count(*) AS documents FROM documents GROUP BY ALL""",
         "type_summary": f"""
 WITH t AS (SELECT doc_id, source, {types_str('text')} AS types FROM documents),
 e AS (SELECT doc_id, source, unnest(string_split(types, ',')) AS pii_type FROM t WHERE types <> '')
@@ -380,16 +413,16 @@ SELECT page_id, pii_types, attributes FROM t WHERE pii_types <> ''""",
         "column_content_profile": _column_content_profile_sql(),
         "entity_merge": _entity_sql(),
         "column_name_findings": f"""
-WITH {_catalog_cte()}
-SELECT table_name, column_name, pii_types, data_classification, {access('data_classification')} AS access_level FROM cfc""",
+WITH {_attributes_cte()}
+SELECT table_name, column_name, rows, pii_types, data_classification, {access('data_classification')} AS access_level FROM cfc""",
         "analyze_tables": f"""
-WITH {_catalog_cte()}
+WITH {_attributes_cte()}
 SELECT table_name, column_name, pii_types <> '' AS is_pii,
   CASE WHEN pii_types = '' THEN 'N/A' ELSE split_part(pii_types, ',', 1) END AS pii_type,
   CASE WHEN pii_types = '' THEN 0.0 ELSE {rules.NAME_CONFIDENCE} END::DOUBLE AS confidence FROM cf""",
-        "column_tags": f"WITH {_catalog_cte()},\n{_column_tags_cte()}\nSELECT table_name, column_name, tag_key, tag_value FROM ctags",
+        "column_tags": f"WITH {_attributes_cte()},\n{_column_tags_cte()}\nSELECT table_name, column_name, tag_key, tag_value FROM ctags",
         "table_classes": f"""
-WITH {_catalog_cte()},
+WITH {_attributes_cte()},
 tg AS (
   SELECT table_name, concat_ws(',', {', '.join(f"CASE WHEN bool_or(list_contains(string_split(pii_types, ','), {q(t)})) THEN {q(t)} END" for t in rules.COLUMN_TYPES)}) AS pii_types,
     count(*) AS columns, count(*) FILTER (WHERE pii_types <> '') AS pii_columns
@@ -402,10 +435,10 @@ WITH {_sources_cte()}
 SELECT source AS table_name, s.k AS tag_key, s.v AS tag_value FROM (
   SELECT source, unnest([struct_pack(k := 'DataClassification', v := risk_level), struct_pack(k := 'AccessLevel', v := access_level),
                          struct_pack(k := 'PIIType', v := pii_type), struct_pack(k := 'DataGovernance', v := data_governance)]) AS s
-  FROM stags)""",
-        "page_host_classes": f"WITH {_sources_cte(HOSTS)}\nSELECT source, pii_types, risk_level, access_level, pii_type, data_governance FROM stags",
+  FROM stags WHERE tagged)""",
+        "page_host_classes": f"WITH {_sources_cte(HOST_SOURCES)}\nSELECT source, pii_types, risk_level, access_level, pii_type, data_governance FROM stags",
         "page_host_kpis": f"""
-WITH {_sources_cte(HOSTS)}
+WITH {_sources_cte(HOST_SOURCES)}
 SELECT file_sources + table_sources AS total_sources, successful AS cataloged_sources,
   high_risk + medium_risk AS pii_sources, high_risk AS high_risk_sources,
   least(100.0, tagged_resources / greatest(1, high_risk + medium_risk) * 100.0)::DOUBLE AS compliance_score,
@@ -423,16 +456,17 @@ WITH {_sources_cte()}
 SELECT pii_type, count(*) AS occurrences FROM (SELECT unnest(l) AS pii_type FROM scls) GROUP BY pii_type""",
         "tag_keys_used": f"""
 WITH {_sources_cte()}
-SELECT DISTINCT unnest(['DataClassification', 'AccessLevel', 'PIIType', 'DataGovernance']) AS tag_key FROM scls""",
+SELECT DISTINCT unnest(['DataClassification', 'AccessLevel', 'PIIType', 'DataGovernance']) AS tag_key FROM scls WHERE tagged""",
         "workflow_summary": f"""
 WITH {_sources_cte()}
 SELECT file_sources + table_sources AS data_sources, total_cataloged AS cataloged_items,
   total_classified AS classified_sources, high_risk AS high_risk_sources FROM counts""",
         "tag_definitions": f"""
-WITH {_catalog_cte()},
+WITH {_attributes_cte()},
 {_column_tags_cte()},
+{_tag_log_cte()},
 ex AS (SELECT DISTINCT tag_key, tag_value FROM ({_defs_values(rules.SOURCE_TAG_DEFINITIONS)})),
-wanted AS (SELECT DISTINCT tag_key, tag_value FROM ({_defs_values(rules.COLUMN_TAG_DEFINITIONS)} UNION ALL SELECT tag_key, tag_value FROM ctags))
+wanted AS (SELECT DISTINCT tag_key, tag_value FROM (SELECT tag_key, tag_value FROM lg UNION ALL SELECT tag_key, tag_value FROM ctags))
 SELECT tag_key, tag_value, 'exists' AS status FROM ex
 UNION ALL
 SELECT w.tag_key, w.tag_value, 'created' AS status FROM wanted w ANTI JOIN ex USING (tag_key, tag_value)""",
@@ -475,19 +509,21 @@ u AS (
   UNION ALL SELECT data_classification, 'unknown' AS t FROM objf
   UNION ALL SELECT data_classification, table_name AS t FROM itf
 )
-SELECT data_classification, count(*) AS count, string_agg(DISTINCT t, ',' ORDER BY t) AS tables FROM u GROUP BY data_classification""",
+SELECT data_classification, t AS table_name, count(*) AS count FROM u GROUP BY ALL""",
         "source_summary": """
 SELECT count(*) AS objects, count(DISTINCT source) AS item_tables, count(*) + count(DISTINCT source) AS total_sources
 FROM documents""",
         "row_samples": f"""
 SELECT event_type, event_id, user_id, value FROM (
   SELECT event_type, event_id, user_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events
-) WHERE rn <= {rules.MAX_ITEMS}""",
+) WHERE rn <= 10""",
         "table_stats": "\nUNION ALL\n".join(
-            f"SELECT {q(t)} AS table_name, (SELECT count(*) FROM {t}) AS item_count, "
-            f"(SELECT count(*) FROM information_schema.columns WHERE table_name = {q(t)}) AS attributes"
+            f"SELECT {q(t)} AS table_name, (SELECT count(*) FROM {t}) AS item_count, count(*) AS attributes, "
+            f"string_agg(column_name, ',' ORDER BY ordinal_position) AS attribute_names "
+            f"FROM information_schema.columns WHERE table_name = {q(t)}"
             for t in TABLE_NAMES
         ),
+        "masked_values": _masked_values_sql(),
         "masking_default": _masking_sql({}),
         "masking_strategies": _masking_sql({
             "NAME": (rules.FULL_MASK, 0, 0, "*"),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from veilscan import rules
 from veilscan.functions import classify as C
-from veilscan.functions.mask import masking_rule
+from veilscan.functions import detect as D
+from veilscan.functions.mask import mask_by_type, masking_rule
 from veilscan.operators import findings as FD
 from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
@@ -22,6 +23,7 @@ from veilscan.plans import standins
 from veilscan.session import TABLES, local_frame, read_table, read_tables
 from veilscan.sources.catalog import catalog_columns_from_frames
 from veilscan.sources.objects import source_summary as _source_summary
+from veilscan.sources.objects import tables_stats as _tables_stats
 from veilscan.sources.samples import sample_rows
 
 CATALOG_DB = "main"
@@ -60,26 +62,41 @@ def simple_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(FD.content_findings(docs, "doc_id", "text", profile="simple"), ["doc_id"])
 
 
+HEAD_BYTES, HEAD_CHARS, SAMPLE_ROWS = 1024, 1000, 10
+
+
 def head_byte_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S4 + D2: detection on the first 1024 UTF-8 bytes of each document."""
+    """S4 + D2: an explicit sample, the first 1024 UTF-8 bytes of each document."""
     docs = read_table(spark, sf_dir, "documents")
-    return _flat(FD.head_byte_findings(docs, "doc_id", "text"), ["doc_id"])
+    return _flat(FD.head_byte_findings(docs, "doc_id", "text", HEAD_BYTES), ["doc_id"])
 
 
 def head_char_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5 + D3: simple detection on the first 1000 characters of each document."""
+    """S5 + D3: an explicit sample, the first 1000 characters of each document."""
     docs = read_table(spark, sf_dir, "documents")
-    return _flat(FD.head_char_findings(docs, "doc_id", "text"), ["doc_id"])
+    return _flat(FD.head_char_findings(docs, "doc_id", "text", HEAD_CHARS), ["doc_id"])
 
 
 def object_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents viewed as objects (path, size, text); objects whose first
-    1024 bytes hold PII."""
+    """Documents viewed as objects (path, size, text); objects whose whole
+    text holds PII."""
     objs = standins.document_objects(read_table(spark, sf_dir, "documents"))
     out = FD.scan_objects(objs)
     return out.select("path", "size_bytes", C.types_string("pii_types").alias("pii_types"), "data_classification")
 
 
+def finding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: documents as objects, with their types or none, split into findings
+    with PII and without; counts of both by source."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = docs.select("source", D.content_types("text", "content").alias("pii_types"))
+    with_pii, without = R.split_findings(found)
+    both = with_pii.select("source", F.lit(True).alias("has_pii")).unionByName(
+        without.select("source", F.lit(False).alias("has_pii"))
+    )
+    return both.groupBy("source", "has_pii").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per content type: documents holding it and distinct sources."""
     docs = read_table(spark, sf_dir, "documents")
@@ -131,32 +148,46 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes that the tables' rows hold, with the number of rows that have each."""
+    parts = []
+    for name, df in read_tables(spark, sf_dir).items():
+        counted = df.agg(*[F.count(F.col(FD.quoted(c))).alias(c) for c in df.columns])
+        entries = F.array(*[
+            F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"),
+                     F.lit(i).cast("long").alias("ordinal"), F.col(FD.quoted(f.name)).alias("rows"))
+            for i, f in enumerate(df.schema.fields)
+        ])
+        parts.append(counted.select(F.lit(CATALOG_DB).alias("database"), F.lit(name).alias("table_name"),
+                                    F.lit(None).cast("string").alias("location"), F.inline(entries)))
+    return reduce(lambda a, b: a.unionByName(b), parts).where("rows > 0")
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = read_tables(spark, sf_dir)
-    return catalog_columns_from_frames(spark, frames, database=CATALOG_DB)
+    return catalog_columns_from_frames(spark, read_tables(spark, sf_dir), database=CATALOG_DB)
 
 
 def column_name_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + D1 + C1 + C2 over every column of the 14 table schemas."""
-    f = FD.column_name_findings(_catalog(spark, sf_dir))
-    return _flat(f, ["table_name", "column_name"])
+    """S1 + D1 + C1 + C2 over every attribute that the rows of the 14 tables hold."""
+    f = FD.column_name_findings(_attributes(spark, sf_dir))
+    return _flat(f, ["table_name", "column_name", "rows"])
 
 
 def analyze_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8 for every table: is_pii, first type or N/A, confidence."""
-    out = FD.analyze_table(_catalog(spark, sf_dir))
+    """D8 for every table over the attributes its rows hold: is_pii, first type or N/A, confidence."""
+    out = FD.analyze_table(_attributes(spark, sf_dir))
     return out.select("table_name", F.col("name").alias("column_name"), "is_pii", "pii_type", "confidence")
 
 
 def column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5 tags per PII column, 4 defaults per clean column."""
-    f = FD.column_name_findings(_catalog(spark, sf_dir))
+    """C3 over the attributes the rows hold: 5 tags per PII column, 4 defaults per clean column."""
+    f = FD.column_name_findings(_attributes(spark, sf_dir))
     return TG.column_tags(f).select("table_name", "column_name", "tag_key", "tag_value")
 
 
 def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables rolled up from their column findings."""
-    f = FD.column_name_findings(_catalog(spark, sf_dir))
+    """Tables rolled up from the findings of the attributes their rows hold."""
+    f = FD.column_name_findings(_attributes(spark, sf_dir))
     out = TG.table_classification(f)
     return out.select(
         "table_name", C.types_string("pii_types").alias("pii_types"), "columns", "pii_columns",
@@ -164,11 +195,23 @@ def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _catalog(spark, sf_dir).select(F.col("table_name").alias("name")).distinct()
-    cat = names.select(
-        F.lit("file").alias("type"), "name", F.lit(rules.CATALOGED).alias("status"),
-        F.concat(F.replace("name", F.lit("-"), F.lit("_")), F.lit(rules.FILE_DATABASE_SUFFIX)).alias("database"),
+def _classified(spark: SparkSession, sf_dir: str):
+    """Sources found in the data: every web host of the pages (as file sources)
+    and every ``documents.source`` (as item tables), registered if any of
+    their rows has a text; the rest could not be cataloged."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.lit("file").alias("type"), F.regexp_extract("url", HOST_PATTERN, 1).alias("name"),
+        (F.length("html") > 0).alias("filled"),
+    )
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.lit("table").alias("type"), F.col("source").alias("name"), (F.length("text") > 0).alias("filled")
+    )
+    found = pages.unionByName(docs).where(F.col("name") != "").groupBy("type", "name").agg(F.max("filled").alias("filled"))
+    file_db = F.concat(F.regexp_replace("name", "[^0-9A-Za-z_]", "_"), F.lit(rules.FILE_DATABASE_SUFFIX))
+    cat = found.select(
+        "type", "name",
+        F.when(F.col("filled"), F.lit(rules.CATALOGED)).otherwise(F.lit(rules.CATALOG_ERROR)).alias("status"),
+        F.when(F.col("type") == "file", file_db).otherwise(F.lit(rules.ITEM_TABLE_DATABASE)).alias("database"),
     )
     return cat, TG.classify_sources(cat)
 
@@ -207,7 +250,7 @@ def page_host_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D7 + C4 + C5: the source-name profile over the table names."""
+    """D7 + C4 + C5: the source-name profile over all sources found in the data."""
     _, cls = _classified(spark, sf_dir)
     return cls.select(
         "source",
@@ -226,7 +269,7 @@ def source_tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discovery_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R4 -> R6 over the source-name classification of the tables."""
+    """R4 -> R6 over all sources found in the data."""
     cat, cls = _classified(spark, sf_dir)
     return R.kpis(R.run_counts(cat, cls))
 
@@ -250,14 +293,12 @@ def workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The column-profile vocabulary added to the source-profile one.
-
-    The vocabularies are fixed rule data; the wanted set is every tag value
-    the column-name scan actually produced plus the vocabulary."""
+    """The tag pairs that the tag change log and the attributes' tags use,
+    added to the source-profile vocabulary."""
     existing = TG.tag_definitions(spark, rules.SOURCE_TAG_DEFINITIONS)
-    produced = TG.column_tags(FD.column_name_findings(_catalog(spark, sf_dir))).select("tag_key", "tag_value")
-    wanted = TG.tag_definitions(spark, rules.COLUMN_TAG_DEFINITIONS).unionByName(produced)
-    return TG.ensure_tag_definitions(existing, wanted)
+    log = standins.tag_change_log(read_table(spark, sf_dir, "events")).select("tag_key", "tag_value")
+    produced = TG.column_tags(FD.column_name_findings(_attributes(spark, sf_dir))).select("tag_key", "tag_value")
+    return TG.ensure_tag_definitions(existing, log.unionByName(produced))
 
 
 def tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,26 +318,25 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.register_resources(tables, tables.unionByName(objs))
 
 
+def _documents_once(spark: SparkSession, sf_dir: str):
+    """Documents scanned once, as objects and as items of their sources."""
+    per_table = FD.scan_documents_once(read_table(spark, sf_dir, "documents"), "source", "text")
+    return per_table, FD.items_of_scan(per_table)
+
+
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog columns, object findings and item-table findings totalled."""
+    """Catalog columns, object findings and item-table findings totalled."""
     catalog = _catalog(spark, sf_dir)
-    cols = FD.column_name_findings(catalog)
-    docs = read_table(spark, sf_dir, "documents")
-    objs = FD.scan_objects(standins.document_objects(docs))
-    items = FD.scan_items_json(docs, table_col="source")
-    return R.scan_totals(catalog, cols, objs, items)
+    per_table, items = _documents_once(spark, sf_dir)
+    counts = [F.col(f"objects_{name}") for name, _ in rules.RISK_TIERS]
+    objects = per_table.select(reduce(lambda a, b: a + b, counts).alias("objects_with_pii"))
+    return R.scan_totals(catalog, FD.column_name_findings(catalog), None, items, objects_with_pii=objects)
 
 
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3 over columns, objects and item tables together."""
-    catalog = _catalog(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents")
-    out = R.classification_summary_of(
-        FD.column_name_findings(catalog),
-        FD.scan_objects(standins.document_objects(docs)),
-        FD.scan_items_json(docs, table_col="source"),
-    )
-    return out.select("data_classification", "count", F.concat_ws(",", "tables").alias("tables"))
+    """R3 over columns, objects and item tables together, one row per class and table."""
+    per_table, items = _documents_once(spark, sf_dir)
+    return R.classification_summary_once(FD.column_name_findings(_catalog(spark, sf_dir)), per_table, items)
 
 
 def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,19 +350,16 @@ def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 10 events per event type by event id (the sample is the feature)."""
     ev = read_table(spark, sf_dir, "events")
-    return sample_rows(ev, rules.MAX_ITEMS, "event_id", group_cols=["event_type"]).select(
+    return sample_rows(ev, SAMPLE_ROWS, "event_id", group_cols=["event_type"]).select(
         "event_type", "event_id", "user_id", "value"
     )
 
 
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 for every table: item count and attribute count."""
-    from veilscan.sources.objects import table_stats as _stats
-
-    parts = []
-    for n, df in read_tables(spark, sf_dir).items():
-        parts.append(_stats(df, n).select("table_name", "item_count", F.lit(len(df.columns)).cast("long").alias("attributes")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """S3 for every table: item count, number of attributes and their names."""
+    out = _tables_stats(read_tables(spark, sf_dir))
+    return out.select("table_name", "item_count", F.size("attributes").cast("long").alias("attributes"),
+                      F.concat_ws(",", F.transform("attributes", lambda a: a["name"])).alias("attribute_names"))
 
 
 # --------------------------------------------------------------------------
@@ -334,7 +371,23 @@ def masking_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7 + M9: every PII column of the person table masked by its first
     column-name type with the default rules."""
     ppl = standins.people(read_table(spark, sf_dir, "customer"))
-    return mask_table(ppl)
+    return _flat_contact(mask_table(ppl))
+
+
+def _flat_contact(df: DataFrame) -> DataFrame:
+    """The struct column's parts as columns of their own."""
+    parts = [F.col("contact.email").alias("contact_email"), F.concat_ws(";", "contact.phones").alias("contact_phones"),
+             F.col("contact.id").alias("contact_id")]
+    return df.select(*[c for c in df.columns if c != "contact"], *parts)
+
+
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 per row: one typed value per person and column, masked by its row's type."""
+    ppl = standins.people(read_table(spark, sf_dir, "customer"))
+    typed = {"email": "EMAIL", "phone": "PHONE", "ssn": "SSN", "credit_card_number": "CREDIT_CARD", "c_mktsegment": "SEGMENT"}
+    cells = F.array(*[F.struct(F.lit(t).alias("pii_type"), F.col(c).alias("value")) for c, t in typed.items()])
+    rows = ppl.select("c_custkey", F.inline(cells))
+    return rows.select("c_custkey", "pii_type", mask_by_type("value", "pii_type").alias("masked"))
 
 
 def masking_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +404,7 @@ def masking_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "DATE_OF_BIRTH": masking_rule("DATE_OF_BIRTH", "partial_mask", show_first=2, show_last=4),
         "AGE": masking_rule("AGE", "redact"),
     }
-    return mask_table(ppl, custom_rules=custom)
+    return _flat_contact(mask_table(ppl, custom_rules=custom))
 
 
 QUERIES = {
@@ -362,6 +415,7 @@ QUERIES = {
     "head_byte_findings": head_byte_findings,
     "head_char_findings": head_char_findings,
     "object_findings": object_findings,
+    "finding_split": finding_split,
     "type_summary": type_summary,
     "source_table_types": source_table_types,
     "string_attribute_findings": string_attribute_findings,
@@ -388,5 +442,6 @@ QUERIES = {
     "row_samples": row_samples,
     "table_stats": table_stats,
     "masking_default": masking_default,
+    "masked_values": masked_values,
     "masking_strategies": masking_strategies,
 }

@@ -22,7 +22,8 @@ ENTITY_NAMES = ["EMAIL", "SSN", "PHONE", "CREDIT_DEBIT_NUMBER", "DATE_TIME", "NA
 def people(customer: DataFrame) -> DataFrame:
     """A person table with PII columns named so the column-name profile finds
     them: ``c_custkey, c_name, email, phone, ssn, credit_card_number,
-    date_of_birth, salary, age, street_address, c_mktsegment``. Some values are
+    date_of_birth, salary, age, street_address, contact, c_nationkey, c_acctbal,
+    c_mktsegment``; ``contact`` is a struct with an e-mail and a list of phones. Some values are
     NULL or empty, some SSNs/phones/cards are malformed on purpose."""
     k = F.col("c_custkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
@@ -59,6 +60,9 @@ def people(customer: DataFrame) -> DataFrame:
         (30000 + (k * 37) % 90000).alias("salary"),
         (18 + k % 60).cast("int").alias("age"),
         F.concat((k % 900 + 100).cast("string"), F.lit(" Main Street")).alias("street_address"),
+        F.struct(email.alias("email"), F.array(phone, F.lit("none")).alias("phones"), k.alias("id")).alias("contact"),
+        F.col("c_nationkey"),
+        F.col("c_acctbal"),
         F.col("c_mktsegment"),
     )
 
