@@ -123,9 +123,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jump_sharding": """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+rows AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents
+),
+hashed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM rows, crc_table
+),
+numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // 8192 * 8192 AS piece FROM hashed
+),
+jumps AS (
+  SELECT DISTINCT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT::HUGEINT AS key,
+    (-1)::BIGINT AS shard, 0::BIGINT AS next
+  FROM numbered
+  UNION ALL
+  SELECT doc_id, stepped, next, floor((next + 1) * (2147483648.0::DOUBLE / ((stepped // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, next, (key * 2862933555777941757 + 1) % 18446744073709551616 AS stepped FROM jumps WHERE next < 16)
+),
+shards AS (SELECT doc_id, shard, next FROM jumps WHERE next >= 16)
+SELECT n.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY
+    ('0x' || substr(md5(coalesce(n.doc_id::VARCHAR, '') || ':' || piece), 1, 8))::BIGINT % 1024, n.doc_id NULLS FIRST, size, text_crc32, piece) - 1 AS slot,
+  CASE WHEN next = 16 THEN 16 ELSE shard END::INTEGER AS grown_shard
+FROM numbered n JOIN shards s ON n.doc_id IS NOT DISTINCT FROM s.doc_id
+""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_suffix_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT n, s, md5(b[s + 1:s + 400]) AS h FROM (SELECT n, b, unnest(range(octet_length(b) - 399)) AS s FROM docs WHERE octet_length(b) >= 400)),
+repeated AS (SELECT n, s FROM (SELECT n, s, count(*) OVER (PARTITION BY h) AS c FROM starts) WHERE c > 1),
+marked AS (SELECT n, s, CASE WHEN s > lag(s) OVER (PARTITION BY n ORDER BY s) + 400 THEN 1 ELSE 0 END AS new FROM repeated),
+spans AS (SELECT n, min(s) AS lo, max(s) + 400 AS hi FROM (SELECT n, s, sum(new) OVER (PARTITION BY n ORDER BY s) AS g FROM marked) GROUP BY n, g),
+gaps AS (
+  SELECT n, lag(hi, 1, 0) OVER (PARTITION BY n ORDER BY lo) AS a, lo AS z FROM spans
+  UNION ALL SELECT n, max(hi), 9223372036854775807 FROM spans GROUP BY n
+),
+kept AS (SELECT g.n, string_agg(hex(b[a + 1:least(z, octet_length(b))]), '' ORDER BY a) AS k FROM gaps g JOIN docs d ON g.n = d.n GROUP BY g.n)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN runs IS NULL THEN b ELSE unhex(k) END) AS kept_sha256
+FROM docs d LEFT JOIN (SELECT n, sum(hi - lo) AS removed, count(*) AS runs FROM spans GROUP BY n) r ON d.n = r.n LEFT JOIN kept ON d.n = kept.n
+""",
+    "op10_dart_minhash": """
+WITH RECURSIVE nodes AS (
+  SELECT row_number() OVER () AS n, t, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)
+),
+shingles AS (
+  SELECT n, g, count(*) AS weight FROM (
+    SELECT n, unnest(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
+    FROM nodes WHERE len(w) > 0
+  ) GROUP BY ALL
+),
+totals AS (SELECT n, sum(weight) AS total FROM shingles GROUP BY n),
+shared AS (
+  SELECT x.n AS a, y.n AS b, sum(least(x.weight, y.weight)) AS common
+  FROM shingles x JOIN shingles y ON x.g = y.g AND x.n < y.n GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM shared JOIN totals x ON a = x.n JOIN totals y ON b = y.n
+  WHERE common::DOUBLE / (x.total + y.total - common)::DOUBLE >= 0.8
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT n AS start, n FROM nodes UNION SELECT start, b FROM reach JOIN edges ON reach.n = edges.a),
+firsts AS (SELECT n, min(doc_id) AS first FROM nodes JOIN documents ON t = coalesce(text, '') GROUP BY n),
+classes AS (SELECT start, min(first) AS class_id FROM reach JOIN firsts ON reach.n = firsts.n GROUP BY start)
+SELECT doc_id, class_id, doc_id = class_id AS kept
+FROM documents JOIN nodes ON t = coalesce(text, '') JOIN classes ON nodes.n = start
+""",
 }
