@@ -14,7 +14,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from veilscan.plans.queries import QUERIES  # noqa: E402
 from veilscan.session import local_session  # noqa: E402
 
 NODES = ["Exchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin",
@@ -68,7 +68,7 @@ def main():
         "| Query | Operators | Partial aggs | Read schemas |",
         "| --- | --- | --- | --- |",
     ]
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
