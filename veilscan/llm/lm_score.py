@@ -109,8 +109,11 @@ class ContextTree:
     def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int) -> None:
         self.depth = depth
         byte = (grams & np.uint64(255)).astype(np.uint32)
-        context = [(grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1) for d in range(depth + 1)]
-        self.contexts, number = zip(*(np.unique(c, return_inverse=True) for c in context), strict=True)
+        self.contexts, number = [], []
+        for d in range(depth + 1):
+            found, place = np.unique((grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1), return_inverse=True)
+            self.contexts.append(found)
+            number.append(place.astype(np.uint32))
         shorter = [
             np.searchsorted(self.contexts[d], self.contexts[d + 1] & np.uint64((1 << (8 * d)) - 1)).astype(np.uint32)
             for d in range(depth)
@@ -121,7 +124,7 @@ class ContextTree:
             one = ((byte >> np.uint32(7 - bit)) & np.uint32(1)).astype(np.float64)
             below: tuple[np.ndarray, np.ndarray] | None = None
             for d in range(depth, -1, -1):
-                keys, place = np.unique((number[d].astype(np.uint32) << np.uint32(bit)) | known, return_inverse=True)
+                keys, place = np.unique((number[d] << np.uint32(bit)) | known, return_inverse=True)
                 ones = np.bincount(place, counts * one, len(keys))
                 zeros = np.bincount(place, counts, len(keys)) - ones
                 own = kt_block(zeros, ones)
@@ -179,7 +182,9 @@ def fit_tree(training: DataFrame, depth: int, max_grams: int) -> ContextTree:
             depth -= 1
     finally:
         counts.unpersist()
-    return ContextTree(table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64), depth)
+    strings, n = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
+    del table
+    return ContextTree(strings, n, depth)
 
 
 class _Scorer:
