@@ -40,6 +40,12 @@ def test_grouped_sample_has_partial_group_limit(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+@pytest.mark.parametrize("name", ["scan_totals", "classification_summary"])
+def test_documents_are_scanned_once(spark, name):
+    plan = QUERIES[name](spark, SF_MID)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_or_python_udf(spark, name):
     df = E.queries()[name](spark, SF_MID)

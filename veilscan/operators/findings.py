@@ -379,6 +379,24 @@ def scan_documents_once(docs: DataFrame, table_col: str, text_col: str, profile:
     )
 
 
+def totals_of_scan(per_table: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+    """Per table of ``scan_documents_once``: objects_with_pii, item_tables_with_pii (1 or 0)."""
+    hit = reduce(lambda a, b: a | b, [F.col(f"__hit_{i}") for i in range(len(D.profile_patterns(profile)))])
+    objects = reduce(lambda a, b: a + b, [F.col(f"objects_{name}") for name, _ in rules.RISK_TIERS])
+    return per_table.select(objects.alias("objects_with_pii"), hit.cast("long").alias("item_tables_with_pii"))
+
+
+def classes_of_scan(per_table: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+    """The findings of ``scan_documents_once`` counted: ``data_classification, table_name, count``, the
+    items' by their table and the objects' under ``unknown``. Each table's row is read once."""
+    types = _types_from_flags([(t, F.col(f"__hit_{i}")) for i, t in enumerate(D.profile_patterns(profile))])
+    entry = lambda c, t, n: F.struct(c.alias("data_classification"), t.alias("table_name"), n.alias("count"))
+    item = entry(C.data_classification(types), F.col("table_name"), (F.size(types) > 0).cast("long"))
+    objects = [entry(F.lit(name), F.lit("unknown"), F.col(f"objects_{name}")) for name, _ in rules.RISK_TIERS]
+    rows = per_table.select(F.inline(F.filter(F.array(item, *objects), lambda e: e["count"] > 0)))
+    return rows.groupBy("data_classification", "table_name").agg(F.sum("count").alias("count"))
+
+
 def items_of_scan(per_table: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
     """The item findings (D5) of ``scan_documents_once``."""
     return _item_findings(per_table, profile, [])

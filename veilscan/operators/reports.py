@@ -66,7 +66,7 @@ def scan_totals(
     column_findings: DataFrame,
     object_findings: DataFrame | None = None,
     item_findings: DataFrame | None = None,
-    objects_with_pii: DataFrame | None = None,
+    content: DataFrame | None = None,
 ) -> DataFrame:
     """R1 as one row.
 
@@ -74,8 +74,8 @@ def scan_totals(
     PII; ``pii_sources_found`` counts only objects and item tables;
     ``no_risk_columns_found`` counts columns only. ``catalog_tables`` is the
     table list (a table without columns still counts if the list has it).
-    Objects are given as findings, or as ``objects_with_pii``, one row with
-    their number in a column of that name.
+    Objects and item tables are given as findings, or both counted as
+    ``findings.totals_of_scan`` has them.
     """
     # Each input is aggregated on its own (its own map stage, so independent
     # scans run concurrently) and only the partial rows are unioned and summed.
@@ -94,8 +94,9 @@ def scan_totals(
     ]
     if object_findings is not None:
         parts.append(part(object_findings, objects_with_pii=F.count_if(has)))
-    if objects_with_pii is not None:
-        parts.append(part(objects_with_pii, objects_with_pii=F.sum("objects_with_pii")))
+    if content is not None:
+        sums = {name: F.sum(name) for name in ("objects_with_pii", "item_tables_with_pii")}
+        parts.append(part(content, **sums))
     if item_findings is not None:
         parts.append(part(item_findings, item_tables_with_pii=F.count_if(has)))
     f = reduce(lambda x, y: x.unionByName(y), parts).agg(*[F.sum(k).cast("long").alias(k) for k in counters])
@@ -132,14 +133,10 @@ def classification_summary_of(
     return classification_summary(unified_findings(columns, objects, items))
 
 
-def classification_summary_once(columns: DataFrame, per_table: DataFrame, items: DataFrame) -> DataFrame:
-    """R3 from column findings and ``findings.scan_documents_once``, which counts the objects per class."""
-    classes = [name for name, _ in rules.RISK_TIERS]
-    counted = per_table.agg(*[F.sum(f"objects_{c}").alias(c) for c in classes])
-    entries = F.array(*[F.struct(F.lit(c).alias("data_classification"), F.col(c).alias("count")) for c in classes])
-    objects = counted.select(F.inline(entries)).where("count > 0")
-    rows = classification_summary_of(columns, None, items)
-    return rows.unionByName(objects.select("data_classification", F.lit("unknown").alias("table_name"), "count"))
+def classification_summary_once(columns: DataFrame, counted: DataFrame) -> DataFrame:
+    """R3 from column findings and ``findings.classes_of_scan``."""
+    rows = classification_summary_of(columns)
+    return rows.unionByName(counted.select("data_classification", "table_name", "count"))
 
 
 def run_counts(catalog_results: DataFrame, classified: DataFrame) -> DataFrame:

@@ -318,25 +318,22 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.register_resources(tables, tables.unionByName(objs))
 
 
-def _documents_once(spark: SparkSession, sf_dir: str):
+def _documents_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scanned once, as objects and as items of their sources."""
-    per_table = FD.scan_documents_once(read_table(spark, sf_dir, "documents"), "source", "text")
-    return per_table, FD.items_of_scan(per_table)
+    return FD.scan_documents_once(read_table(spark, sf_dir, "documents"), "source", "text")
 
 
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog columns, object findings and item-table findings totalled."""
     catalog = _catalog(spark, sf_dir)
-    per_table, items = _documents_once(spark, sf_dir)
-    counts = [F.col(f"objects_{name}") for name, _ in rules.RISK_TIERS]
-    objects = per_table.select(reduce(lambda a, b: a + b, counts).alias("objects_with_pii"))
-    return R.scan_totals(catalog, FD.column_name_findings(catalog), None, items, objects_with_pii=objects)
+    content = FD.totals_of_scan(_documents_once(spark, sf_dir))
+    return R.scan_totals(catalog, FD.column_name_findings(catalog), content=content)
 
 
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 over columns, objects and item tables together, one row per class and table."""
-    per_table, items = _documents_once(spark, sf_dir)
-    return R.classification_summary_once(FD.column_name_findings(_catalog(spark, sf_dir)), per_table, items)
+    counted = FD.classes_of_scan(_documents_once(spark, sf_dir))
+    return R.classification_summary_once(FD.column_name_findings(_catalog(spark, sf_dir)), counted)
 
 
 def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
