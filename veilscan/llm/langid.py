@@ -33,6 +33,7 @@ from .textbytes import text_slices
 
 FOLDS, HELD_OUT = 5, 0
 COVERED = 0.8
+MOST = 64
 BITS, HASHES = 18, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,8 +73,8 @@ class LanguageFilter:
     @classmethod
     def build(cls, sets: dict[str, np.ndarray]) -> LanguageFilter:
         names = sorted(sets)
-        if len(names) > 64:
-            raise ValueError("at most 64 languages can be told apart")
+        if len(names) > MOST:
+            raise ValueError(f"at most {MOST} languages can be told apart")
         kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= n)
         rows = np.zeros(1 << BITS, kind)
         for k, name in enumerate(names):
@@ -127,9 +128,19 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000, fit_bytes: int = 1 << 16) -> LanguageFilter | None:
     """The filter over each language's most frequent 4-grams, or None if no row can be learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & (F.octet_length("text") <= fit_bytes))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    sample = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows_per_lang)
+    rows = rows.where(~held_out("id") & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST + 1).collect()}
+    if len(sizes) > MOST:
+        raise ValueError(f"at most {MOST} languages can be told apart")
+    if not sizes:
+        return None
+    # a share of each language's rows by their hash, twice what is wanted, before any are dealt or ranked
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(2.0 * rows_per_lang / n))])
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40).cast("bigint")) / F.lit(float(1 << 40))
+    few = rows.where((place < share[F.col("lang")]) & (F.octet_length("text") <= fit_bytes))
+    first = Window.partitionBy("lang").orderBy("place", "id", F.xxhash64("text"))
+    few = few.withColumn("place", place).withColumn("at", F.row_number().over(first))
+    sample = few.where(F.col("at") <= rows_per_lang)
     counted = sample.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram bigint, n bigint")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
