@@ -214,6 +214,30 @@ def test_tree_is_as_deep_as_its_bound_allows(spark):
     assert lm_score.fit_tree(docs, 4, 60).depth < 3
 
 
+def test_parts_of_the_tree_score_like_the_tree_in_one_piece(spark):
+    rows = [(i, prose(i, 40)) for i in range(80)]
+    docs = frame(spark, rows)
+    whole = lm_score.fit_tree(frame(spark, [r for r in rows if not in_fold(r[0], 7, 2)]).select("text"), 5, 1 << 30)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(docs, batch_bytes=9000).collect()}
+    for i, text in rows:
+        code, _ = lm_score.byte_grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 5)
+        assert got[i] == pytest.approx(whole.log10(code).sum(), rel=1e-5)
+
+
+def test_depth_is_the_same_at_every_size(spark):
+    # 2.2 M distinct strings of 6 bytes, more than a tree in one piece was let to have; each of them 4 times
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    rows = [(i, letters[rng.integers(0, 26, 30000)].tobytes().decode() * 4) for i in range(94)]
+    seen, held = (next(i for i, _ in rows if in_fold(i, 7, 2) is x) for x in (False, True))
+    rows[held] = (held, rows[seen][1])
+    shallower = lm_score.fit_tree(frame(spark, [r for r in rows if not in_fold(r[0], 7, 2)]).select("text"), 5, 1 << 21)
+    assert shallower.depth < 5
+    asked, _ = lm_score.byte_grams(*offsets_of([rows[held][1].encode()]), shallower.depth)
+    found = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+    assert found[held].score > 0.9 * shallower.log10(asked).sum()
+
+
 def test_scores_of_odd_tables(spark):
     assert lm_score.lm_scores(frame(spark, [])).collect() == []
     assert len(lm_score.lm_scores(frame(spark, ODD)).collect()) == len(ODD)

@@ -10,8 +10,11 @@ training ends the mix at the deepest one that was. The sum of the logarithms is
 by the number of bytes it is the code length per byte.
 
 Training counts cover all texts whose crc32(doc_id as text) mod 7 is not 2: counts of the strings
-of ``depth + 1`` bytes, summed by Spark. The tree that is sent to the tasks is the deepest one, up
-to ``depth``, with ``max_grams`` such strings at most, a documented bound of its size.
+of ``depth + 1`` bytes. The depth is the same at every size. The tree is dealt by the last ``TOP``
+bytes of context to ``PARTS`` parts, each with all deeper nodes of its contexts: a part gets the
+distinct strings of every batch with their training counts, builds its nodes, and sends each batch
+the logarithms of its strings. Only the nodes of less than ``TOP`` bytes of context, 65,280 of them
+whatever the input, are put together from all parts and sent to the tasks.
 
 The base beside it scores words and one end for each text by counts in the training texts, with
 one added. Documents are dealt to batches by a hash; each batch sends its distinct words with
@@ -25,20 +28,23 @@ train_tokens is 0. Other columns than doc_id and the text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .textbytes import _LOWER, segment_sums, text_slices, word_hashes
+from .textbytes import _LOWER, mix64, segment_sums, text_slices, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = np.uint64(0x454E44)
 BATCH_BYTES = 16 << 20
+TOP, PARTS = 2, 256
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -93,6 +99,11 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
+def _mask(n: int) -> np.uint64:
+    """The last ``n`` bytes of a number."""
+    return np.uint64((1 << (8 * n)) - 1)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
     if not len(keys):
@@ -101,30 +112,42 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, and the place of each number among them; by hash, as most are repeats."""
+    coded = pa.array(numbers).dictionary_encode()
+    values, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], rank[place]
+
+
 class ContextTree:
-    """The contexts of each depth, and for each depth and bit the sorted keys of the nodes with
-    their estimate of a 1 and their weight. A node's key is its context's number and the bits of
-    the byte that are already known: 10 bytes for each node, 8 nodes at most for each string."""
+    """The contexts of each depth from ``least`` on, and for each depth and bit the sorted keys of the
+    nodes with their estimate of a 1 and their weight. A node's key is its context's number and the
+    bits of the byte that are already known; 8 nodes at most for each string and depth."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int) -> None:
-        self.depth = depth
-        byte = (grams & np.uint64(255)).astype(np.uint32)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, least: int = 0) -> None:
+        self.depth, self.least = depth, least
+        byte = grams & np.uint64(255)
         self.contexts, number = [], []
-        for d in range(depth + 1):
-            found, place = np.unique((grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1), return_inverse=True)
+        for d in range(least, depth + 1):
+            found, place = np.unique((grams >> np.uint64(8)) & _mask(d), return_inverse=True)
             self.contexts.append(found)
-            number.append(place.astype(np.uint32))
+            number.append(place.astype(np.uint64))
         shorter = [
-            np.searchsorted(self.contexts[d], self.contexts[d + 1] & np.uint64((1 << (8 * d)) - 1)).astype(np.uint32)
-            for d in range(depth)
+            np.searchsorted(self.contexts[k], self.contexts[k + 1] & _mask(least + k)).astype(np.uint64)
+            for k in range(depth - least)
         ]
         self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(8)]
+        #: for each bit the keys of the nodes at ``least`` with their zeros, ones and block probability
+        self.roots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for bit in range(8):
-            known = byte >> np.uint32(8 - bit)
-            one = ((byte >> np.uint32(7 - bit)) & np.uint32(1)).astype(np.float64)
+            known = byte >> np.uint64(8 - bit)
+            one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
             below: tuple[np.ndarray, np.ndarray] | None = None
-            for d in range(depth, -1, -1):
-                keys, place = np.unique((number[d] << np.uint32(bit)) | known, return_inverse=True)
+            for k in range(depth - least, -1, -1):
+                keys, place = np.unique((number[k] << np.uint64(bit)) | known, return_inverse=True)
                 ones = np.bincount(place, counts * one, len(keys))
                 zeros = np.bincount(place, counts, len(keys)) - ones
                 own = kt_block(zeros, ones)
@@ -132,45 +155,170 @@ class ContextTree:
                     total, weight = own, np.ones(len(keys))
                 else:
                     child, of = below
-                    parent = (shorter[d][child >> np.uint32(bit)] << np.uint32(bit)) | (child & np.uint32((1 << bit) - 1))
+                    parent = (shorter[k][child >> np.uint64(bit)] << np.uint64(bit)) | (child & np.uint64((1 << bit) - 1))
                     children = np.bincount(np.searchsorted(keys, parent), of, len(keys))
                     total = np.logaddexp(own, children) - np.log(2)
                     weight = np.exp(own - np.log(2) - total)
                 below = (keys, total)
-                estimate = (ones + 0.5) / (ones + zeros + 1)
-                self.nodes[bit].append((keys, estimate.astype(np.float32), weight.astype(np.float16)))
+                self.nodes[bit].append((keys, (ones + 0.5) / (ones + zeros + 1), weight))
             self.nodes[bit].reverse()
+            self.roots.append((keys, zeros, ones, total))
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each string's last byte after the others."""
+    def log10(self, grams: np.ndarray, top: TopTree | None = None) -> np.ndarray:
+        """log10 of the probability of each string's last byte after the others; ``top`` has the depths before ``least``."""
         out = np.zeros(len(grams))
-        byte = (grams & np.uint64(255)).astype(np.uint32)
+        byte = grams & np.uint64(255)
         context = [
-            _find(self.contexts[d], (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) for d in range(self.depth + 1)
+            _find(self.contexts[d - self.least], (grams >> np.uint64(8)) & _mask(d)) for d in range(self.least, self.depth + 1)
         ]
         for bit in range(8):
-            p, left = np.zeros(len(grams)), np.ones(len(grams))
-            last = np.full(len(grams), 0.5)
-            going = np.ones(len(grams), bool)
+            if top is None:
+                p, left = np.zeros(len(grams)), np.ones(len(grams))
+                last, going = np.full(len(grams), 0.5), np.ones(len(grams), bool)
+            else:
+                p, left, last, going = top.mixed(grams, bit)
             for (number, seen), (keys, estimate, weight) in zip(context, self.nodes[bit], strict=True):
-                want = (number.astype(np.uint32) << np.uint32(bit)) | (byte >> np.uint32(8 - bit))
+                if not len(keys):
+                    break
+                want = (number.astype(np.uint64) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
                 at, there = _find(keys, want)
                 going &= seen & there
                 if not going.any():
                     break
-                own, w = estimate[at].astype(np.float64), weight[at].astype(np.float64)
+                own, w = estimate[at], weight[at]
                 p += np.where(going, left * w * own, 0)
                 left *= np.where(going, 1 - w, 1)
                 last = np.where(going, own, last)
             # the deepest node that was seen takes what no deeper one can
             p += left * last
-            one = (byte >> np.uint32(7 - bit)) & np.uint32(1) == 1
+            one = (byte >> np.uint64(7 - bit)) & np.uint64(1) == 1
             out += np.log10(np.where(one, p, 1 - p))
         return out
 
 
+class TopTree:
+    """The nodes of the depths before ``least``, all contexts and known bits in arrays."""
+
+    def __init__(self, least: int, context: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> None:
+        z, o, c = (np.zeros((1 << (8 * (least - 1)), 256)) for _ in range(3))
+        z[context, node], o[context, node], c[context, node] = zeros, ones, children
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for d in range(least - 1, -1, -1):
+            seen = z + o > 0
+            own = kt_block(z, o)
+            total = np.where(seen, np.logaddexp(own, c) - np.log(2), 0)
+            weight = np.exp(own - np.log(2) - total)
+            self.levels.insert(0, (seen, (o + 0.5) / (o + z + 1), weight))
+            if d:
+                z, o, c = (x.reshape(256, -1, 256).sum(0) for x in (z, o, total))
+
+    def mixed(self, grams: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What these depths give to the mix of each string, what they leave, the last estimate, and whether all were seen."""
+        p, left = np.zeros(len(grams)), np.ones(len(grams))
+        last, going = np.full(len(grams), 0.5), np.ones(len(grams), bool)
+        node = np.uint64(1 << bit) | ((grams & np.uint64(255)) >> np.uint64(8 - bit))
+        for d, (seen, estimate, weight) in enumerate(self.levels):
+            at = (((grams >> np.uint64(8)) & _mask(d)).astype(np.int64), node.astype(np.int64))
+            going &= seen[at]
+            own, w = estimate[at], weight[at]
+            p += np.where(going, left * w * own, 0)
+            left *= np.where(going, 1 - w, 1)
+            last = np.where(going, own, last)
+        return p, left, last, going
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, byte by byte, compressed."""
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _dealt(grams: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts sorted strings into parts, the parts that have any, and where each ends."""
+    part = (mix64(((grams >> np.uint64(8)) & _mask(least)) + np.uint64(1)) % np.uint64(PARTS)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    parts, n = np.unique(part, return_counts=True)
+    return order, parts, np.cumsum(n)
+
+
+def _part_rows(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> tuple[list, list, list]:
+    """part, grams, counts of each part that sorted strings have."""
+    order, parts, ends = _dealt(grams, least)
+    grams, counts = grams[order], counts[order].astype(np.uint64)
+    spans = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)) if len(ends) else []
+    return parts.tolist(), [_packed(grams[a:b], depth + 1) for a, b in spans], [_packed(counts[a:b], 8) for a, b in spans]
+
+
+def _part_tree(table: pa.Table, depth: int, least: int) -> tuple[ContextTree, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's tree, its distinct strings, which of them each sent string is, and how many each row sent."""
+    sent = [_unpacked(x, depth + 1) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([_unpacked(x, 8) for x in table.column("counts").to_pylist()])
+    distinct, place = _distinct(np.concatenate(sent))
+    n = np.bincount(place, counts.astype(np.float64), len(distinct))
+    return ContextTree(distinct[n > 0], n[n > 0], depth, least), distinct, place, np.array([len(x) for x in sent])
+
+
+def top_tree(training: DataFrame, depth: int, least: int) -> TopTree | None:
+    """The depths before ``least`` of the tree of the texts of ``training``."""
+    if not least:
+        return None
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            part, packed, n = _part_rows(grams, counts, depth, least)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int64()), pa.array(packed, pa.binary()), pa.array(n, pa.binary())], names=["part", "grams", "counts"]
+            )
+
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                new, place = _distinct(byte_grams(data, offsets, depth)[0])
+                n = np.bincount(place, minlength=len(new))
+                grams, place = _distinct(np.concatenate([grams, new]))
+                counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+                if len(grams) > 1 << 20:
+                    yield rows()
+                    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield rows()
+
+    def roots(table: pa.Table) -> pa.Table:
+        tree = _part_tree(table, depth, least)[0]
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for bit, (keys, zeros, ones, total) in enumerate(tree.roots):
+            context = tree.contexts[0][keys >> np.uint64(bit)]
+            node = np.uint64(1 << bit) | (keys & np.uint64((1 << bit) - 1))
+            row = (context & _mask(least - 1), node, context, zeros, ones, total)
+            for column, values in zip(columns, row, strict=True):
+                column.append(values)
+        values = [np.concatenate(c) for c in columns]
+        return pa.table([pa.array(v.astype(t)) for v, t in zip(values, [np.int64] * 5 + [np.float64], strict=True)], names=names)
+
+    names = ["context", "node", "child", "zeros", "ones", "total"]
+    found = training.select("text").mapInArrow(counted, "part bigint, grams binary, counts binary").groupBy("part")
+    found = found.applyInArrow(roots, "context bigint, node bigint, child bigint, zeros bigint, ones bigint, total double")
+    # added up in the order of the children, so that the sum is the same in each run
+    children = F.sort_array(F.collect_list(F.struct("child", "total")))
+    table = (
+        found.groupBy("context", "node")
+        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), children.alias("children"))
+        .withColumn("children", F.aggregate("children", F.lit(0.0), lambda a, x: a + x["total"]))
+        .toArrow()
+    )
+    return TopTree(least, *(table.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "children")))
+
+
 def fit_tree(training: DataFrame, depth: int, max_grams: int) -> ContextTree:
-    """The context tree of the texts of ``training``, as deep as ``max_grams`` lets it be."""
+    """The context tree of the texts of ``training`` in one piece, as deep as ``max_grams`` lets it be.
+
+    For small tables and tests; :func:`lm_scores` does not use it."""
     counts = gram_counts(training, depth).persist()
     try:
         while True:
@@ -187,38 +335,12 @@ def fit_tree(training: DataFrame, depth: int, max_grams: int) -> ContextTree:
     return ContextTree(strings, n, depth)
 
 
-class _Scorer:
-    """A worker's scorer: strings that were scored once are looked up afterwards."""
-
-    MOST = 1 << 20
-
-    def __init__(self, tree: ContextTree) -> None:
-        self.tree = tree
-        self.grams, self.values = np.zeros(0, np.uint64), np.zeros(0)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        code, counts = byte_grams(data, offsets, self.tree.depth)
-        distinct, place = np.unique(code, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.grams, distinct), max(0, len(self.grams) - 1))
-        have = self.grams[at] == distinct if len(self.grams) else np.zeros(len(distinct), bool)
-        values = np.empty(len(distinct))
-        values[have] = self.values[at[have]]
-        values[~have] = self.tree.log10(distinct[~have])
-        if len(self.grams) + (~have).sum() > self.MOST:
-            self.grams, self.values = distinct, values
-        else:
-            grams = np.concatenate([self.grams, distinct[~have]])
-            order = np.argsort(grams, kind="stable")
-            self.grams, self.values = grams[order], np.concatenate([self.values, values[~have]])[order]
-        return segment_sums(values[place], counts)
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, max_grams: int = 1 << 21, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), text_or_empty().alias("text"))
-    tree = fit_tree(rows.where(~F.col("held")), depth, max_grams)
-    model = spark.sparkContext.broadcast(tree)
+    least = min(TOP, depth)
+    top = spark.sparkContext.broadcast(top_tree(rows.where(~F.col("held")), depth, least))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     batches = max(1, -(-int(total) // batch_bytes))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches))).select("batch", "id", "held", "text")
@@ -247,21 +369,58 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, max_grams
     )
     known = words.join(counts, "word").select("batch", "word", "c", "n", "last")
 
+    def batch_grams(table: pa.Table) -> pa.Table:
+        trained = ~np.array(table.column("held").to_numpy())
+        slices_of, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for lo, hi, data, offsets in text_slices(table.column("text")):
+            code, n = byte_grams(data, offsets, depth)
+            distinct, place = _distinct(code)
+            slices_of.append(distinct)
+            counts.append(np.bincount(place, np.repeat(trained[lo:hi], n), len(distinct)))
+        grams, place = _distinct(np.concatenate(slices_of))
+        counts = np.bincount(place, np.concatenate(counts), len(grams))
+        part, packed, n = _part_rows(grams, counts, depth, least)
+        batch = np.full(len(part), table.column("batch")[0].as_py(), np.int64)
+        return pa.table({"batch": batch, "part": pa.array(part, pa.int64()), "grams": pa.array(packed, pa.binary()), "counts": pa.array(n, pa.binary())})
+
+    def part_scores(table: pa.Table) -> pa.Table:
+        tree, distinct, place, sizes = _part_tree(table, depth, least)
+        values = tree.log10(distinct, top.value).astype(np.float32)[place]
+        ends = np.cumsum(sizes)
+        logs = [values[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "logs": pa.array(logs, pa.binary())})
+
+    grams = dealt.groupBy("batch").applyInArrow(batch_grams, "batch bigint, part bigint, grams binary, counts binary")
+    logs = grams.groupBy("part").applyInArrow(part_scores, "batch bigint, part bigint, logs binary")
+    known = known.unionByName(logs, allowMissingColumns=True)
+
     def batch_scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = right.filter(pc.is_valid(right.column("part"))).sort_by("part")
+        right = right.filter(pc.is_null(right.column("part")))
+        log_of = np.frombuffer(b"".join(parts.column("logs").to_pylist()), np.float32)
+        slices_of, places = [np.zeros(0, np.uint64)], [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for _, _, data, offsets in text_slices(left.column("text")):
+            code, own = byte_grams(data, offsets, depth)
+            distinct, place = _distinct(code)
+            slices_of.append(distinct)
+            places.append((place, own))
+        grams = _distinct(np.concatenate(slices_of))[0]
+        values = np.empty(len(grams))
+        values[_dealt(grams, least)[0]] = log_of
+        values_of = [values[np.searchsorted(grams, x)] for x in slices_of]
         order = np.argsort(right.column("word").to_numpy().view(np.uint64))
         word = right.column("word").to_numpy().view(np.uint64)[order]
         c = right.column("c").to_numpy()[order]
         logs, seen = np.log10(c + 1.0), (c > 0).astype(np.float64)
         end = int(np.searchsorted(word, END_WORD))
-        score_of = _Scorer(model.value)
         tokens, known_n, log_sum, scores, sizes = ([] for _ in range(5))
-        for _, _, data, offsets in text_slices(left.column("text")):
+        for k, (_, _, data, offsets) in enumerate(text_slices(left.column("text")), 1):
             found, n = word_hashes(data, offsets)
             at = np.searchsorted(word, found)
             tokens.append(n + 1)
             known_n.append(segment_sums(seen[at], n) + seen[end])
             log_sum.append(segment_sums(logs[at], n) + logs[end])
-            scores.append(score_of(data, offsets))
+            scores.append(segment_sums(values_of[k][places[k][0]], places[k][1]))
             sizes.append(np.diff(offsets))
         return pa.table(
             {
