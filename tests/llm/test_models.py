@@ -104,6 +104,16 @@ def test_language_of_odd_tables(spark):
     assert langid.predict_language(frame(spark, [])).collect() == []
 
 
+def test_any_number_of_languages_and_long_texts(spark):
+    words = {f"l{k:03d}": prose(1000 + k, 12) for k in range(100)}
+    rows = [(i, words[lang], None, lang) for i, lang in enumerate(sorted(words) * 4)]
+    rows += [(i, "zzyzx qwrty plmnk " * 8000, None, "long") for i in range(1000, 1010)]
+    found = {r.doc_id: r.lang_pred for r in langid.predict_language(frame(spark, rows)).collect()}
+    learned = {lang for i, _, _, lang in rows if not in_fold(i, 5, 0)}
+    assert len(learned) == 101
+    assert all(found[i] == lang for i, _, _, lang in rows)
+
+
 # --- language model --------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 Each language has the set of its most frequent byte 4-grams that together make up ``COVERED`` of
 its text. All sets lie in one bit-sliced Bloom filter: a row of bits, one for each language, at each
 position; a 4-gram's languages are the bits that all its positions share, read in one look-up for
-all languages. Per document, the bits are counted by language, each count is corrected for the
+64 languages. A row has as many 64-bit words as the languages need. Per document, the bits are counted by language, each count is corrected for the
 filter's false positives at that language's fill, and the language with the largest count
 decides. Its corrected share of the document's 4-grams is the score.
 
@@ -11,8 +11,8 @@ decides. Its corrected share of the document's 4-grams is the score.
 space; those with two spaces in a row are left out.
 
 Learned from the rows whose crc32(doc_id as text) mod 5 is not 0 and whose lang is not null:
-``rows_per_lang`` rows of each language by the order of a hash (of texts of ``fit_bytes`` at most).
-At most 64 languages can be told apart; more are an error.
+``rows_per_lang`` rows of each language by the order of a hash (of texts of ``fit_bytes`` at most; a
+language without such texts is learned from ``LONG_ROWS`` of its longer ones, whole).
 
 A null text, a text without letters and any text when nothing was learned is ``und`` with score
 0. Ties go to the language that comes first by name. Repeated rows each get a row. Only doc_id
@@ -33,7 +33,8 @@ from .textbytes import text_slices
 
 FOLDS, HELD_OUT = 5, 0
 COVERED = 0.8
-MOST = 64
+MOST = 64  # languages in a word
+LONG_ROWS = 16
 BITS, HASHES = 18, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -74,7 +75,7 @@ class LanguageFilter:
     def build(cls, sets: dict[str, np.ndarray]) -> LanguageFilter:
         names = sorted(sets)
         if len(names) > MOST:
-            raise ValueError(f"at most {MOST} languages can be told apart")
+            raise ValueError(f"a word has bits for {MOST} languages")
         kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= n)
         rows = np.zeros(1 << BITS, kind)
         for k, name in enumerate(names):
@@ -96,8 +97,8 @@ class LanguageFilter:
             found = self.rows[at] if found is None else found & self.rows[at]
         return found
 
-    def decide(self, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and score of each document."""
+    def corrected(self, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Each document's number of 4-grams of each language, corrected for the filter's error."""
         found = self.languages(code)
         ends = np.cumsum(counts)
         wrong = self.fill ** len(HASHES)
@@ -107,6 +108,27 @@ class LanguageFilter:
             total = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
             hits = total[ends] - total[ends - counts]
             corrected[:, k] = np.maximum(0, hits - counts * wrong[k]) / (1 - wrong[k])
+        return corrected
+
+
+@dataclass
+class LanguageFilters:
+    """A filter for each ``MOST`` languages, in the order of the names."""
+
+    words: list[LanguageFilter]
+
+    @classmethod
+    def build(cls, sets: dict[str, np.ndarray]) -> LanguageFilters:
+        names = sorted(sets)
+        return cls([LanguageFilter.build({n: sets[n] for n in names[k : k + MOST]}) for k in range(0, len(names), MOST)])
+
+    @property
+    def names(self) -> list[str]:
+        return [name for word in self.words for name in word.names]
+
+    def decide(self, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the language and score of each document."""
+        corrected = np.concatenate([word.corrected(code, counts) for word in self.words], 1)
         best = corrected.argmax(1)
         return best, np.minimum(1, corrected[np.arange(len(counts)), best] / np.maximum(1, counts))
 
@@ -125,22 +147,31 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000, fit_bytes: int = 1 << 16) -> LanguageFilter | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000, fit_bytes: int = 1 << 16) -> LanguageFilters | None:
     """The filter over each language's most frequent 4-grams, or None if no row can be learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST + 1).collect()}
-    if len(sizes) > MOST:
-        raise ValueError(f"at most {MOST} languages can be told apart")
-    if not sizes:
-        return None
-    # a share of each language's rows by their hash, twice what is wanted, before any are dealt or ranked
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(2.0 * rows_per_lang / n))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40).cast("bigint")) / F.lit(float(1 << 40))
-    few = rows.where((place < share[F.col("lang")]) & (F.octet_length("text") <= fit_bytes))
+    rows = rows.withColumn("place", place).withColumn("short", F.octet_length("text") <= fit_bytes)
+    sizes = rows.groupBy("lang").agg(
+        F.count_if("short").alias("shorts"),
+        F.count_if(~F.col("short")).alias("longs"),
+        F.min(F.when(F.col("short"), F.col("place"))).alias("first_short"),
+        F.min(F.when(~F.col("short"), F.col("place"))).alias("first_long"),
+    )
+    some = F.col("shorts") > 0
+    sizes = sizes.select(
+        "lang",
+        some.alias("of_short"),
+        F.when(some, rows_per_lang).otherwise(LONG_ROWS).alias("most"),
+        F.when(some, F.col("shorts")).otherwise(F.col("longs")).alias("n"),
+        F.when(some, F.col("first_short")).otherwise(F.col("first_long")).alias("lowest"),
+    )
+    # a share of each language's rows by their hash, twice what is wanted, before any are dealt or ranked
+    share = F.greatest(F.col("lowest"), 2.0 * F.col("most") / F.col("n"))
+    few = rows.join(F.broadcast(sizes), "lang").where((F.col("short") == F.col("of_short")) & (F.col("place") <= share))
     first = Window.partitionBy("lang").orderBy("place", "id", F.xxhash64("text"))
-    few = few.withColumn("place", place).withColumn("at", F.row_number().over(first))
-    sample = few.where(F.col("at") <= rows_per_lang)
+    sample = few.withColumn("at", F.row_number().over(first)).where(F.col("at") <= F.col("most"))
     counted = sample.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram bigint, n bigint")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
@@ -151,7 +182,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000, fi
     kept = common.where(F.col("before") < F.col("all") * COVERED).select("lang", "gram").toArrow()
     langs, codes = kept.column("lang").to_pandas().to_numpy(), kept.column("gram").to_numpy()
     sets = {lang: codes[langs == lang] for lang in sorted(set(langs))}
-    return LanguageFilter.build(sets) if sets else None
+    return LanguageFilters.build(sets) if sets else None
 
 
 def predict_language(docs: DataFrame, id_col: str = "doc_id", rows_per_lang: int = 2000, fit_bytes: int = 1 << 16) -> DataFrame:
