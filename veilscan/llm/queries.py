@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilscan.session import read_table
 
 from .common import documents, text_or_empty
+from .conversations import damaged, repair
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .langid import held_out as language_held_out
@@ -109,6 +110,11 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return repair(damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_context_tree_scores": op9_context_tree_scores,
     "op10_dart_minhash": op10_dart_minhash,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -203,5 +210,79 @@ firsts AS (SELECT n, min(doc_id) AS first FROM nodes JOIN documents ON t = coale
 classes AS (SELECT start, min(first) AS class_id FROM reach JOIN firsts ON reach.n = firsts.n GROUP BY start)
 SELECT doc_id, class_id, doc_id = class_id AS kept
 FROM documents JOIN nodes ON t = coalesce(text, '') JOIN classes ON nodes.n = start
+""",
+    "op13_conversation_repair": """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+given AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'),
+      lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM conversations
+),
+picked AS (
+  SELECT * EXCLUDE (bytes), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS pick
+  FROM given, crc_table
+),
+damaged AS (
+  SELECT c, turn, CASE WHEN pick = 4 THEN 'user' ELSE role END AS role,
+    CASE pick WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN pick = 3 THEN 2 ELSE 1 END))
+  FROM picked WHERE pick <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prior,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND prior || letter NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faulty GROUP BY c
+),
+best AS (
+  SELECT c, n AS i, {'k': 0, 'a': ''} AS z, {'k': 10, 'a': 'II'} AS s, {'k': 5, 'a': 'I'} AS u, {'k': 0, 'a': ''} AS a FROM counts
+  UNION ALL
+  SELECT c, i, least(z, {'k': 5 + u.k, 'a': 'I' || u.a}, {'k': 10 + a.k, 'a': 'II' || a.a}),
+    least(s, {'k': 5 + u.k, 'a': 'I' || u.a}, {'k': 10 + a.k, 'a': 'II' || a.a}),
+    least(u, {'k': 5 + a.k, 'a': 'I' || a.a}), least(a, {'k': 5 + u.k, 'a': 'I' || u.a})
+  FROM (
+    SELECT b.c, b.i - 1 AS i,
+      least({'k': 2 + z.k, 'a': 'D' || z.a}, {'k': stay + 1 + u.k, 'a': 'R' || u.a}, CASE letter WHEN 's' THEN {'k': stay + s.k, 'a': 'K' || s.a}
+        WHEN 'u' THEN {'k': stay + u.k, 'a': 'K' || u.a} ELSE {'k': 1000000000, 'a': ''} END) AS z,
+      least({'k': 2 + s.k, 'a': 'D' || s.a}, {'k': stay + 1 + u.k, 'a': 'R' || u.a},
+        CASE WHEN letter = 'u' THEN {'k': stay + u.k, 'a': 'K' || u.a} ELSE {'k': 1000000000, 'a': ''} END) AS s,
+      least({'k': 2 + u.k, 'a': 'D' || u.a}, {'k': stay + 1 + a.k, 'a': 'R' || a.a},
+        CASE WHEN letter = 'a' THEN {'k': stay + a.k, 'a': 'K' || a.a} ELSE {'k': 1000000000, 'a': ''} END) AS u,
+      least({'k': 2 + a.k, 'a': 'D' || a.a}, {'k': stay + 1 + u.k, 'a': 'R' || u.a},
+        CASE WHEN letter = 'u' THEN {'k': stay + u.k, 'a': 'K' || u.a} ELSE {'k': 1000000000, 'a': ''} END) AS a
+    FROM best b JOIN (SELECT c, i, letter, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 100000000 END AS stay FROM faulty) f
+      ON b.c = f.c AND b.i = f.i
+  )
+),
+edits AS (
+  SELECT c, p, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY p) AS i
+  FROM (SELECT c, unnest(range(1, length(z.a) + 1)) AS p, z.a AS audit, substr(audit, p, 1) AS e FROM best WHERE i = 0)
+),
+said AS (
+  SELECT e.c, p, e, letter, role, text, row_number() OVER (PARTITION BY e.c ORDER BY p) AS k
+  FROM edits e LEFT JOIN faulty f ON e.c = f.c AND e.i = f.i WHERE e <> 'D'
+),
+told AS (
+  SELECT c, p, CASE WHEN e = 'K' THEN role WHEN (k + CASE WHEN first_value(e = 'K' AND letter = 's') OVER (PARTITION BY c ORDER BY p) THEN 1 ELSE 0 END) % 2 = 1
+      THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+  FROM said
+),
+texts AS (SELECT c, string_agg(line, chr(10) ORDER BY p) AS line FROM told GROUP BY c)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(z.k, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit,
+  sha256(coalesce(line, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM given) g LEFT JOIN counts n ON g.c = n.c LEFT JOIN best b ON g.c = b.c AND b.i = 0 LEFT JOIN texts t ON g.c = t.c
 """,
 }
