@@ -23,6 +23,7 @@ from .quality import held_out as quality_held_out
 from .sharding import shard_slots
 from .suffix_dedup import remove_repeats
 from .tokens import read_documents, write_shards
+from .whitening import whitened
 
 SHARDS = 16
 
@@ -110,6 +111,11 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the leading 32 components of all of them."""
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation."""
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_context_tree_scores": op9_context_tree_scores,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
