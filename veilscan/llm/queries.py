@@ -18,6 +18,7 @@ from .langid import predict_language
 from .lm_score import lm_scores
 from .minhash import near_duplicates
 from .mixing import mix, word_count
+from .outliers import judged
 from .quality import THRESHOLD, quality_scores
 from .quality import held_out as quality_held_out
 from .sharding import shard_slots
@@ -116,6 +117,11 @@ def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over every whole text: the base, and the outliers of each language and source."""
+    return judged(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation."""
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_tree_scores": op9_context_tree_scores,
     "op10_dart_minhash": op10_dart_minhash,
     "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+    "op12_robust_outliers": op12_robust_outliers,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
