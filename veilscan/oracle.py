@@ -102,13 +102,13 @@ SELECT {k}, pii_types, data_classification, {access('data_classification')} AS a
 
 
 def _attributes_cte() -> str:
-    """Every attribute that some row holds, with the number of rows that have it."""
+    """Every attribute with the number of rows that have it."""
     counted = "\n  UNION ALL ".join(
         f"SELECT {q(t)} AS table_name, column_name, rows FROM "
         f"(UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE rows)"
         for t in TABLE_NAMES
     )
-    return f"""cat AS (SELECT table_name, column_name, rows FROM ({counted}) WHERE rows > 0),
+    return f"""cat AS (SELECT table_name, column_name, rows FROM ({counted})),
 {_findings_of_cat('rows, ')}"""
 
 

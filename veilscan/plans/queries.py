@@ -6,8 +6,6 @@ commas) so results can be compared with the DuckDB cross-check in
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +18,9 @@ from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.plans import standins
-from veilscan.session import TABLES, local_frame, read_table, read_tables
+from veilscan.session import TABLES, local_frame, read_table, read_tables, table_path
 from veilscan.sources.catalog import catalog_columns_from_frames
+from veilscan.sources.footers import column_statistics
 from veilscan.sources.objects import source_summary as _source_summary
 from veilscan.sources.objects import tables_stats as _tables_stats
 from veilscan.sources.samples import sample_rows
@@ -149,18 +148,11 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attributes that the tables' rows hold, with the number of rows that have each."""
-    parts = []
-    for name, df in read_tables(spark, sf_dir).items():
-        counted = df.agg(*[F.count(F.col(FD.quoted(c))).alias(c) for c in df.columns])
-        entries = F.array(*[
-            F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"),
-                     F.lit(i).cast("long").alias("ordinal"), F.col(FD.quoted(f.name)).alias("rows"))
-            for i, f in enumerate(df.schema.fields)
-        ])
-        parts.append(counted.select(F.lit(CATALOG_DB).alias("database"), F.lit(name).alias("table_name"),
-                                    F.lit(None).cast("string").alias("location"), F.inline(entries)))
-    return reduce(lambda a, b: a.unionByName(b), parts).where("rows > 0")
+    """Every attribute of the tables with the number of rows that have it, from the files' footers."""
+    found = column_statistics(spark, {name: table_path(sf_dir, name) for name in TABLES})
+    return found.drop("table_rows").withColumns(
+        {"database": F.lit(CATALOG_DB), "location": F.lit(None).cast("string")}
+    )
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,25 +160,25 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_name_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + D1 + C1 + C2 over every attribute that the rows of the 14 tables hold."""
+    """S1 + D1 + C1 + C2 over every attribute of the 14 tables, also those without a value."""
     f = FD.column_name_findings(_attributes(spark, sf_dir))
     return _flat(f, ["table_name", "column_name", "rows"])
 
 
 def analyze_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8 for every table over the attributes its rows hold: is_pii, first type or N/A, confidence."""
+    """D8 for every table over its attributes: is_pii, first type or N/A, confidence."""
     out = FD.analyze_table(_attributes(spark, sf_dir))
     return out.select("table_name", F.col("name").alias("column_name"), "is_pii", "pii_type", "confidence")
 
 
 def column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3 over the attributes the rows hold: 5 tags per PII column, 4 defaults per clean column."""
+    """C3 over all attributes: 5 tags per PII column, 4 defaults per clean column."""
     f = FD.column_name_findings(_attributes(spark, sf_dir))
     return TG.column_tags(f).select("table_name", "column_name", "tag_key", "tag_value")
 
 
 def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables rolled up from the findings of the attributes their rows hold."""
+    """Tables rolled up from the findings of their attributes."""
     f = FD.column_name_findings(_attributes(spark, sf_dir))
     out = TG.table_classification(f)
     return out.select(
