@@ -32,8 +32,9 @@ from veilscan.sources.catalog import (
     read_catalog,
     register_sources,
 )
-from veilscan.sources.objects import object_findings, object_inventory, object_texts
+from veilscan.sources.objects import all_objects, object_findings, object_inventory, object_texts, scheme_of
 from veilscan.sources.sinks import write_report
+from veilscan.sources.windows import RANGED, WINDOW_BYTES, object_windows
 
 
 @dataclass
@@ -149,12 +150,26 @@ class ScanConfig:
     materialize: bool = True
 
 
-def scan_objects_under(spark: SparkSession, path: str, prefix: str = "", profile="content", glob: str | None = None) -> DataFrame:
+def scan_objects_under(
+    spark: SparkSession, path: str, prefix: str = "", profile="content", glob: str | None = None, window_bytes: int = WINDOW_BYTES
+) -> DataFrame:
     """Every object under ``path`` with its whole content scanned: the
-    inventory's columns, ``pii_types`` and ``status`` (``scanned``, ``empty`` or
-    ``unreadable``)."""
-    inventory = object_inventory(spark, path, prefix=prefix, glob=glob)
-    return object_findings(inventory, object_texts(spark, path, prefix, glob), profile)
+    inventory's columns, ``pii_types``, ``status`` (``scanned``, ``empty`` or
+    ``unreadable``) and ``error``.
+
+    Objects of any size are matched in windows of ``window_bytes``, with the
+    same types at every size. With patterns of one's own (which may span
+    anything), or under a root that only Spark can read, each object is one text.
+    """
+    if isinstance(profile, dict) or scheme_of(path) not in RANGED:
+        inventory = object_inventory(spark, path, prefix=prefix, glob=glob)
+        found = object_findings(inventory, object_texts(spark, path, prefix, glob), profile)
+        return found.drop("uri").withColumn("error", F.lit(None).cast("string"))
+    inventory = all_objects(spark, path, prefix, glob)
+    windows = object_windows(inventory, window_bytes)
+    texts = windows.where("error IS NULL").select("path", F.col("content").cast("string").alias("text"))
+    errors = windows.where("error IS NOT NULL").select("path", "error")
+    return object_findings(inventory, texts, profile, "path", errors)
 
 
 def run_scan(spark: SparkSession, config: ScanConfig) -> ScanResult:

@@ -38,8 +38,10 @@ def _one_chunk(kind: DataType) -> bool:
 
 def _counted(df: DataFrame, fields: list[StructField], name: str) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("all"), *[F.count(F.col(quoted(f.name))).alias(f"c{i}") for i, f in enumerate(fields)])
-    return counts.select(F.lit(name).alias("table_name"), "all", F.map_from_arrays(
-        F.array(*[F.lit(f.name) for f in fields]), F.array(*[F.col(f"c{i}") for i in range(len(fields))])
+    # a table without rows has no footer to sum
+    known = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return counts.select(F.lit(name).alias("table_name"), known("all").alias("all"), F.map_from_arrays(
+        F.array(*[F.lit(f.name) for f in fields]), F.array(*[known(f"c{i}") for i in range(len(fields))])
     ).alias("counts"))
 
 

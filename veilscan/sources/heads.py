@@ -19,17 +19,22 @@ from pyspark.sql import functions as F
 HEAD_SCHEMA = "path string, size_bytes long, text string, status string, error string"
 
 
-def _open_head(path: str, n: int) -> tuple[str | None, str, str | None]:
+def open_store(path: str):
+    """The Arrow file system of a plain path or URI, and the place in it."""
     import pyarrow.fs as pafs
 
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        place = rest if colon else path
+        return pafs.LocalFileSystem(), "/" + place.lstrip("/")
+    # the listing has plain paths; a URI needs them quoted
+    store = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return pafs.FileSystem.from_uri(f"{store}:{quote(rest)}")
+
+
+def _open_head(path: str, n: int) -> tuple[str | None, str, str | None]:
     try:
-        scheme, colon, rest = path.partition(":")
-        if not colon or scheme == "file":
-            fs, place = pafs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
-        else:
-            # the listing has plain paths; a URI needs them quoted
-            store = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-            fs, place = pafs.FileSystem.from_uri(f"{store}:{quote(rest)}")
+        fs, place = open_store(path)
         with fs.open_input_file(place) as f:
             return f.read(n).decode("utf-8", errors="ignore"), "read", None
     except Exception as e:  # noqa: BLE001 - recorded per object

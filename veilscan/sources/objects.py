@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from veilscan.functions import detect as D
 from veilscan.session import local_frame
 
-# Files up to this size are matched as one text; larger ones are read in splits.
-WHOLE_BYTES = 64 << 20
+from .catalog import list_folder
+from .windows import RANGED, hidden, listed_objects
 
 # Content types of the suffixes that scans meet most; all else is a byte stream.
 CONTENT_TYPES = {
@@ -28,8 +30,6 @@ def _local_part(path_col):
 
 
 def _strip_scheme(path: str) -> str:
-    import re
-
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path)
 
 
@@ -42,8 +42,8 @@ def object_inventory(spark: SparkSession, path: str, prefix: str = "", glob: str
     into a listing glob, so only the matching subtree is listed, and then
     checked exactly. ``path`` is plain and ``uri`` its encoded form, by which
     Spark's readers name the same file. ``content_type`` follows from the
-    suffix; ``etag`` stands for the object's version (size and time). Files of
-    no bytes are not listed.
+    suffix; ``etag`` stands for the object's version (size and time). Spark's
+    listing leaves out files of no bytes; ``all_objects`` has them.
     """
     root = path.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -72,60 +72,107 @@ def object_inventory(spark: SparkSession, path: str, prefix: str = "", glob: str
     return df
 
 
-def object_texts(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """The contents of all files under ``path`` as ``uri, text``, through the session's file systems.
+def _with_kinds(listed: DataFrame) -> DataFrame:
+    """An inventory of ``path, size_bytes, modified``."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    version = F.concat_ws("-", F.col("size_bytes").cast("string"), F.unix_micros("modified").cast("string"))
+    return listed.select(
+        "path", "size_bytes", "modified",
+        F.coalesce(F.try_element_at(kinds, suffix), F.lit("application/octet-stream")).alias("content_type"),
+        F.md5(version.cast("binary")).alias("etag"),
+    )
+
+
+def all_objects(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None) -> DataFrame:
+    """Every file under ``path``, those of no bytes too: ``path, size_bytes, modified, content_type, etag``.
+
+    The driver lists what lies directly under the root; each folder there is
+    listed in a task. ``prefix`` and ``glob`` are as in ``object_inventory``,
+    which also lists roots that only Spark can read (without empty files).
+    """
+    if scheme_of(path) not in RANGED:
+        return object_inventory(spark, path, prefix, glob).drop("uri")
+    root = path.rstrip("/")
+    top, _, rest = prefix.partition("/")
+    entries = [(name, place) for name, place, _ in list_folder(spark, root) if name.startswith(top) and not hidden(name)]
+    if "/" in prefix:
+        entries = [e for e in entries if e[0] == top]
+    found = listed_objects(spark, [place for _, place in entries])
+    if prefix:
+        found = found.where(_local_part(F.col("path")).startswith(_strip_scheme(root) + "/" + prefix))
+    if glob:
+        pattern = re.compile(fnmatch.translate(glob)).pattern.replace(r"\Z", r"\z")
+        found = found.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike("^" + pattern))
+    return _with_kinds(found)
+
+
+def scheme_of(path: str) -> str:
+    found = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", path)
+    return found[1].lower() if found else "file"
+
+
+def object_texts(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None) -> DataFrame:
+    """The contents of all files under ``path`` as ``uri, text``, each one text, through the session's file systems.
 
-    A file of up to ``whole_bytes`` is one text. A larger one is read in
-    splits, line by line, each line a text of its own, so no task holds it
-    whole; a match there must lie within a line. Files that cannot be read
-    have no row (``object_status`` finds them).
+    Files that cannot be read have no row. ``object_windows`` reads objects of any size.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     reader = reader.option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     load_path = f"{path.rstrip('/')}/{prefix}*" if prefix else path
-    size = F.col("_metadata.file_size")
-    whole = reader.text(load_path, wholetext=True).where(size <= whole_bytes)
-    lines = reader.text(load_path, lineSep="\n").where(size > whole_bytes)
-    texts = [df.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text")) for df in (whole, lines)]
-    return texts[0].unionByName(texts[1])
+    whole = reader.text(load_path, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
 
 
-def object_flags(texts: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
-    """Per object (``uri``): one flag per type of the profile that any of its texts holds.
+def object_flags(texts: DataFrame, profile: str | dict[str, str] = "content", key: str = "uri") -> DataFrame:
+    """Per object (``key``): one flag per type of the profile that any of its texts holds.
 
     Bytes that are no UTF-8 are dropped before matching, as a lenient decode does."""
     patterns = D.profile_patterns(profile)
     text = F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(
         F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))
     )
-    rows = texts.select("uri", text.alias("text"))
+    rows = texts.select(key, text.alias("text"))
     digits = None
     if D.needs_digit_run(patterns):
         rows = rows.select("*", D.has_digit_run(F.col("text")).alias("__digits"))
         digits = F.col("__digits")
     hits = D.content_hits("text", profile, digits)
-    flags = rows.select("uri", *[h.alias(f"__hit_{i}") for i, (_, h) in enumerate(hits)])
-    return flags.groupBy("uri").agg(*[F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(hits))])
+    flags = rows.select(key, *[h.alias(f"__hit_{i}") for i, (_, h) in enumerate(hits)])
+    return flags.groupBy(key).agg(*[F.max(f"__hit_{i}").alias(f"__hit_{i}") for i in range(len(hits))])
 
 
-def object_findings(inventory: DataFrame, texts: DataFrame, profile: str | dict[str, str] = "content") -> DataFrame:
+def object_findings(
+    inventory: DataFrame, texts: DataFrame, profile: str | dict[str, str] = "content", key: str = "uri", errors: DataFrame | None = None
+) -> DataFrame:
     """Every object of ``inventory`` with its types and how its scan went.
 
-    Adds ``pii_types`` (NULL if the object could not be read) and ``status``:
-    ``scanned``, ``empty`` or ``unreadable``."""
+    ``texts`` are whole contents or windows of them by ``key``; ``errors``
+    (``key, error``) says what could not be read. Adds ``pii_types`` (NULL if
+    the object could not be read), ``status`` (``scanned``, ``empty`` or
+    ``unreadable``) and, with ``errors``, ``error``."""
     patterns = D.profile_patterns(profile)
-    flags = object_flags(texts, profile)
+    flags = object_flags(texts, profile, key)
     types = F.array_compact(F.array(*[F.when(F.col(f"__hit_{i}"), F.lit(t)) for i, t in enumerate(patterns)]))
     # a text without a value for a flag (NULL) holds nothing; a missing row was not read
-    read = flags.select("uri", F.lit(True).alias("__read"), types.alias("pii_types"))
+    read = flags.select(key, F.lit(True).alias("__read"), types.alias("pii_types"))
+    found = inventory.join(read, key, "left")
     none = F.array().cast("array<string>")
     empty = F.col("size_bytes") == 0
-    return inventory.join(read, "uri", "left").select(
+    whole = F.coalesce(F.col("__read"), F.lit(False))
+    more = []
+    if errors is not None:
+        found = found.join(errors.groupBy(key).agg(F.max("error").alias("__error")), key, "left")
+        # a window that owns no byte has no row, so an object with rows and no error was read whole
+        whole = whole & F.col("__error").isNull()
+        more = [F.col("__error").alias("error")]
+    return found.select(
         *inventory.columns,
-        F.when(F.col("__read") | empty, F.coalesce("pii_types", none)).alias("pii_types"),
-        F.when(empty, F.lit("empty")).when(F.col("__read"), F.lit("scanned")).otherwise(F.lit("unreadable")).alias("status"),
+        F.when(whole | empty, F.coalesce("pii_types", none)).alias("pii_types"),
+        F.when(empty, F.lit("empty")).when(whole, F.lit("scanned")).otherwise(F.lit("unreadable")).alias("status"),
+        *more,
     )
 
 
