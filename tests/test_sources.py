@@ -283,3 +283,45 @@ def test_unreadable_objects_and_missing_roots(spark, scratch):
     found = FD.scan_objects(object_heads(gone, 64)).count()
     assert found == 0
     assert discover_sources(spark, [f"{scratch}/missing-root"]).count() == 0
+
+
+def test_partitions_are_taken_into_the_catalog(spark, scratch):
+    """Registered once and again after a partition was added; the catalog has all of them."""
+    from veilscan.sources import catalog_partitions
+
+    path = f"{scratch}/parted"
+    write = lambda days, mode: spark.createDataFrame(days, "id int, day string, k int").write.mode(mode).partitionBy("day", "k").parquet(path)
+    write([(1, "2024-01-01", 1), (2, "a b/c", 2)], "overwrite")
+    files = {"parted-source": path, "plain": f"{SF_SMALL}/nation.parquet"}
+    dbs = ["parted_source_db", "plain_db"]
+    for expected in (2, 3):
+        assert {r["status"] for r in register_sources(spark, file_sources=files).collect()} == {"cataloged"}
+        rows = catalog_partitions(spark, dbs).collect()
+        assert len(rows) == expected and {r["table_name"] for r in rows} == {"parted_source"}
+        assert spark.table("parted_source_db.parted_source").count() == expected
+        assert spark.table("parted_source_db.parted_source").where("day = 'a b/c'").count() == 1
+        if expected == 2:
+            write([(3, "2024-01-02", 1)], "append")
+    assert [r["column_name"] for r in catalog_columns(spark, dbs[:1]).orderBy("ordinal").collect()] == ["id", "day", "k"]
+    spark.sql("DROP TABLE parted_source_db.parted_source")
+
+
+def test_round_trip_is_idempotent(spark):
+    from veilscan.plans.queries import QUERIES
+
+    first, again = (sorted(map(tuple, QUERIES["catalog_round_trip"](spark, SF_SMALL).collect())) for _ in range(2))
+    assert first == again and len(first) == 63
+
+
+def test_risk_breakdown_levels_add_up(spark):
+    from veilscan.operators.reports import risk_breakdown
+
+    rows = [("file", "HIGH", ["EMAIL"], True), ("file", None, [], False), ("table", "HIGH", ["SSN"], True), (None, "NO_RISK", [], True)]
+    df = spark.createDataFrame(rows, "type string, risk_level string, pii_types array<string>, tagged boolean")
+    found = risk_breakdown(df).collect()
+    for level in ("type,risk_level", "type", "risk_level", "total"):
+        mine = [r for r in found if r["level"] == level]
+        assert sum(r["sources"] for r in mine) == 4 and sum(r["with_pii"] for r in mine) == 2
+        assert round(sum(r["share"] for r in mine)) == 100
+    assert {(r["type"], r["sources"]) for r in found if r["level"] == "type"} == {("file", 2), ("table", 1), (None, 1)}
+    assert risk_breakdown(df.limit(0)).collect() == []

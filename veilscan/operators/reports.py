@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan import rules
@@ -223,3 +223,27 @@ def type_summary(findings: DataFrame, group_col: str, types_col: str = "pii_type
         .groupBy("pii_type")
         .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group_col).alias("groups"))
     )
+
+
+def risk_breakdown(classified: DataFrame) -> DataFrame:
+    """R4 + R6 at every level: classified sources counted by type and risk, by type, by risk, and
+    in all, in one pass (``GROUPING SETS``).
+
+    ``level`` names the columns that a row is grouped by (``total`` for none); the others are
+    null there. ``share`` is the part of the level's sources (percent), ``tagged`` and
+    ``with_pii`` count them. A null type or risk is a group of its own.
+    """
+    rows = classified.select("type", "risk_level", F.col("tagged").cast("boolean").alias("tagged"), (F.size("pii_types") > 0).alias("pii"))
+    by, risk = F.col("type"), F.col("risk_level")
+    counted = rows.groupingSets([[by, risk], [by], [risk], []], by, risk).agg(
+        F.grouping_id().alias("gid"),
+        F.count(F.lit(1)).alias("sources"),
+        F.count_if("tagged").alias("tagged"),
+        F.count_if("pii").alias("with_pii"),
+    )
+    level = F.element_at(F.array(*[F.lit(x) for x in ("type,risk_level", "type", "risk_level", "total")]), (F.col("gid") + 1).cast("int"))
+    # every level counts each source once
+    whole = F.first("sources").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("gid")))
+    return counted.select(
+        level.alias("level"), "type", "risk_level", "sources", "tagged", "with_pii", F.round(100 * F.col("sources") / whole, 6).alias("share")
+    ).where(F.col("sources") > 0)

@@ -429,6 +429,18 @@ tg AS (
   FROM cf GROUP BY table_name),
 tc AS (SELECT *, {content_cls} AS data_classification FROM tg)
 SELECT table_name, pii_types, columns, pii_columns, data_classification, {access('data_classification')} AS access_level FROM tc""",
+        "catalog_round_trip": "WITH n AS (" + " UNION ALL ".join(f"SELECT {q(t)} AS t, count(*) AS rows FROM {t}" for t in TABLE_NAMES) + """)
+SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS column_type,
+  (ordinal_position - 1)::BIGINT AS ordinal, rows
+FROM information_schema.columns JOIN n ON table_name = t""",
+        "risk_breakdown": f"""
+WITH {_sources_cte()}
+SELECT CASE GROUPING_ID(type, risk_level) WHEN 0 THEN 'type,risk_level' WHEN 1 THEN 'type' WHEN 2 THEN 'risk_level' ELSE 'total' END AS level,
+  type, risk_level, count(*) AS sources, count(*) FILTER (tagged) AS tagged, count(*) FILTER (pii_types <> '') AS with_pii,
+  round(100.0 * count(*) / (SELECT count(*) FROM scls), 6) AS share
+FROM scls GROUP BY GROUPING SETS ((type, risk_level), (type), (risk_level), ())
+HAVING count(*) > 0""",
         "source_classes": f"WITH {_sources_cte()}\nSELECT source, pii_types, risk_level, access_level, pii_type, data_governance FROM stags",
         "source_tag_table": f"""
 WITH {_sources_cte()}
@@ -479,6 +491,16 @@ u AS (
   UNION ALL SELECT database, table_name, column_name, tag_key, tag_value, seq FROM lg
 )
 SELECT database, table_name, column_name, tag_key, arg_max(tag_value, seq) AS tag_value, max(seq) AS seq
+FROM u GROUP BY database, table_name, column_name, tag_key""",
+        "stored_tag_upsert": f"""
+WITH {_catalog_cte()},
+{_column_tags_cte()},
+{_tag_log_cte()},
+u AS (
+  SELECT 'main' AS database, table_name, column_name, tag_key, tag_value, 0::BIGINT AS seq FROM ctags
+  UNION ALL SELECT database, table_name, column_name, tag_key, tag_value, seq FROM lg
+)
+SELECT database, table_name, column_name, tag_key, arg_max(tag_value, seq) AS tag_value, max(seq) AS seq
 FROM u GROUP BY database, table_name, column_name, tag_key""",
         "registry": f"""
 WITH ex AS (SELECT 'main.' || t AS resource FROM (SELECT unnest({lst(TABLE_NAMES)}) AS t)),

@@ -6,6 +6,10 @@ commas) so results can be compared with the DuckDB cross-check in
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +22,13 @@ from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.plans import standins
-from veilscan.session import TABLES, local_frame, read_table, read_tables, table_path
-from veilscan.sources.catalog import catalog_columns_from_frames
+from veilscan.session import TABLES, ensure_checkpoint_dir, local_frame, read_table, read_tables, table_path
+from veilscan.sources.catalog import catalog_columns, catalog_columns_from_frames, register_sources
 from veilscan.sources.footers import column_statistics
 from veilscan.sources.objects import source_summary as _source_summary
 from veilscan.sources.objects import tables_stats as _tables_stats
 from veilscan.sources.samples import sample_rows
+from veilscan.sources.tag_store import create_tag_store, upsert_tags
 
 CATALOG_DB = "main"
 
@@ -187,6 +192,25 @@ def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 -> S1: the given tables registered as external tables, walked back from the catalog, and
+    each read by its catalog name; a second registration finds the same tables."""
+    # tables of another folder have databases of their own, so nothing of theirs is replaced
+    mark = f"{zlib.crc32(sf_dir.rstrip('/').encode()):08x}"
+    registered = register_sources(spark, file_sources={f"{name}-{mark}": table_path(sf_dir, name) for name in TABLES})
+    found = registered.where(F.col("status") == rules.CATALOGED)
+    names = [(r["database"], r["table_name"]) for r in found.select("database", "table_name").collect()]
+    columns = catalog_columns(spark, [db for db, _ in names])
+    counted = [
+        spark.table(f"{FD.quoted(db)}.{FD.quoted(table)}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(table).alias("t"), "rows")
+        for db, table in names
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), counted)
+    return columns.join(rows, F.col("table_name") == F.col("t")).select(
+        F.regexp_replace("table_name", f"_{mark}$", "").alias("table_name"), "column_name", "column_type", "ordinal", "rows"
+    )
+
+
 def _classified(spark: SparkSession, sf_dir: str):
     """Sources found in the data: every web host of the pages (as file sources)
     and every ``documents.source`` (as item tables), registered if any of
@@ -222,6 +246,12 @@ def _host_sources(spark: SparkSession, sf_dir: str):
     return cat, TG.classify_sources(cat)
 
 
+def risk_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 + R6: sources by type, by risk, by both, and in all, from one pass."""
+    _, cls = _classified(spark, sf_dir)
+    return R.risk_breakdown(cls)
+
+
 def page_host_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 + C4 + C5 over the web hosts of all pages (sources derived from data)."""
     _, cls = _host_sources(spark, sf_dir)
@@ -302,6 +332,23 @@ def tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TG.apply_tags(existing, log)
 
 
+def stored_tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 on a stored table: the catalog's tags, then the change log in two halves, the later one
+    first; each upsert rewrites only the partitions it touches."""
+    mark = uuid.uuid4().hex
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veilscan-tags/{mark}"
+    table = f"veilscan_tags_{mark}"
+    create_tag_store(spark, table, path, parts=16, buckets=8)
+    f = FD.column_name_findings(_catalog(spark, sf_dir))
+    log = standins.tag_change_log(read_table(spark, sf_dir, "events"))
+    upsert_tags(spark, table, TG.column_tags(f).withColumn("seq", F.lit(0).cast("long")))
+    for half in (1, 0):
+        upsert_tags(spark, table, log.where(F.col("seq") % 2 == half))
+    found = spark.read.parquet(path).select("database", "table_name", "column_name", "tag_key", "tag_value", "seq")
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return found
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables registered first, then tables again plus every document
     object path; each resource once with its status."""
@@ -414,6 +461,8 @@ QUERIES = {
     "analyze_tables": analyze_tables,
     "column_tags": column_tags,
     "table_classes": table_classes,
+    "catalog_round_trip": catalog_round_trip,
+    "risk_breakdown": risk_breakdown,
     "source_classes": source_classes,
     "page_host_classes": page_host_classes,
     "page_host_kpis": page_host_kpis,
@@ -424,6 +473,7 @@ QUERIES = {
     "workflow_summary": workflow_summary,
     "tag_definitions": tag_definitions,
     "tag_upsert": tag_upsert,
+    "stored_tag_upsert": stored_tag_upsert,
     "registry": registry,
     "scan_totals": scan_totals,
     "classification_summary": classification_summary,

@@ -111,6 +111,24 @@ def _read_catalog(spark, databases, parallelism: int, with_location: bool = True
     return tables, columns
 
 
+def catalog_partitions(spark: SparkSession, databases: list[str], parallelism: int = 8) -> DataFrame:
+    """Partitions that the catalog knows of the partitioned tables of the listed databases:
+    ``database, table_name, partition`` (as ``k=v/...``)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = [(db, t.name) for db in databases for t in spark.catalog.listTables(_quoted(db)) if not t.isTemporary]
+
+    def read(name: tuple[str, str]) -> list[tuple]:
+        full = ".".join(_quoted(part) for part in name)
+        if not any(c.isPartition for c in spark.catalog.listColumns(full)):
+            return []
+        return [(*name, r["partition"]) for r in spark.sql(f"SHOW PARTITIONS {full}").collect()]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = [row for part in pool.map(read, names) for row in part]
+    return local_frame(spark, rows, "database string, table_name string, partition string")
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -146,7 +164,9 @@ def register_sources(
     and an error otherwise, and sources that would share one table name are
     all errors but the first. Schemas are inferred by the data source
     (footer/metadata reads); independent sources are registered
-    ``parallelism`` at a time. Rows keep the input order.
+    ``parallelism`` at a time. The partitions of a partitioned source are taken
+    into the catalog, those added since an earlier registration too. Rows keep
+    the input order.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -164,6 +184,8 @@ def register_sources(
                     raise ValueError(f"table {full} exists on {there}")
             else:
                 spark.catalog.createTable(full, path=path, source=fmt)
+            if any(c.isPartition for c in spark.catalog.listColumns(full)):
+                spark.catalog.recoverPartitions(full)
             return (kind, name, rules.CATALOGED, db, table, path, None)
         except Exception as e:  # noqa: BLE001 - recorded per source
             return (kind, name, rules.CATALOG_ERROR, db, table, path, _message(e))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType, VariantType
 
-from veilscan.operators.findings import quoted
+from .catalog import _quoted as quoted
 
 STATISTICS = "table_name, column_name, column_type, ordinal, rows, table_rows"
 _NESTED = (ArrayType, MapType, StructType, VariantType)
@@ -38,8 +38,8 @@ def _one_chunk(kind: DataType) -> bool:
 
 def _counted(df: DataFrame, fields: list[StructField], name: str) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("all"), *[F.count(F.col(quoted(f.name))).alias(f"c{i}") for i, f in enumerate(fields)])
-    # a table without rows has no footer to sum
-    known = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    # without rows there is nothing to sum, though Spark takes a count for never null
+    known = lambda c: F.greatest(F.col(c), F.lit(0).cast("long"))
     return counts.select(F.lit(name).alias("table_name"), known("all").alias("all"), F.map_from_arrays(
         F.array(*[F.lit(f.name) for f in fields]), F.array(*[known(f"c{i}") for i in range(len(fields))])
     ).alias("counts"))
