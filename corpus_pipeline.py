@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import documents, staged
+from veilscan.llm.common import documents, staged, unused
 from veilscan.llm.decontaminate import drop_contaminated
 from veilscan.llm.minhash import keep_one
 from veilscan.llm.mixing import mixed
@@ -26,8 +26,9 @@ from veilscan.session import read_table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality_scores(docs, read_table(spark, sf_dir, "labels"), out="__quality")
-    return scored.where(F.col("__quality") >= THRESHOLD).select(docs.columns)
+    (score,) = unused(docs.columns, "score")
+    scored = quality_scores(docs, read_table(spark, sf_dir, "labels"), out=score)
+    return scored.where(F.col(score) >= THRESHOLD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests.conftest import SF_SMALL
 from tests.llm.data import ODD, frame
@@ -57,8 +59,11 @@ def test_each_stage_does_its_work_on_what_the_one_before_kept(spark):
 def test_stages_take_odd_tables(spark):
     for rows in ([], ODD):
         docs = frame(spark, rows, extra=True)
+        for name in ("__id", "__source", "__size", "__node", "__bad", "__text", "__quality", "_score", "text_node", "kept_id", "mix_id", "bad_id", "copies"):
+            docs = docs.withColumn(name, F.lit(f"own {name}"))
         for name, stage in pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF_SMALL)
             assert out.columns == docs.columns, name
+            assert all(r["__quality"] == "own __quality" and r["copies"] == "own copies" for r in out.collect())
             assert out.count() <= 3 * len(rows)
         assert pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() == len(rows)

@@ -48,6 +48,17 @@ def pieces(rows: DataFrame, count: str, piece: str, piece_rows: str, size: int =
     )
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each of ``names``, with underscores before it until no column is called that."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 from .textbytes import mix64, prefix_hash, span_hash, text_slices
 
 WINDOW, LITERAL, MIN_WINDOWS, SHORTEST = 8, 4, 3, 5
@@ -221,5 +221,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id contains no item."""
-    bad = contaminated(docs, benchmark, id_col, item_col).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    (bad_id,) = unused(docs.columns, "bad_id")
+    bad = contaminated(docs, benchmark, id_col, item_col).select(F.col(id_col).alias(bad_id)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)), "left_anti")

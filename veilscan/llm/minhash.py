@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import staged, text_or_empty, unused
 from .textbytes import mix64, prefix_hash, span_hash, text_slices, words
 
 SHINGLE_WORDS = 5
@@ -400,9 +400,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rounds: int = 1) ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with all its columns, one row of each class: the one of the smallest doc_id."""
-    found = near_duplicates(docs, id_col).where("kept").select(F.col(id_col).alias("__id"), F.col("node").alias("__node"))
-    named = docs.withColumn("__of", node_of(text_or_empty()))
+    own, of_id, node = unused(docs.columns, "text_node", "kept_id", "kept_node")
+    found = near_duplicates(docs, id_col).where("kept").select(F.col(id_col).alias(of_id), F.col("node").alias(node))
+    named = docs.withColumn(own, node_of(text_or_empty()))
     # rows that repeat id and text lie in one partition after the join
-    same = (F.col("__of") == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    same = (F.col(own) == F.col(node)) & F.col(id_col).eqNullSafe(F.col(of_id))
     kept = named.join(found.distinct(), same, "left_semi")
-    return kept.dropDuplicates(["__of", id_col]).drop("__of")
+    return kept.dropDuplicates([own, id_col]).drop(own)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, pieces, staged
+from .common import let, pieces, staged, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -165,22 +165,24 @@ def mix(
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with all its columns, each row as often as the mix takes it."""
-    key = ("__id", "__source", "__size")
-    rows = docs.select("*", F.col(id_col).alias("__id"), F.col(source).alias("__source"), word_count(F.col("text")).alias("__size"))
+    inner = ("mix_id", "mix_source", "mix_size", "taken_id", "taken_source", "taken_size")
+    names = unused(docs.columns, *inner, "taken_repeat", "copies", "taken_key", "row_key", "row_repeat", "time")
+    key, other, (repeat2, copies_of, key2, row_key, row_repeat, time) = names[:3], names[3:6], names[6:]
+    rows = docs.select("*", *(v.alias(c) for v, c in zip((F.col(id_col), F.col(source), word_count(F.col("text"))), key, strict=True)))
     copies = mix(rows.select(*key), *key).where("copies > 0")
     copies = copies.select(
-        *(F.col(c).alias(f"{c}2") for c in key),
-        F.col("repeat").alias("__repeat2"),
-        F.col("copies").alias("__copies"),
-        F.xxhash64(*key).alias("__key2"),
+        *(F.col(c).alias(o) for c, o in zip(key, other, strict=True)),
+        F.col("repeat").alias(repeat2),
+        F.col("copies").alias(copies_of),
+        F.xxhash64(*key).alias(key2),
     )
-    rows = rows.withColumn("__key", F.xxhash64(*key)).repartition("__key")
+    rows = rows.withColumn(row_key, F.xxhash64(*key)).repartition(row_key)
     numbered = rows.withColumn(
-        "__repeat", F.row_number().over(Window.partitionBy("__key", *key).orderBy(F.xxhash64("text"))) - 1
+        row_repeat, F.row_number().over(Window.partitionBy(row_key, *key).orderBy(F.xxhash64("text"))) - 1
     )
-    same = (F.col("__key") == F.col("__key2")) & (F.col("__repeat") == F.col("__repeat2"))
-    for c in key:
-        same &= F.col(c).eqNullSafe(F.col(f"{c}2"))
+    same = (F.col(row_key) == F.col(key2)) & (F.col(row_repeat) == F.col(repeat2))
+    for c, o in zip(key, other, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(o))
     taken = numbered.join(copies, same)
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__time")
-    return taken.select(*docs.columns, times).drop("__time")
+    times = F.explode(F.sequence(F.lit(1), F.col(copies_of))).alias(time)
+    return taken.select(*docs.columns, times).drop(time)

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import text_slices
+from .common import unused
+from .textbytes import give_memory_back, text_slices
 
 STEP = 16
 FOLDS, HELD_OUT = 4, 2
@@ -159,14 +160,18 @@ def quality_scores(
     """``docs`` with all its columns (``out`` replaced) and the score of each row's whole text in ``out``."""
     net = fit_sample(docs, labels, id_col, label, rows_per_label, fit_bytes)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
+    # the text is sent once: as one of the columns, if it is one
+    plain = [i for i, c in enumerate(kept) if c.lower() == "text" and docs.schema[c].dataType.simpleString() == "string"]
+    at = plain[0] if plain else len(kept)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            scores = [net.score(data, offsets) for _, _, data, offsets in text_slices(column)]
+            scores = [net.score(data, offsets) for _, _, data, offsets in text_slices(batch.column(at))]
             values = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*kept, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], values], names=[*kept, out])
 
     schema = docs.select(kept).withColumn(out, F.lit(0.0)).schema
-    whole = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    (text,) = unused(kept, "text")
+    whole = docs.select(*kept, *([] if plain else [F.col("text").cast("string").alias(text)]))
     return whole.mapInArrow(scored, schema)

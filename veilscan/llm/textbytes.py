@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,3 +122,13 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def give_memory_back() -> None:
+    """Make this worker return freed memory to the machine, for it lives on through later stages.
+
+    Arrow's batches and numpy's arrays then come straight from the system and go back to it.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has the call
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
