@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import ODD, frame, prose, words_of
 from veilscan.llm import decontaminate as dec
@@ -155,10 +156,62 @@ def test_copied_and_reparameterised_items_are_found(spark):
         "",
     ]
     found = hits(spark, texts, [ITEM, prose(99, 30), "too short", None])
-    assert set(found) == {(0, 0), (1, 0), (6, 0)}
-    assert found[0, 0].copied and not found[1, 0].copied
-    # the first word begins a sentence in the item only
-    assert found[0, 0].windows == found[0, 0].item_windows - 1
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 0), (6, 0)}
+    # the first word begins a sentence in the item only, which the literal form does not mind
+    assert {d for (d, _), r in found.items() if r.copied} == {0, 3, 6}
+    assert found[0, 0].windows == found[3, 0].windows == found[0, 0].item_windows
+    # its last 12 is another number than its first: no copy, but each run of windows agrees in itself
+    assert found[2, 0].windows == found[2, 0].item_windows
+
+
+LONG = (
+    "The farmer Maria counted 14 crates of pears in the old barn before she drove 30 miles to the market in Lisbon "
+    "where her cousin Pedro bought 14 of them and paid with coins that were kept in a wooden box under the stairs"
+)
+
+
+def test_copies_with_other_capitals_marks_and_values_are_found(spark):
+    boundary = LONG.split()
+    texts = [
+        LONG.upper(),
+        LONG.title(),
+        LONG.replace(" ", "\n"),
+        f"{prose(1, 30)} {LONG.replace('14 crates', '15 crates')} {prose(2, 30)}",
+        LONG.replace("Maria", "Chloe").replace("Pedro", "Igor").replace("14", "91").replace("30 miles", "8 km"),
+        # values that correspond in the first half only
+        LONG.replace("Maria", "Chloe").replace("14 crates", "91 crates").replace("14 of them", "92 of them"),
+        " ".join(boundary[20:30]),
+        " ".join(boundary[20:29]),
+        LONG.replace("barn", "shed").replace("market", "fair").replace("coins", "notes").replace("crates", "boxes"),
+        " ".join(sorted(boundary)),
+        prose(3, 200),
+    ]
+    found = hits(spark, texts, [LONG])
+    assert {d for d, _ in found} >= {0, 1, 2, 3, 4, 5, 6}
+    assert not {d for d, _ in found} & {7, 9, 10}
+    assert not found[4, 0].copied and found[0, 0].copied and found[1, 0].copied
+
+
+def test_short_items_and_items_of_numbers_and_names(spark):
+    items = ["Who wrote Hamlet?", "Yes", "12 + 7 = 19 and 19 - 7 = 12 so 12 + 19 = 31", "Anna Boris Carla Dmitri Elena Farid Grace Hugo Ines Juri"]
+    texts = [
+        f"{prose(1, 20)} who wrote Hamlet {prose(2, 20)}",
+        "Who wrote Macbeth?",
+        f"{prose(3, 20)}. Yes. {prose(4, 20)}",
+        f"{prose(3, 20)} yes {prose(4, 20)}",
+        f"{prose(5, 20)} {items[2]} {prose(6, 20)}",
+        f"{prose(5, 20)} 12 + 8 = 20 and 20 - 8 = 12 so 12 + 20 = 32 {prose(6, 20)}",
+        f"{prose(7, 20)} {items[3].lower()} {prose(8, 20)}",
+        "Ines Juri Anna Boris",
+        "yes",
+    ]
+    assert set(hits(spark, texts, items)) == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 1)}
+
+
+def test_scripts_without_spaces_are_cut_by_character(spark):
+    item = "列车从北京出发以每小时八十公里的速度行驶十二小时"
+    texts = [f"前言。{item}。后记", "列车从上海出发", f"\u201c{LONG}\u201d", LONG.replace(" ", "\u00a0").replace("barn", "barn\u2014")]
+    assert set(hits(spark, texts, [item, LONG])) == {(0, 0), (2, 1), (3, 1)}
 
 
 def test_verbatim_windows_are_those_of_brute_force(spark):
@@ -202,5 +255,15 @@ def test_decontamination_of_odd_tables(spark):
     docs = frame(spark, ODD + [(None, ITEM), (70, ITEM), (70, "clean")], extra=True)
     kept = dec.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
-    # rows that share a doc_id are judged together, those without one too
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in ODD if i is not None)
+    # each row is judged by its own text, also if it shares its doc_id or has none
+    want = [(i, t) for i, t in [*ODD, (70, "clean")]]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+    clash = docs.withColumn("bad_id", F.lit(1)).withColumn("key", F.lit(2)).withColumn("window", F.lit(3))
+    assert dec.drop_contaminated(clash, bench).count() == len(want)
+
+
+def test_a_third_of_the_rows_without_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"{prose(i, 40)} {ITEM if i % 10 == 0 else ''}") for i in range(300)]
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    kept = dec.drop_contaminated(frame(spark, rows), bench)
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in rows if ITEM not in t)

@@ -1,24 +1,33 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are cut into tokens (runs of letters and digits; a point or comma between digits belongs to
-the number) and re-parameterisable ones are replaced by typed placeholders: numbers, units that
-follow a number, and names (capitalised words that do not begin a sentence). The rest is compared
-in lower case. Windows of ``WINDOW`` template tokens (the whole item if it is shorter) of which
-``LITERAL`` at least are no placeholders are joined by hash with those of the benchmark.
-
-Matched windows are gathered by document, item and alignment (the difference of the two places in
-tokens). Along an alignment the values behind the placeholders must correspond: one value of the
-item stands for one value of the document everywhere. A document contains an item if
-``MIN_WINDOWS`` windows (or all of the item's, if it has fewer) match along one alignment with
-corresponding values; so a passage of WINDOW + MIN_WINDOWS - 1 tokens is found, whether copied or
-with other numbers, names and units.
+the number; characters of scripts written without spaces are tokens of their own) and
+re-parameterisable ones are replaced by typed placeholders: numbers, units that follow a number,
+and names (capitalised words that do not begin a sentence). The rest is compared in lower case.
+Windows of ``WINDOW`` template tokens (the whole item if it is shorter) of which ``LITERAL`` at
+least are no placeholders are joined by hash with those of the benchmark. Every window is joined in
+its literal form too, all tokens in lower case and none replaced, so a copy is found whatever its
+capitals and also where it is nothing but numbers and names.
+
+Matched windows are gathered by row, item and alignment (the difference of the two places in
+tokens). The values behind the placeholders must correspond: one value of the item stands for one
+value of the document. A document contains an item if, along one alignment, ``MIN_WINDOWS`` windows
+(or all of the item's, if it has fewer) match literally, or match with values that correspond over
+the whole alignment, or over ``MIN_WINDOWS`` neighbouring windows. So a passage of
+WINDOW + MIN_WINDOWS - 1 tokens is found, whether copied or with other numbers, names and units,
+whatever stands elsewhere in the document.
+
+Items of fewer than ``SHORTEST`` tokens have no template form: of 3 and 4 tokens they are found
+word for word anywhere, of 1 and 2 only where they are a whole sentence, as a lone word such as
+"yes" stands in clean texts too.
 
 The benchmark's windows are sent to the tasks as a filter only if there are ``FILTER_WINDOWS`` at
 most; otherwise every window of the documents is joined. The result is the same.
 
-Nulls, ties and repeats: null texts hold nothing; an item shorter than 5 tokens is not looked for;
-rows that share a doc_id are judged together; equal items are reported each. An empty table on
-either side gives no rows. Other columns than the ids and texts are not read.
+Nulls, ties and repeats: null texts hold nothing, items without a token are not looked for; each
+row is judged by its own text, also where rows share a doc_id or have none (``contaminated`` then
+returns the best match of the id); equal items are reported each. An empty table on either side
+gives no rows. Other columns than the ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unused
 from .textbytes import mix64, prefix_hash, span_hash, text_slices
 
-WINDOW, LITERAL, MIN_WINDOWS, SHORTEST = 8, 4, 3, 5
+WINDOW, LITERAL, MIN_WINDOWS, SHORTEST, SENTENCE = 8, 4, 3, 5, 2
 FILTER_WINDOWS = 1 << 20
 
 # Units of measure that may follow a number.
@@ -61,23 +70,46 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hash(prefix_hash(data, True), np.append(0, ends[:-1] + 1), ends))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A lower-case hash and the kind of each token, and each document's number of tokens."""
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 bytes: those of punctuation beyond ASCII, those that lead a character of a script
+    without spaces (Han, kana, Thai and Lao), and all bytes of such characters."""
+    mark, lead, wide = (np.zeros(len(data), bool) for _ in range(3))
+    at = np.flatnonzero(data >= 0xC2)
+    if len(at):
+        first, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+        third = data[np.minimum(at + 2, len(data) - 1)]
+        # U+0080-00BF, U+2000-207F, U+3000-303F, and full-width signs before and after the digits
+        signs = (first == 0xEF) & (second == 0xBC) & ((third < 0x90) | ((third > 0x99) & (third < 0xA1)))
+        two = at[first == 0xC2]
+        three = at[((first == 0xE2) & (second < 0x82)) | ((first == 0xE3) & (second == 0x80)) | signs]
+        mark[np.concatenate([two, two + 1, three, three + 1, three + 2])] = True
+        short = at[((first >= 0xE3) & (first <= 0xE9)) | ((first == 0xE0) & (second >= 0xB8) & (second <= 0xBB))]
+        long_ = at[(first == 0xF0) & (second >= 0xA0)]
+        lead[short] = lead[long_] = True
+        wide[np.concatenate([short, short + 1, short + 2, long_, long_ + 1, long_ + 2, long_ + 3])] = True
+    return mark, lead & ~mark, wide & ~mark
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A lower-case hash and the kind of each token, whether it begins a sentence, and each
+    document's number of tokens."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(offsets) - 1, np.int64)
     digit = _DIGIT[data]
-    inside = digit | _LETTER[data]
+    mark, lead, wide = _characters(data)
+    inside = digit | (_LETTER[data] & ~mark)
     if n > 2:
         inside[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
     begins = np.zeros(n, bool)
     begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     closes = np.zeros(n, bool)
     closes[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    starts = np.flatnonzero(inside & (begins | ~before))
-    ends = np.flatnonzero(inside & (closes | ~after)) + 1
+    # a cut lies before a byte that is not in one run or one wide character with the byte before
+    cut = np.ones(n + 1, bool)
+    cut[1:-1] = ~inside[:-1] | ~inside[1:] | lead[1:] | (wide[:-1] & ~wide[1:])
+    starts = np.flatnonzero(inside & (begins | cut[:-1]))
+    ends = np.flatnonzero(inside & (closes | cut[1:])) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
     hashes = span_hash(prefix_hash(data, True), starts, ends)
     # a token begins a sentence if a stop (or its text's begin) lies between it and the token before
@@ -97,25 +129,33 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     unit[1:] &= number[:-1]
     unit[where[counts > 0]] = False
     kind[unit & ~number] = _UNIT
-    return hashes, kind, counts
+    return hashes, kind, first, counts
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template windows: hash, first token (over all documents) and document.
+def windows(
+    hashes: np.ndarray, kind: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int, literal: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``size`` tokens in literal or template form: hash, first token (over all documents), document.
 
-    ``sizes`` is the window's length in each document; documents with fewer tokens have none."""
-    n = np.where(sizes > 0, np.maximum(0, counts - sizes + 1), 0)
+    A template window has a placeholder and ``LITERAL`` other tokens at least (it equals its literal
+    form otherwise, or says too little); windows of ``SENTENCE`` tokens at most are whole sentences."""
+    n = np.maximum(0, counts - size + 1)
     doc = np.repeat(np.arange(len(counts)), n)
     at = np.arange(n.sum()) + np.repeat((np.cumsum(counts) - counts) - (np.cumsum(n) - n), n)
-    size = sizes[doc]
-    typed = np.where(kind == _LITERAL, hashes, mix64(kind.astype(np.uint64) + np.uint64(7)))
-    literal = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-    keep = literal[at + size] - literal[at] >= np.minimum(LITERAL, size)
-    at, doc, size = at[keep], doc[keep], size[keep]
-    out = size.astype(np.uint64)
-    for k in range(int(size.max(initial=0))):
-        have = size > k
-        out[have] = mix64(out[have] * np.uint64(0x9E3779B97F4A7C15) + typed[at[have] + k])
+    if literal:
+        keep = np.ones(len(at), bool)
+        if size <= SENTENCE:
+            keep = first[at] & np.append(first, True)[at + size]
+            keep |= first[at] & (at + size == np.cumsum(counts)[doc])
+    else:
+        plain = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
+        plain = plain[at + size] - plain[at]
+        keep = (plain >= min(LITERAL, size)) & (plain < size) & (size >= SHORTEST)
+    at, doc = at[keep], doc[keep]
+    token = hashes if literal else np.where(kind == _LITERAL, hashes, mix64(kind.astype(np.uint64) + np.uint64(7)))
+    out = np.full(len(at), 2 * size + literal, np.uint64)
+    for k in range(size):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + token[at + k])
     return out, at, doc
 
 
@@ -127,100 +167,142 @@ def _slots(hashes: np.ndarray, kind: np.ndarray, at: np.ndarray, size: int) -> p
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[place[open_]].view(np.int64)))
 
 
-def _window_rows(ids: pa.Array, column: pa.Array, sizes_of, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+_ROWS = "window bigint, place bigint, slots array<bigint>, size int, literal boolean"
+
+
+def _window_rows(keys: list[pa.Array], names: list[str], column: pa.Array, sizes, wanted) -> Iterator[pa.RecordBatch]:
+    """``sizes``: the window lengths to look for, or None for that of each text as an item."""
     for lo, hi, data, offsets in text_slices(column):
-        hashes, kind, counts = tokens(data, offsets)
-        for size in sizes_of(counts):
-            sizes = np.full(len(counts), size) if isinstance(size, int) else size
-            found, at, doc = windows(hashes, kind, counts, sizes)
-            if wanted is not None:
-                near = np.minimum(np.searchsorted(wanted, found), max(0, len(wanted) - 1))
-                keep = wanted[near] == found if len(wanted) else np.zeros(len(found), bool)
+        hashes, kind, first, counts = tokens(data, offsets)
+        own = np.minimum(counts, WINDOW)
+        for size in np.unique(own[own > 0]).tolist() if sizes is None else sizes:
+            for literal in (True, False):
+                found, at, doc = windows(hashes, kind, first, counts, size, literal)
+                keep = np.ones(len(found), bool) if sizes is not None else own[doc] == size
+                if wanted is not None:
+                    near = np.minimum(np.searchsorted(wanted, found), max(0, len(wanted) - 1))
+                    keep &= wanted[near] == found if len(wanted) else False
                 found, at, doc = found[keep], at[keep], doc[keep]
-            for length in np.unique(sizes[doc]).tolist():
-                own = sizes[doc] == length
-                place = at[own] - (np.cumsum(counts) - counts)[doc[own]]
+                if not len(found):
+                    continue
+                place = at - (np.cumsum(counts) - counts)[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, hi - lo).take(pa.array(doc[own])),
-                        pa.array(found[own].view(np.int64)),
+                        *(k.slice(lo, hi - lo).take(pa.array(doc)) for k in keys),
+                        pa.array(found.view(np.int64)),
                         pa.array(place.astype(np.int64)),
-                        _slots(hashes, kind, at[own], int(length)),
+                        _slots(hashes, kind, at, size),
+                        pa.array(np.full(len(found), size, np.int32)),
+                        pa.array(np.full(len(found), literal)),
                     ],
-                    names=["id", "window", "place", "slots"],
+                    names=[*names, "window", "place", "slots", "size", "literal"],
                 )
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
-    """item, window, item_place, item_slots, item_windows of all items."""
+    """item, window, item_place, item_slots, size, literal, item_windows of all items."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes_of = lambda counts: [np.where(counts >= SHORTEST, np.minimum(counts, WINDOW), 0)]
-            yield from _window_rows(batch.column(0), batch.column(1), sizes_of, None)
+            yield from _window_rows([batch.column(0)], ["id"], batch.column(1), None, None)
 
     kind = benchmark.schema[item_col].dataType.simpleString()
-    found = benchmark.select(F.col(item_col), F.col("text").cast("string").alias("text")).mapInArrow(
-        rows, f"id {kind}, window bigint, place bigint, slots array<bigint>"
-    )
+    found = benchmark.select(F.col(item_col), F.col("text").cast("string").alias("text")).mapInArrow(rows, f"id {kind}, {_ROWS}")
     number = found.groupBy("id").agg(F.countDistinct("place").alias("item_windows"))
     found = found.join(number, found["id"].eqNullSafe(number["id"])).select(found["*"], "item_windows")
     return staged(found.withColumnsRenamed({"id": "item", "place": "item_place", "slots": "item_slots"}), "benchmark-windows")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """One row for each document and item it contains: ``id_col``, ``item_col``, windows, item_windows, copied.
+def _row_key(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col("text").cast("string"))
+
+
+def _correspond(pairs: Column) -> Column:
+    """Whether each value of the item stands for one value of the document."""
+    return F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"])))
+
 
-    ``windows`` is the number that match along the best alignment; ``copied`` tells whether all
-    values behind placeholders are the item's own there."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """One row for each row of ``docs`` and item it contains: id, key (of id and text), item, windows, item_windows, copied."""
     items = benchmark_windows(benchmark, item_col)
     wanted = None
     if items.count() <= FILTER_WINDOWS:
         wanted = np.unique(items.select("window").toArrow().column("window").to_numpy()).view(np.uint64)
         wanted.sort()
     filter_of = docs.sparkSession.sparkContext.broadcast(wanted)
-    # items shorter than a window have one window of their own length
-    shorter = items.groupBy("item").agg(F.max("item_windows").alias("n")).where("n = 1").count() > 0
-    lengths = list(range(SHORTEST, WINDOW)) * shorter + [WINDOW]
+    # at most WINDOW different lengths
+    lengths = [r["size"] for r in items.select("size").distinct().collect()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _window_rows(batch.column(0), batch.column(1), lambda counts: lengths, filter_of.value)
+            yield from _window_rows([batch.column(0), batch.column(1)], ["id", "key"], batch.column(2), lengths, filter_of.value)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col("text").cast("string").alias("text")).mapInArrow(
-        rows, f"id {kind}, window bigint, place bigint, slots array<bigint>"
+    found = (
+        docs.select(F.col(id_col), _row_key(id_col).alias("key"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(rows, f"id {kind}, key bigint, {_ROWS}")
+        .select("id", "key", "window", "place", "slots")
     )
-    slots = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("slot")
-    matched = found.join(items, "window").select(
-        "id", "item", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_windows", slots
+    same = F.transform("item_slots", lambda v: F.struct(v.alias("i"), v.alias("d")))
+    other = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    # equal rows have one key, so they meet in the partial aggregate; a literal match comes before a template match
+    by_place = (
+        found.join(items, "window")
+        .withColumn("pairs", F.when(F.col("literal"), same).otherwise(other))
+        .groupBy("id", "key", "item", (F.col("place") - F.col("item_place")).alias("shift"), "item_place")
+        .agg(F.max("item_windows").alias("item_windows"), F.max(F.struct("literal", "pairs")).alias("match"))
     )
-    # one alignment holds no more windows than the item; its slots are counted, not listed
-    by_value = matched.groupBy("id", "item", "shift", F.col("slot.i").alias("i")).agg(
-        F.max("item_windows").alias("item_windows"),
-        F.min("slot.d").alias("low"),
-        F.max("slot.d").alias("high"),
-        F.collect_set("item_place").alias("places"),
+    # one alignment holds no more windows than the item
+    window = F.struct(F.col("item_place").alias("place"), F.col("match.literal").alias("literal"), F.col("match.pairs").alias("pairs"))
+    aligned = (
+        by_place.groupBy("id", "key", "item", "shift")
+        .agg(F.max("item_windows").alias("item_windows"), F.sort_array(F.collect_list(window)).alias("found"))
+        .withColumn("least", F.least(F.lit(MIN_WINDOWS).cast("bigint"), F.col("item_windows")).cast("int"))
     )
-    aligned = by_value.groupBy("id", "item", "shift").agg(
-        F.max("item_windows").alias("item_windows"),
-        F.min(F.col("low").eqNullSafe(F.col("high"))).alias("consistent"),
-        F.min(F.col("i").eqNullSafe(F.col("low")) & F.col("i").eqNullSafe(F.col("high"))).alias("copied"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("windows"),
+    pairs_of = lambda some: F.flatten(F.transform(some, lambda w: w["pairs"]))
+    places_of = lambda some: F.transform(some, lambda w: w["place"])
+    runs = F.filter(
+        F.transform(F.col("found"), lambda _, k: F.slice("found", k + 1, F.col("least"))),
+        lambda run: (F.size(run) == F.col("least"))
+        & (F.element_at(run, -1)["place"] - F.element_at(run, 1)["place"] == F.col("least") - 1)
+        & _correspond(pairs_of(run)),
     )
-    enough = F.col("windows") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))
-    best = (
-        aligned.where(enough & F.col("consistent"))
-        .groupBy("id", "item")
-        .agg(F.max(F.struct("windows", "copied")).alias("best"), F.max("item_windows").alias("item_windows"))
+    literal = F.filter("found", lambda w: w["literal"])
+    parts = F.array_distinct(F.concat(places_of(literal), F.flatten(F.transform(runs, places_of))))
+    judged = aligned.select(
+        "id",
+        "key",
+        "item",
+        "item_windows",
+        "least",
+        F.size(literal).alias("literals"),
+        F.when(_correspond(pairs_of(F.col("found"))), F.size("found")).otherwise(F.size(parts)).alias("windows"),
+    ).where(F.col("windows") >= F.col("least"))
+    best = F.struct(F.col("windows").cast("bigint").alias("windows"), (F.col("windows") == F.col("literals")).alias("copied"))
+    return (
+        judged.groupBy("id", "key", "item")
+        .agg(F.max(best).alias("best"), F.max("item_windows").alias("item_windows"))
+        .select("id", "key", "item", "best.windows", "item_windows", "best.copied")
     )
-    return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "best.windows", "item_windows", "best.copied"
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """One row for each document and item it contains: ``id_col``, ``item_col``, windows, item_windows, copied.
+
+    ``windows`` is the number that match along the best alignment; ``copied`` tells whether all of
+    them are the item's own words and values."""
+    return (
+        contaminated_rows(docs, benchmark, id_col, item_col)
+        .groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col))
+        .agg(F.max(F.struct("windows", "copied")).alias("best"), F.max("item_windows").alias("item_windows"))
+        .select(id_col, item_col, "best.windows", "item_windows", "best.copied")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose doc_id contains no item."""
-    (bad_id,) = unused(docs.columns, "bad_id")
-    bad = contaminated(docs, benchmark, id_col, item_col).select(F.col(id_col).alias(bad_id)).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)), "left_anti")
+    """The rows of ``docs``, with all columns, whose own text contains no item."""
+    bad_id, bad_key = unused(docs.columns, "bad_id", "bad_key")
+    bad = contaminated_rows(docs, benchmark, id_col, item_col)
+    bad = bad.select(F.col("id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(bad_id)) & (_row_key(id_col) == F.col(bad_key))
+    return docs.join(bad, same, "left_anti")
