@@ -381,6 +381,27 @@ def _defs_values(defs: dict[str, list[str]]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, vs in defs.items() for v in vs) + ") AS d(tag_key, tag_value)"
 
 
+def _json_attributes_sql(table: str, column: str) -> str:
+    """Attributes of JSON texts without repeated keys and odd key names."""
+    types = types_str("v")
+    hits = ", ".join(f"CASE WHEN bool_or(list_contains(string_split(ty, ','), {q(t)})) THEN {q(t)} END" for t in rules.CONTENT_PATTERNS)
+    kind = """CASE WHEN t.type IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN t.type = 'VARCHAR' THEN 'STRING'
+      WHEN t.type = 'DOUBLE' THEN 'DECIMAL' WHEN t.type = 'NULL' THEN 'VOID' ELSE t.type END"""
+    return f"""
+WITH leaves AS (
+  SELECT regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, {kind} AS value_type, json_extract_string(e.{column}, t.fullkey) AS v
+  FROM {table} e, json_tree(e.{column}) t WHERE json_valid(e.{column}) AND (t.atom IS NOT NULL OR t.type = 'NULL')
+  UNION ALL SELECT '$', 'MALFORMED', {column} FROM {table} WHERE NOT json_valid({column})),
+seen AS (SELECT path, value_type, coalesce({types}, '') AS ty FROM leaves),
+counted AS (
+  SELECT path, value_type, count(*) AS n_values, count(*) FILTER (WHERE ty <> '') AS n_hits,
+    concat_ws(',', {hits}) AS pii_types,
+    CASE WHEN path = '$' THEN '' ELSE {name_types("regexp_extract(path, '([A-Za-z0-9_]+)(\\[\\])*$', 1)")} END AS name_types
+  FROM seen GROUP BY path, value_type),
+classed AS (SELECT *, {classification("concat_ws(',', nullif(pii_types, ''), nullif(name_types, ''))")} AS data_classification FROM counted)
+SELECT *, {access('data_classification')} AS access_level FROM classed"""
+
+
 def oracle_sql() -> dict[str, str]:
     content_cls = classification("pii_types")
     out = {
@@ -558,4 +579,10 @@ SELECT event_type, event_id, user_id, value FROM (
             "AGE": (rules.REDACT, 0, 0, "*"),
         }),
     }
+    out["committed_totals"] = out["scan_totals"]
+    out["committed_findings"] = " UNION ALL ".join(
+        f"SELECT {q(part)} AS part, * RENAME ({key} AS id) FROM ({out[name]})"
+        for part, key, name in (("documents", "doc_id", "content_findings"), ("pages", "page_id", "content_findings_pages"))
+    )
+    out["event_attributes"] = _json_attributes_sql("events", "props")
     return out

@@ -18,12 +18,15 @@ from veilscan.functions import classify as C
 from veilscan.functions import detect as D
 from veilscan.functions.mask import mask_by_type, masking_rule
 from veilscan.operators import findings as FD
+from veilscan.operators import json_attributes as JA
 from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.plans import standins
+from veilscan.plans.scan import committed_scan
 from veilscan.session import TABLES, ensure_checkpoint_dir, local_frame, read_table, read_tables, table_path
 from veilscan.sources.catalog import catalog_columns, catalog_columns_from_frames, register_sources
+from veilscan.sources.commits import commit_report, read_report
 from veilscan.sources.footers import column_statistics
 from veilscan.sources.objects import source_summary as _source_summary
 from veilscan.sources.objects import tables_stats as _tables_stats
@@ -369,6 +372,38 @@ def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan_totals(catalog, FD.column_name_findings(catalog), content=content)
 
 
+def _report_path(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/veilscan-report-{uuid.uuid4().hex}"
+
+
+def committed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + R1: the findings of the whole scan written as one committed run, their totals counted by the writes."""
+    catalog, docs = _catalog(spark, sf_dir), read_table(spark, sf_dir, "documents")
+    return committed_scan(
+        spark, _report_path(spark), catalog, FD.column_name_findings(catalog), FD.scan_objects(standins.document_objects(docs)),
+        FD.scan_items_json(docs, table_col="source"),
+    )
+
+
+def committed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: content findings of documents and pages written as the parts of one committed run and
+    read back through its manifest."""
+    found = {"documents": (content_findings, "doc_id"), "pages": (content_findings_pages, "page_id")}
+    path = _report_path(spark)
+    commit_report(spark, path, {part: query(spark, sf_dir).withColumnRenamed(key, "id") for part, (query, key) in found.items()})
+    parts = [read_report(spark, path, part).select(F.lit(part).alias("part"), "*") for part in found]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 + D6 inside JSON text: every attribute path of the events' properties, with value types and hits."""
+    out = JA.json_attributes(read_table(spark, sf_dir, "events"), "props")
+    return out.select(
+        "path", "value_type", F.col("values").alias("n_values"), F.col("hits").alias("n_hits"), C.types_string("pii_types").alias("pii_types"),
+        C.types_string("name_types").alias("name_types"), "data_classification", "access_level",
+    )
+
+
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 over columns, objects and item tables together, one row per class and table."""
     counted = FD.classes_of_scan(_documents_once(spark, sf_dir))
@@ -476,6 +511,9 @@ QUERIES = {
     "stored_tag_upsert": stored_tag_upsert,
     "registry": registry,
     "scan_totals": scan_totals,
+    "committed_totals": committed_totals,
+    "committed_findings": committed_findings,
+    "event_attributes": event_attributes,
     "classification_summary": classification_summary,
     "source_summary": source_summary,
     "row_samples": row_samples,

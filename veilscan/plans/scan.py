@@ -32,11 +32,15 @@ from veilscan.sources.catalog import (
     read_catalog,
     register_sources,
 )
+from veilscan.sources.commits import commit_report
 from veilscan.sources.objects import all_objects, object_findings, object_inventory, object_texts, scheme_of
 from veilscan.sources.sinks import write_report
 from veilscan.sources.windows import RANGED, WINDOW_BYTES, object_windows
 
 
+OBJECT_STATUSES = ("scanned", "empty", "unreadable")
+
+
 @dataclass
 class ScanResult:
     catalog: DataFrame
@@ -172,6 +176,51 @@ def scan_objects_under(
     return object_findings(inventory, texts, profile, "path", errors)
 
 
+def committed_scan(
+    spark: SparkSession,
+    path: str,
+    listed: DataFrame,
+    columns: DataFrame,
+    objects: DataFrame | None = None,
+    items: DataFrame | None = None,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Write the findings of a scan as one committed run below ``path`` and return its totals.
+
+    ``listed`` are the tables (``database, table_name``), the others findings of the three
+    kinds; ``objects`` may hold all objects with their ``status``. Every number is counted by the
+    job that writes the part, so neither the inputs nor the findings are read a second time. The
+    totals have the columns of ``reports.scan_totals`` and ``objects_<status>`` if there are any.
+    """
+    has = F.coalesce(F.size("pii_types") > 0, F.lit(False))
+    parts = {"tables": listed.select("database", "table_name").distinct(), "columns": columns}
+    counters = {"columns": {"with_pii": F.count_if(has)}}
+    statuses: list[str] = []
+    if objects is not None:
+        parts["objects"], counters["objects"] = objects, {"with_pii": F.count_if(has)}
+        if "status" in objects.columns:
+            statuses = list(OBJECT_STATUSES)
+            counters["objects"] |= {f"objects_{s}": F.count_if(F.col("status") == s) for s in statuses}
+    if items is not None:
+        parts["items"], counters["items"] = items, {"with_pii": F.count_if(has)}
+    seen = commit_report(spark, path, parts, counters, run_id)
+    number = lambda part, name: seen.get(part, {}).get(name, 0)
+    tables, objects_n, items_n = number("tables", "rows"), number("objects", "with_pii"), number("items", "with_pii")
+    totals = {
+        "total_sources": tables + objects_n + items_n,
+        "total_tables": tables,
+        "total_columns": number("columns", "rows"),
+        "pii_columns_found": number("columns", "with_pii"),
+        "no_risk_columns_found": number("columns", "rows") - number("columns", "with_pii"),
+        "pii_sources_found": objects_n + items_n,
+        "glue_tables_scanned": tables,
+        "objects_with_pii": objects_n,
+        "item_tables_with_pii": items_n,
+        **{f"objects_{s}": number("objects", f"objects_{s}") for s in statuses},
+    }
+    return local_frame(spark, [tuple(totals.values())], ", ".join(f"{n} bigint" for n in totals))
+
+
 def run_scan(spark: SparkSession, config: ScanConfig) -> ScanResult:
     """Catalog columns of ``config.databases``, all objects under every path
     of ``config.object_paths``, and every row of each item table."""
@@ -204,23 +253,32 @@ def discovery_workflow(
     item_sources: dict[str, str] | None = None,
     report_path: str | None = None,
     fmt: str = "parquet",
+    commit: bool = False,
 ) -> DiscoveryResult:
-    """Register sources -> classify by name -> tag -> count -> KPIs -> report."""
+    """Register sources -> classify by name -> tag -> count -> KPIs -> report.
+
+    With ``commit`` the report's parts are one committed run below ``report_path``
+    (read them with ``sources.commits.read_report``); without, each part is a folder
+    of JSON that is overwritten by itself."""
     cat = register_sources(spark, file_sources, item_sources, fmt=fmt)
     cls = TG.classify_sources(cat)
     counts = R.run_counts(cat, cls)
     k = R.kpis(counts)
     type_counts = R.pii_type_counts(cls)
     if report_path:
-        for name, df in {
+        parts = {
             "kpis": k,
             "counts": counts,
             "type_counts": type_counts,
             "tag_keys": R.tag_keys_used(cls),
             "catalog": cat,
             "classified": cls.select("source", "type", "database", "pii_types", "risk_level", "tagged", "tags"),
-        }.items():
-            write_report(df, f"{report_path}/{name}")
+        }
+        if commit:
+            commit_report(spark, report_path, parts)
+        else:
+            for name, df in parts.items():
+                write_report(df, f"{report_path}/{name}")
     return DiscoveryResult(cat, cls, TG.source_tags(cls), counts, k, type_counts, report_path)
 
 
@@ -265,6 +323,6 @@ def masked_copy(df: DataFrame, path: str, custom_rules=None, fmt: str = "parquet
 
 __all__ = [
     "ScanResult", "ScanConfig", "run_scan", "DiscoveryResult", "discovery_from_roots", "full_scan", "discovery_workflow",
-    "direct_object_scan", "scan_object_files", "scan_objects_under",
+    "committed_scan", "direct_object_scan", "scan_object_files", "scan_objects_under",
     "direct_item_scan", "masked_copy",
 ]
