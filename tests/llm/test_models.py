@@ -218,16 +218,39 @@ def test_scores_are_those_of_brute_force(spark):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-3)
 
 
-def test_tree_is_as_deep_as_its_bound_allows(spark):
-    docs = frame(spark, [(i, prose(i, 30)) for i in range(30)]).select("text")
-    assert lm_score.fit_tree(docs, 4, 1 << 20).depth == 4
-    assert lm_score.fit_tree(docs, 4, 60).depth < 3
+def whole_tree(rows, depth):
+    """The tree of the training texts in one piece."""
+    codes, _ = lm_score.byte_grams(*offsets_of([t.encode() for i, t in rows if not in_fold(i, 7, 2)]), depth)
+    grams, n = np.unique(codes, return_counts=True)
+    return lm_score.ContextTree(grams, n.astype(float), depth)
+
+
+def test_counts_by_one_sort():
+    rng = np.random.default_rng(1)
+    grams, trained = rng.integers(0, 50, 999).astype(np.uint64), rng.random(999) < 0.5
+    found, n = lm_score._counted(grams, trained)
+    assert found.tolist() == sorted(set(grams.tolist())) and n.tolist() == [int((trained & (grams == g)).sum()) for g in found]
+    none = np.zeros(0, np.uint64)
+    assert [len(x) for x in lm_score._counted(none, none.astype(bool))] == [0, 0] == [len(x) for x in lm_score._merged([], [])[:2]]
+
+
+def test_deepest_and_many_short_texts(spark):
+    # 7 bytes leave 8 bits for a document's number in its slice
+    rows = [(i, f"row {i % 9} of {i % 7}") for i in range(700)]
+    for depth in (5, 6):
+        whole = whole_tree(rows, depth)
+        got = {r.doc_id: r.score for r in lm_score.lm_scores(frame(spark, rows), depth=depth).collect()}
+        for i, text in rows:
+            code, _ = lm_score.byte_grams(*offsets_of([text.encode()]), depth)
+            assert got[i] == pytest.approx(whole.log10(code).sum(), rel=1e-5)
+    with pytest.raises(ValueError, match="depth"):
+        lm_score.lm_scores(frame(spark, rows), depth=7)
 
 
 def test_parts_of_the_tree_score_like_the_tree_in_one_piece(spark):
     rows = [(i, prose(i, 40)) for i in range(80)]
     docs = frame(spark, rows)
-    whole = lm_score.fit_tree(frame(spark, [r for r in rows if not in_fold(r[0], 7, 2)]).select("text"), 5, 1 << 30)
+    whole = whole_tree(rows, 5)
     got = {r.doc_id: r.score for r in lm_score.lm_scores(docs, batch_bytes=9000).collect()}
     for i, text in rows:
         code, _ = lm_score.byte_grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 5)
@@ -235,14 +258,13 @@ def test_parts_of_the_tree_score_like_the_tree_in_one_piece(spark):
 
 
 def test_depth_is_the_same_at_every_size(spark):
-    # 2.2 M distinct strings of 6 bytes, more than a tree in one piece was let to have; each of them 4 times
+    # 2.2 M distinct strings of 6 bytes, each of them 4 times
     rng = np.random.default_rng(3)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
     rows = [(i, letters[rng.integers(0, 26, 30000)].tobytes().decode() * 4) for i in range(94)]
     seen, held = (next(i for i, _ in rows if in_fold(i, 7, 2) is x) for x in (False, True))
     rows[held] = (held, rows[seen][1])
-    shallower = lm_score.fit_tree(frame(spark, [r for r in rows if not in_fold(r[0], 7, 2)]).select("text"), 5, 1 << 21)
-    assert shallower.depth < 5
+    shallower = whole_tree(rows, 3)
     asked, _ = lm_score.byte_grams(*offsets_of([rows[held][1].encode()]), shallower.depth)
     found = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
     assert found[held].score > 0.9 * shallower.log10(asked).sum()

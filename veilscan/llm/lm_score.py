@@ -11,7 +11,8 @@ by the number of bytes it is the code length per byte.
 
 Training counts cover all texts whose crc32(doc_id as text) mod 7 is not 2: counts of the strings
 of ``depth + 1`` bytes. The depth is the same at every size. The tree is dealt by the last ``TOP``
-bytes of context to ``PARTS`` parts, each with all deeper nodes of its contexts: a part gets the
+bytes of context to parts, each with all deeper nodes of its contexts; their number follows the
+input (one for each ``batch_bytes``, ``PARTS`` at least). A part gets the
 distinct strings of every batch with their training counts, builds its nodes, and sends each batch
 the logarithms of its strings. Only the nodes of less than ``TOP`` bytes of context, 65,280 of them
 whatever the input, are put together from all parts and sent to the tasks.
@@ -45,6 +46,8 @@ START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 END_WORD = np.uint64(0x454E44)
 BATCH_BYTES = 16 << 20
 TOP, PARTS = 2, 256
+MOST_GRAMS = 1 << 21  # strings that a task gathers before it sends them on
+DEEPEST = 6  # strings and a mark have to fit into 64 bits
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -66,24 +69,6 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.nd
     return code[at], sizes + 1
 
 
-def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """gram, n: how often each string of ``depth + 1`` bytes ends at a byte of the texts (column ``text``)."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                new, n = np.unique(byte_grams(data, offsets, depth)[0], return_counts=True)
-                grams, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
-                counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
-                if len(grams) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-                    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0, by Stirling's series from x + 8 down."""
     y = x + 8
@@ -122,6 +107,28 @@ def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[place]
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(first)
+
+
+def _counted(grams: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings, sorted, and how often each is one of the ``trained``; by one sort of plain numbers."""
+    ordered = np.sort((grams << np.uint64(1)) | trained)
+    at = _runs(ordered >> np.uint64(1))
+    counts = np.add.reduceat((ordered & np.uint64(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    return ordered[at] >> np.uint64(1), counts
+
+
+def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings of several sorted lists, their counts added up, and the place of each string sent."""
+    distinct, place = _distinct(np.concatenate([np.zeros(0, np.uint64), *grams]))
+    sums = np.bincount(place, np.concatenate([np.zeros(0), *counts]), len(distinct)).astype(np.int64)
+    return distinct, sums, place
+
+
 class ContextTree:
     """The contexts of each depth from ``least`` on, and for each depth and bit the sorted keys of the
     nodes with their estimate of a 1 and their weight. A node's key is its context's number and the
@@ -239,20 +246,20 @@ def _unpacked(blob: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _dealt(grams: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dealt(grams: np.ndarray, least: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that puts sorted strings into parts, the parts that have any, and where each ends."""
-    part = (mix64(((grams >> np.uint64(8)) & _mask(least)) + np.uint64(1)) % np.uint64(PARTS)).astype(np.int64)
+    part = (mix64(((grams >> np.uint64(8)) & _mask(least)) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    parts, n = np.unique(part, return_counts=True)
-    return order, parts, np.cumsum(n)
+    found, n = np.unique(part, return_counts=True)
+    return order, found, np.cumsum(n)
 
 
-def _part_rows(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> tuple[list, list, list]:
+def _part_rows(grams: np.ndarray, counts: np.ndarray, depth: int, least: int, parts: int) -> tuple[list, list, list]:
     """part, grams, counts of each part that sorted strings have."""
-    order, parts, ends = _dealt(grams, least)
+    order, found, ends = _dealt(grams, least, parts)
     grams, counts = grams[order], counts[order].astype(np.uint64)
     spans = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)) if len(ends) else []
-    return parts.tolist(), [_packed(grams[a:b], depth + 1) for a, b in spans], [_packed(counts[a:b], 8) for a, b in spans]
+    return found.tolist(), [_packed(grams[a:b], depth + 1) for a, b in spans], [_packed(counts[a:b], 8) for a, b in spans]
 
 
 def _part_tree(table: pa.Table, depth: int, least: int) -> tuple[ContextTree, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,30 +271,32 @@ def _part_tree(table: pa.Table, depth: int, least: int) -> tuple[ContextTree, np
     return ContextTree(distinct[n > 0], n[n > 0], depth, least), distinct, place, np.array([len(x) for x in sent])
 
 
-def top_tree(training: DataFrame, depth: int, least: int) -> TopTree | None:
+def top_tree(training: DataFrame, depth: int, least: int, parts: int = PARTS) -> TopTree | None:
     """The depths before ``least`` of the tree of the texts of ``training``."""
     if not least:
         return None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def rows() -> pa.RecordBatch:
-            part, packed, n = _part_rows(grams, counts, depth, least)
+        def rows(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            part, packed, n = _part_rows(grams, counts, depth, least, parts)
             return pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int64()), pa.array(packed, pa.binary()), pa.array(n, pa.binary())], names=["part", "grams", "counts"]
             )
 
+        grams, counts = [], []
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                new, place = _distinct(byte_grams(data, offsets, depth)[0])
-                n = np.bincount(place, minlength=len(new))
-                grams, place = _distinct(np.concatenate([grams, new]))
-                counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
-                if len(grams) > 1 << 20:
-                    yield rows()
-                    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield rows()
+                ordered = np.sort(byte_grams(data, offsets, depth)[0])
+                at = _runs(ordered)
+                grams.append(ordered[at])
+                counts.append(np.diff(np.append(at, len(ordered))))
+                if sum(map(len, grams)) > MOST_GRAMS:
+                    distinct, n, _ = _merged(grams, counts)
+                    grams, counts = [distinct], [n]
+                    if len(distinct) > MOST_GRAMS // 2:
+                        yield rows(distinct, n)
+                        grams, counts = [], []
+        yield rows(*_merged(grams, counts)[:2])
 
     def roots(table: pa.Table) -> pa.Table:
         tree = _part_tree(table, depth, least)[0]
@@ -315,34 +324,17 @@ def top_tree(training: DataFrame, depth: int, least: int) -> TopTree | None:
     return TopTree(least, *(table.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "children")))
 
 
-def fit_tree(training: DataFrame, depth: int, max_grams: int) -> ContextTree:
-    """The context tree of the texts of ``training`` in one piece, as deep as ``max_grams`` lets it be.
-
-    For small tables and tests; :func:`lm_scores` does not use it."""
-    counts = gram_counts(training, depth).persist()
-    try:
-        while True:
-            mask = F.lit((1 << (8 * (depth + 1))) - 1).cast("bigint")
-            grams = counts.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-            if depth == 0 or grams.count() <= max_grams:
-                table = grams.toArrow()
-                break
-            depth -= 1
-    finally:
-        counts.unpersist()
-    strings, n = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
-    del table
-    return ContextTree(strings, n, depth)
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"depth is 0 to {DEEPEST}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), text_or_empty().alias("text"))
     least = min(TOP, depth)
-    top = spark.sparkContext.broadcast(top_tree(rows.where(~F.col("held")), depth, least))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     batches = max(1, -(-int(total) // batch_bytes))
+    parts = max(PARTS, batches)
+    top = spark.sparkContext.broadcast(top_tree(rows.where(~F.col("held")), depth, least, parts))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches))).select("batch", "id", "held", "text")
     dealt = dealt.repartition(batches, "batch")
 
@@ -351,11 +343,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
         hashes, counts = [np.array([END_WORD])], [np.array([trained.sum()], np.int64)]
         for lo, hi, data, offsets in text_slices(table.column("text")):
             found, n = word_hashes(data, offsets)
-            distinct, place = np.unique(found, return_inverse=True)
+            distinct, place = _distinct(found)
             hashes.append(distinct)
             counts.append(np.bincount(place, np.repeat(trained[lo:hi], n), len(distinct)).astype(np.int64))
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+        distinct, n, _ = _merged(hashes, counts)
         batch = pa.array(np.full(len(distinct), table.column("batch")[0].as_py(), np.int64))
         return pa.table({"batch": batch, "word": distinct.view(np.int64), "n": n})
 
@@ -371,15 +362,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
 
     def batch_grams(table: pa.Table) -> pa.Table:
         trained = ~np.array(table.column("held").to_numpy())
-        slices_of, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        slices_of, counts = [], []
         for lo, hi, data, offsets in text_slices(table.column("text")):
             code, n = byte_grams(data, offsets, depth)
-            distinct, place = _distinct(code)
+            distinct, seen = _counted(code, np.repeat(trained[lo:hi], n))
             slices_of.append(distinct)
-            counts.append(np.bincount(place, np.repeat(trained[lo:hi], n), len(distinct)))
-        grams, place = _distinct(np.concatenate(slices_of))
-        counts = np.bincount(place, np.concatenate(counts), len(grams))
-        part, packed, n = _part_rows(grams, counts, depth, least)
+            counts.append(seen)
+        part, packed, n = _part_rows(*_merged(slices_of, counts)[:2], depth, least, parts)
         batch = np.full(len(part), table.column("batch")[0].as_py(), np.int64)
         return pa.table({"batch": batch, "part": pa.array(part, pa.int64()), "grams": pa.array(packed, pa.binary()), "counts": pa.array(n, pa.binary())})
 
@@ -395,32 +384,45 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
     known = known.unionByName(logs, allowMissingColumns=True)
 
     def batch_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = right.filter(pc.is_valid(right.column("part"))).sort_by("part")
+        sent = right.filter(pc.is_valid(right.column("part"))).sort_by("part")
         right = right.filter(pc.is_null(right.column("part")))
-        log_of = np.frombuffer(b"".join(parts.column("logs").to_pylist()), np.float32)
-        slices_of, places = [np.zeros(0, np.uint64)], [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        log_of = np.frombuffer(b"".join(sent.column("logs").to_pylist()), np.float32)
+        # a string and its document's number in the slice are one plain number, so one sort gathers equal strings
+        bits = np.uint64(64 - 8 * (depth + 1))
+        slices_of, uses = [], []
         for _, _, data, offsets in text_slices(left.column("text")):
-            code, own = byte_grams(data, offsets, depth)
-            distinct, place = _distinct(code)
-            slices_of.append(distinct)
-            places.append((place, own))
-        grams = _distinct(np.concatenate(slices_of))[0]
+            for lo in range(0, len(offsets) - 1, 1 << int(bits)):
+                some = offsets[lo : lo + (1 << int(bits)) + 1]
+                code, own = byte_grams(data[some[0] : some[-1]], some - some[0], depth)
+                code <<= bits
+                code |= np.repeat(np.arange(len(own), dtype=np.uint64), own)
+                code.sort()
+                at = _runs(code >> bits)
+                slices_of.append(code[at] >> bits)
+                doc = (code & np.uint64((1 << int(bits)) - 1)).astype(np.uint32)
+                uses.append((doc, np.diff(np.append(at, len(code))).astype(np.int32), len(own)))
+        grams, place = _distinct(np.concatenate([np.zeros(0, np.uint64), *slices_of]))
         values = np.empty(len(grams))
-        values[_dealt(grams, least)[0]] = log_of
-        values_of = [values[np.searchsorted(grams, x)] for x in slices_of]
+        values[_dealt(grams, least, parts)[0]] = log_of
+        scores, before = [], 0
+        for found, (doc, times, n) in zip(slices_of, uses, strict=True):
+            of = values[place[before : before + len(found)]]
+            scores.append(np.bincount(doc, np.repeat(of, times), n))
+            before += len(found)
+        del uses, slices_of
         order = np.argsort(right.column("word").to_numpy().view(np.uint64))
         word = right.column("word").to_numpy().view(np.uint64)[order]
         c = right.column("c").to_numpy()[order]
         logs, seen = np.log10(c + 1.0), (c > 0).astype(np.float64)
         end = int(np.searchsorted(word, END_WORD))
-        tokens, known_n, log_sum, scores, sizes = ([] for _ in range(5))
-        for k, (_, _, data, offsets) in enumerate(text_slices(left.column("text")), 1):
+        tokens, known_n, log_sum, sizes = ([] for _ in range(4))
+        for _, _, data, offsets in text_slices(left.column("text")):
             found, n = word_hashes(data, offsets)
-            at = np.searchsorted(word, found)
+            distinct, place = _distinct(found)
+            at = np.searchsorted(word, distinct)[place]
             tokens.append(n + 1)
             known_n.append(segment_sums(seen[at], n) + seen[end])
             log_sum.append(segment_sums(logs[at], n) + logs[end])
-            scores.append(segment_sums(values_of[k][places[k][0]], places[k][1]))
             sizes.append(np.diff(offsets))
         return pa.table(
             {
