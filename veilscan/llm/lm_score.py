@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .textbytes import _LOWER, mix64, segment_sums, text_slices, word_hashes
+from .textbytes import _LOWER, give_memory_back, mix64, segment_sums, text_slices, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
@@ -277,6 +277,7 @@ def top_tree(training: DataFrame, depth: int, least: int, parts: int = PARTS) ->
         return None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         def rows(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             part, packed, n = _part_rows(grams, counts, depth, least, parts)
             return pa.RecordBatch.from_arrays(
@@ -339,6 +340,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
     dealt = dealt.repartition(batches, "batch")
 
     def batch_words(table: pa.Table) -> pa.Table:
+        give_memory_back()
         trained = ~np.array(table.column("held").to_numpy())
         hashes, counts = [np.array([END_WORD])], [np.array([trained.sum()], np.int64)]
         for lo, hi, data, offsets in text_slices(table.column("text")):
@@ -361,6 +363,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
     known = words.join(counts, "word").select("batch", "word", "c", "n", "last")
 
     def batch_grams(table: pa.Table) -> pa.Table:
+        give_memory_back()
         trained = ~np.array(table.column("held").to_numpy())
         slices_of, counts = [], []
         for lo, hi, data, offsets in text_slices(table.column("text")):
@@ -373,6 +376,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
         return pa.table({"batch": batch, "part": pa.array(part, pa.int64()), "grams": pa.array(packed, pa.binary()), "counts": pa.array(n, pa.binary())})
 
     def part_scores(table: pa.Table) -> pa.Table:
+        give_memory_back()
         tree, distinct, place, sizes = _part_tree(table, depth, least)
         values = tree.log10(distinct, top.value).astype(np.float32)[place]
         ends = np.cumsum(sizes)
@@ -384,6 +388,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", depth: int = 5, batch_byt
     known = known.unionByName(logs, allowMissingColumns=True)
 
     def batch_scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_memory_back()
         sent = right.filter(pc.is_valid(right.column("part"))).sort_by("part")
         right = right.filter(pc.is_null(right.column("part")))
         log_of = np.frombuffer(b"".join(sent.column("logs").to_pylist()), np.float32)
