@@ -579,6 +579,10 @@ SELECT event_type, event_id, user_id, value FROM (
             "AGE": (rules.REDACT, 0, 0, "*"),
         }),
     }
+    out["registry_batch"] = """
+SELECT DISTINCT 'user/' || user_id AS resource,
+  CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'already_registered' ELSE 'registered' END AS status
+FROM events WHERE user_id IS NOT NULL"""
     out["committed_totals"] = out["scan_totals"]
     out["committed_findings"] = " UNION ALL ".join(
         f"SELECT {q(part)} AS part, * RENAME ({key} AS id) FROM ({out[name]})"

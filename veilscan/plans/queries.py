@@ -22,6 +22,7 @@ from veilscan.operators import json_attributes as JA
 from veilscan.operators import reports as R
 from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
+from veilscan.operators.registry import register_batch
 from veilscan.plans import standins
 from veilscan.plans.scan import committed_scan
 from veilscan.session import TABLES, ensure_checkpoint_dir, local_frame, read_table, read_tables, table_path
@@ -365,6 +366,13 @@ def _documents_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.scan_documents_once(read_table(spark, sf_dir, "documents"), "source", "text")
 
 
+def registry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of all events registered against the registry of customers, which is not shuffled."""
+    known = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("user/"), "c_custkey").alias("resource"))
+    seen = read_table(spark, sf_dir, "events").select(F.concat(F.lit("user/"), "user_id").alias("resource"))
+    return register_batch(known, seen)
+
+
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog columns, object findings and item-table findings totalled."""
     catalog = _catalog(spark, sf_dir)
@@ -510,6 +518,7 @@ QUERIES = {
     "tag_upsert": tag_upsert,
     "stored_tag_upsert": stored_tag_upsert,
     "registry": registry,
+    "registry_batch": registry_batch,
     "scan_totals": scan_totals,
     "committed_totals": committed_totals,
     "committed_findings": committed_findings,
