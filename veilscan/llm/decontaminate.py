@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unused
-from .textbytes import mix64, prefix_hash, span_hash, text_slices
+from .textbytes import give_memory_back, mix64, prefix_hash, span_hash, text_slices
 
 WINDOW, LITERAL, MIN_WINDOWS, SHORTEST, SENTENCE = 8, 4, 3, 5, 2
 FILTER_WINDOWS = 1 << 20
@@ -234,6 +234,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     lengths = [r["size"] for r in items.select("size").distinct().collect()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         for batch in batches:
             yield from _window_rows([batch.column(0), batch.column(1)], ["id", "key"], batch.column(2), lengths, filter_of.value)
 

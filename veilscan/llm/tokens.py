@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textbytes import SLICE_BYTES, prefix_hash, span_hash, text_slices, words
+from .textbytes import SLICE_BYTES, give_memory_back, prefix_hash, span_hash, text_slices, words
 
 SHARD_TOKENS = 1 << 22
 END_ID = 2
@@ -256,6 +256,7 @@ def write_shards(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", end_i
     shape = f"part int, shard int, n_docs bigint, n_tokens bigint, ids array<{kind.simpleString()}>, data binary"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         encoder, part, shard = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -309,6 +310,7 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id", tokens: bool = Fal
     names = ["part", "shard", "id", "offset", "n_tokens", "ids_crc32", *["tokens"] * tokens]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_memory_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 lengths, matrix = read_shard(batch.column(3)[row].as_buffer().to_pybytes())
