@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tests.llm.data import ODD, frame, prose
 from veilscan.llm.queries import vocabulary
 from veilscan.llm.textbytes import prefix_hash, slices, span_hash, words
-from veilscan.llm.tokens import Encoder, read_documents, read_shard, write_shard, write_shards
+from veilscan.llm.tokens import Encoder, cut_pieces, read_documents, read_shard, write_shard, write_shards
 
 
 @pytest.mark.parametrize("n,most", [(0, 5), (1, 1), (7, 3), (1000, 49408), (5000, 70000), (4096, 2)])
@@ -57,7 +57,7 @@ def test_ids_are_the_library_s(encoder, texts):
 def test_ids_of_special_and_long_words(encoder, monkeypatch):
     texts = ["<|endoftext|> a", "x<|startoftext|>y", "don't I'LL they're 'still", "a" * 3000, "", "der Größe, naïve café"] * 2
     monkeypatch.setattr(Encoder, "MOST", 2)
-    for _ in range(2):
+    for _ in range(3):
         ids, _ = encoder.encode(*as_arrays(texts), 2)
         assert ids.tolist() == sum(([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts), [])
 
@@ -98,3 +98,26 @@ def test_words_and_slices():
     assert span_hash(prefix, np.array([0]), np.array([3])) == span_hash(prefix, np.array([3]), np.array([6]))
 
 
+
+
+def test_files_with_another_chain_go_through_the_library(encoder):
+    import public_tokenizers
+
+    other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.by_piece and not other.by_piece
+    texts = ["Don't  STOP\n", "", "naïve 123 日本 x" * 3]
+    ids, counts = other.encode(*as_arrays(texts), 50256)
+    want = [[*other.tokenizer.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_pieces_of_quotes_and_digits():
+    texts = ["'S're ,'s a''t x'l 'LLy", "'", "s12É'T"]
+    low, starts, ends, left_whole, counts = cut_pieces(*as_arrays(texts))
+    raw = low.tobytes()
+    pieces = [raw[a:b].decode() for a, b in zip(starts, ends, strict=True)]
+    assert pieces == ["'s", "'re", ",'", "s", "a", "''", "t", "x", "'", "l", "'ll", "y", "'", "s", "1", "2", "é", "'t"]
+    assert counts.tolist() == [12, 1, 5] and not left_whole.any()
+    whole = cut_pieces(*as_arrays(["A <|B É…'s Q"]))
+    assert whole[3].tolist() == [False, True, True, False]
+    assert whole[0].tobytes().decode() == "a <|B É…'s q"

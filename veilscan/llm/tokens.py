@@ -17,11 +17,12 @@ read.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,10 +155,38 @@ def read_shard(data: bytes) -> tuple[np.ndarray, WaveletMatrix]:
     return np.frombuffer(body, "<i8", n, 8), WaveletMatrix.from_bytes(body[8 + 8 * n :])
 
 
-# The pieces of the vocabulary's own pre-tokenizer (fixed by its file), for words of printable
-# ASCII and accented Latin-1 letters, where lower-casing and composing cannot differ.
-_PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+# The chain of steps before the model of word_bpe_49k.json, as that file states it. Texts
+# are cut into pieces by arrays only for files with this very chain.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_SPECIAL = ["<|startoftext|>", "<|endoftext|>"]
+
+# Classes of bytes: words of printable ASCII and accented Latin-1 letters (0xC3 and a second byte), where
+# lower-casing and composing cannot differ, are cut by these; a word with any other byte is left whole.
+_LETTER, _DIGIT, _OTHER, _FOREIGN = 1, 2, 3, 4
+_CLASS = np.full(256, _FOREIGN, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
 
 
 def _byte_letters() -> dict[int, str]:
@@ -167,10 +196,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case, starts, ends, left whole, number in each document) of the vocabulary's pieces.
+
+    A piece is a run of letters, a digit, a run of other signs, or one of 's 't 'm 'd 're 've 'll
+    where no other sign is before it. A word with bytes beyond printable Latin-1, or with ``<|``,
+    which may begin a special token, is one piece as it stands (``left whole``)."""
+    kind, low = _CLASS[data], data.copy()
+    upper = (data >= 65) & (data <= 90)
+    low[upper] += 32
+    accent = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[accent + 1]
+    accent, second = accent[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]
+    kind[accent] = kind[accent + 1] = _LETTER
+    low[accent[second < 0x9F] + 1] += 32
+    kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = _FOREIGN
+
+    starts, ends, counts = words(data, offsets)
+    foreign = np.flatnonzero(kind == _FOREIGN)
+    whole = np.unique(np.searchsorted(starts, foreign, side="right") - 1)
+    begin = np.empty(len(data), bool)
+    begin[:1] = True
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begin[kind == 0] = False
+    begin[starts] = True
+
+    quotes = np.flatnonzero(data == 39)
+    quotes = quotes[begin[quotes]]
+    if len(quotes):
+        left = ends[np.searchsorted(starts, quotes, side="right") - 1] - quotes
+        one, two = (low[np.minimum(quotes + k, len(low) - 1)] for k in (1, 2))
+        short = (left > 1) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (left > 2) & (((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l"))))
+        size = np.where(short, 2, np.where(long, 3, 0))
+        quotes, size, left = quotes[size > 0], size[size > 0], left[size > 0]
+        begin[quotes + 1] = False
+        begin[(quotes + size)[left > size]] = True
+    if len(whole):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[whole]] += 1
+        step[ends[whole]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        low[inside] = data[inside]
+        begin[inside] = False
+        begin[starts[whole]] = True
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(data))
+    at_end = np.searchsorted(first, ends) - 1
+    last[at_end] = ends
+    left_whole = np.zeros(len(first), bool)
+    left_whole[np.searchsorted(first, starts[whole])] = True
+    return low, first, last, left_whole, np.diff(np.searchsorted(first, offsets))
+
+
 class Encoder:
-    """Encodes texts word by word: white space always ends a word of this vocabulary, so a text's ids
-    are its words' ids. Each distinct word is encoded once, by the library's model; words beyond
-    printable Latin-1 go through the library's whole chain."""
+    """Encodes texts piece by piece, for white space always ends a word of this vocabulary and its
+    pieces do not depend on one another. Each distinct piece is encoded once, by the library's model;
+    words left whole go through the library's whole chain, as do whole texts if the file's chain is
+    another one. What has been encoded stays known in arrays sorted by hash; beyond ``MOST`` pieces,
+    those not used for longest go."""
 
     MOST = 400_000
 
@@ -181,58 +265,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = str.maketrans(_byte_letters())
-        self.pieces: dict[str, list[int]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.length = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        self.flat, self.size = [np.zeros(0, np.uint16)], 0
-
-    def encode_word(self, word: str) -> list[int]:
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECES.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
-            out += ids
-        return out
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.by_piece = (
+            parts["normalizer"] == _NORMALIZER
+            and parts["pre_tokenizer"] == _PRE_TOKENIZER
+            and parts["truncation"] is None
+            and parts["model"]["type"] == "BPE"
+            and not parts["model"]["dropout"]
+            and [t["content"] for t in parts["added_tokens"]] == _SPECIAL
+        )
+        self.keys, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.turn = np.zeros(0, np.uint32), 0
+
+    def _ids(self, pieces: list[bytes], left_whole: list[bool]) -> list[list[int]]:
+        """The ids of each piece."""
+        words_whole = [p.decode() for p, w in zip(pieces, left_whole, strict=True) if w]
+        whole = iter(self.tokenizer.encode_batch_fast(words_whole, add_special_tokens=False) if words_whole else [])
+        tokenize, letters = self.model.tokenize, self.letters
+        return [
+            next(whole).ids if w else [t.id for t in tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(letters))]
+            for p, w in zip(pieces, left_whole, strict=True)
+        ]
+
+    def _learn(self, keys: np.ndarray, lists: list[list[int]]) -> None:
+        """Add new pieces, their keys in ascending order, with their ids."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start = np.insert(self.keys, at, keys), np.insert(self.start, at, begin)
+        self.length, self.used = np.insert(self.length, at, sizes), np.insert(self.used, at, self.turn)
+
+    def _forget(self) -> None:
+        """Keep the half of ``MOST`` that was used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.MOST // 2])
+        self.keys, self.used, self.length = self.keys[keep], self.used[keep], self.length[keep]
+        ends = np.cumsum(self.length)
+        self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[keep] - (ends - self.length), self.length)]
+        self.start = ends - self.length
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by ``end_id``, and their numbers."""
-        starts, ends, counts = words(data, offsets)
-        hashes = span_hash(prefix_hash(data), starts, ends)
+        if not self.by_piece:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
+        low, starts, ends, left_whole, counts = cut_pieces(data, offsets)
+        hashes = span_hash(prefix_hash(low), starts, ends)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        found = [self.known.get(h, -1) for h in distinct.tolist()]
-        new = [i for i, at in enumerate(found) if at < 0]
-        whole = data.tobytes()
-        lists = [self.encode_word(whole[starts[first[i]] : ends[first[i]]].decode()) for i in new]
-        base = len(self.known)
-        for j, i in enumerate(new):
-            self.known[int(distinct[i])] = found[i] = base + j
-        sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-        self.length.append(sizes)
-        self.start.append(self.size + np.cumsum(sizes) - sizes)
-        self.flat.append(np.fromiter((t for x in lists for t in x), np.uint32, int(sizes.sum())))
-        self.size += int(sizes.sum())
-        start, length, flat = np.concatenate(self.start[1:]), np.concatenate(self.length[1:]), np.concatenate(self.flat)
-        self.start, self.length, self.flat = [self.start[0], start], [self.length[0], length], [flat]
-        known = np.array(found, np.int64)[place] if len(found) else np.zeros(0, np.int64)
-        # one more "word" after each document: the end id, kept behind all words
-        at = np.insert(known, np.cumsum(counts), len(start))
-        start, length, flat = np.append(start, len(flat)), np.append(length, 1), np.append(flat, np.uint32(end_id))
-        n = length[at]
+        self.turn += 1
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        new = first[~known]
+        if len(new):
+            raw = low.tobytes()
+            pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self._learn(distinct[~known], self._ids(pieces, left_whole[new].tolist()))
+            at = np.searchsorted(self.keys, distinct)
+        self.used[at] = self.turn
+        # one more piece after each document: the end id, kept behind all others
+        start, length = np.append(self.start[at], len(self.flat)), np.append(self.length[at], 1)
+        order = np.insert(place, np.cumsum(counts), len(distinct))
+        n = length[order]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(total[-1]) + np.repeat(start[at] - total[:-1], n)]
-        last = np.cumsum(counts + 1)
-        if len(self.known) > self.MOST:
-            self.clear()
-        if len(self.pieces) > self.MOST:
-            self.pieces.clear()
-        return ids, np.diff(total[np.concatenate([[0], last])])
+        ids = np.append(self.flat, np.uint32(end_id))[np.arange(total[-1]) + np.repeat(start[order] - total[:-1], n)]
+        if len(self.keys) > self.MOST:
+            self._forget()
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts + 1)])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
