@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tests.llm.data import ODD, frame, prose
 from veilscan.llm.queries import vocabulary
 from veilscan.llm.textbytes import prefix_hash, slices, span_hash, words
-from veilscan.llm.tokens import Encoder, cut_pieces, read_documents, read_shard, write_shard, write_shards
+from veilscan.llm.tokens import BLOCK, Encoder, Plane, cut_pieces, read_documents, read_shard, write_shard, write_shards
 
 
 @pytest.mark.parametrize("n,most", [(0, 5), (1, 1), (7, 3), (1000, 49408), (5000, 70000), (4096, 2)])
@@ -28,6 +28,25 @@ def test_wavelet_matrix_answers_like_the_ids(n, most):
         assert matrix.select(token, len(places)) == -1
 
 
+def test_a_question_inflates_few_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 1 << 9, 9 * 8 * BLOCK + 77)
+    _, matrix = read_shard(write_shard(np.array([len(ids)]), ids))
+    inflated = []
+    inflate = Plane._inflate
+    monkeypatch.setattr(Plane, "_inflate", lambda self, b: inflated.append(b) or inflate(self, b))
+    places = np.array([0, 8 * BLOCK - 1, 8 * BLOCK, len(ids) - 1])
+    assert matrix.access(places[-1:]).tolist() == ids[-1:].tolist() and len(inflated) <= 9
+    assert matrix.access(places).tolist() == ids[places].tolist()
+    for token in (0, int(ids[8 * BLOCK]), 511):
+        found = np.flatnonzero(ids == token)
+        inflated.clear()
+        assert matrix.rank(token, 8 * BLOCK) == (found < 8 * BLOCK).sum() and len(inflated) <= 18
+        assert [matrix.select(token, k) for k in (0, len(found) // 2, len(found) - 1)] == found[[0, len(found) // 2, -1]].tolist()
+        assert matrix.select(token, len(found)) == -1
+    assert (matrix.decode() == ids).all()
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         read_shard(b"PAR1" + bytes(40))

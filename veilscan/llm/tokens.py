@@ -8,7 +8,8 @@ of a Parquet table, so that any store Spark can write to holds it.
 A wavelet matrix keeps the ids as bit planes from the highest bit down; after each plane the ids
 with bit 0 come before those with bit 1, in stable order. Counts of ones before a place (rank) and
 their inverse (select) give the id at a place, the number of an id before a place, and the place
-of an id's k-th occurrence, from the planes alone.
+of an id's k-th occurrence, from the planes alone. Planes are compressed in blocks of ``BLOCK`` bytes with
+the ones before each block beside them, so a question inflates one or two blocks of each plane.
 
 Null and empty texts have the end id alone. A null doc_id sorts first. Rows with equal ids follow
 the order of their texts' hashes. An empty table gives no shard and no rows. Other columns are not
@@ -36,16 +37,89 @@ from .textbytes import SLICE_BYTES, give_memory_back, prefix_hash, span_hash, te
 
 SHARD_TOKENS = 1 << 22
 END_ID = 2
-_MAGIC = b"WAVM1\0\0\0"
+#: bytes of a bit plane that are compressed together
+BLOCK = 1 << 14
+_MAGIC = b"WAVM2\0\0\0"
+
+
+class Plane:
+    """One bit of each id, packed eight to a byte, in blocks that are compressed one by one.
+
+    ``ends[b]`` is where block b's image ends in ``data``; ``ranks[b]`` is the number of ones before
+    block b. Only the blocks that a question touches are inflated."""
+
+    def __init__(self, n: int, ends: np.ndarray, ranks: np.ndarray, data: memoryview) -> None:
+        self.n, self.ends, self.ranks, self.data = n, ends, ranks, data
+        self._at, self._bytes, self._sums = -1, np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    @classmethod
+    def pack(cls, bits: np.ndarray) -> Plane:
+        raw = np.packbits(bits)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        cuts = range(0, len(raw), BLOCK)
+        blocks = [squeeze(raw[at : at + BLOCK].data) for at in cuts]
+        ones = [int(np.bitwise_count(raw[at : at + BLOCK]).sum(dtype=np.int64)) for at in cuts]
+        ends = np.cumsum([len(x) for x in blocks], dtype=np.int64)
+        return cls(len(bits), ends, np.cumsum(ones, dtype=np.int64) - np.array(ones, np.int64), memoryview(b"".join(blocks)))
+
+    def image(self) -> bytes:
+        return struct.pack("<q", len(self.data)) + self.ends.astype("<i8").tobytes() + self.ranks.astype("<i8").tobytes() + self.data
+
+    @classmethod
+    def read(cls, data: memoryview, at: int, n: int) -> tuple[Plane, int]:
+        """The plane of ``n`` bits whose image begins at ``at``, and where the image ends."""
+        (size,) = struct.unpack_from("<q", data, at)
+        blocks = -(-n // (8 * BLOCK))
+        ends = np.frombuffer(data, "<i8", blocks, at + 8)
+        ranks = np.frombuffer(data, "<i8", blocks, at + 8 + 8 * blocks)
+        begin = at + 8 + 16 * blocks
+        return cls(n, ends, ranks, data[begin : begin + size]), begin + size
+
+    def _inflate(self, block: int) -> np.ndarray:
+        begin = int(self.ends[block - 1]) if block else 0
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[begin : int(self.ends[block])]), np.uint8)
+
+    def _open(self, block: int) -> None:
+        """Inflate a block and count its ones byte by byte; the last one opened stays."""
+        if block != self._at:
+            self._at, self._bytes = block, self._inflate(block)
+            self._sums = np.concatenate([[0], np.cumsum(np.bitwise_count(self._bytes), dtype=np.int64)])
+
+    def look(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each place, and the number of ones before it (places 0 to n; bit n is 0)."""
+        bit, ones = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        of = np.minimum(places // (8 * BLOCK), max(0, len(self.ends) - 1))
+        for block in np.unique(of).tolist() if len(self.ends) else []:
+            mine = np.flatnonzero(of == block)
+            self._open(block)
+            inside = places[mine] - block * 8 * BLOCK
+            byte = np.minimum(inside >> 3, len(self._bytes) - 1)
+            rest, value = inside - (byte << 3), self._bytes[byte].astype(np.int64)
+            bit[mine] = (value >> np.maximum(7 - rest, 0)) & (rest < 8) & 1
+            ones[mine] = self.ranks[block] + self._sums[byte] + np.bitwise_count(value >> (8 - rest))
+        return bit, ones
+
+    def place(self, one: int, k: int) -> int:
+        """The place of the k-th (from 0) 1 or 0: its block by the ranks, then inside that block."""
+        starts = np.arange(len(self.ends), dtype=np.int64) * (8 * BLOCK)
+        before = self.ranks if one else starts - self.ranks
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        self._open(block)
+        bits = np.unpackbits(self._bytes, count=min(8 * BLOCK, self.n - block * 8 * BLOCK))
+        return block * 8 * BLOCK + int(np.flatnonzero(bits == one)[k - before[block]])
+
+    def bits(self) -> np.ndarray:
+        """All bits."""
+        raw = [self._inflate(b) for b in range(len(self.ends))]
+        return np.unpackbits(np.concatenate([*raw, np.zeros(0, np.uint8)]), count=self.n).view(bool)
 
 
 class WaveletMatrix:
     """Ids with rank and select. ``planes[k]`` has the bit 2^(bits - 1 - k) of the ids in that
-    plane's order, packed; ``zeros[k]`` is the number of its 0 bits."""
+    plane's order; ``zeros[k]`` is the number of its 0 bits."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
-        self._sums: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -54,7 +128,7 @@ class WaveletMatrix:
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (now & now.dtype.type(1 << k)) != 0
-            planes.append(np.packbits(ones))
+            planes.append(Plane.pack(ones))
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
@@ -62,32 +136,23 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         head = struct.pack(f"<qi{len(self.zeros)}q", self.n, len(self.planes), *self.zeros)
-        return head + b"".join(p.tobytes() for p in self.planes)
+        return head + b"".join(p.image() for p in self.planes)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
+    def from_bytes(cls, data: memoryview) -> WaveletMatrix:
         n, bits = struct.unpack_from("<qi", data)
         zeros = list(struct.unpack_from(f"<{bits}q", data, 12))
-        at, size = 12 + 8 * bits, (n + 7) // 8
-        return cls(n, [np.frombuffer(data, np.uint8, size, at + k * size) for k in range(bits)], zeros)
-
-    def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
-        return (self.planes[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-
-    def _ones(self, k: int, before: np.ndarray) -> np.ndarray:
-        """Number of ones of plane k before each place."""
-        if k not in self._sums:
-            self._sums[k] = np.concatenate([[0], np.cumsum(np.bitwise_count(self.planes[k]), dtype=np.int64)])
-        byte = np.minimum(before >> 3, max(0, len(self.planes[k]) - 1))
-        inside = before - (byte << 3)
-        part = self.planes[k][byte].astype(np.int64) >> (8 - inside)
-        return self._sums[k][byte] + np.bitwise_count(part)
+        at, planes = 12 + 8 * bits, []
+        for _ in range(bits):
+            plane, at = Plane.read(data, at, n)
+            planes.append(plane)
+        return cls(n, planes, zeros)
 
     def access(self, places: np.ndarray) -> np.ndarray:
         """The ids at ``places``."""
         at, out = np.asarray(places, np.int64), np.zeros(len(places), np.int64)
-        for k, zeros in enumerate(self.zeros):
-            bit, ones = self._bit(k, at).astype(np.int64), self._ones(k, at)
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            bit, ones = plane.look(at)
             out = (out << 1) | bit
             at = np.where(bit == 1, zeros + ones, at - ones)
         return out
@@ -96,12 +161,12 @@ class WaveletMatrix:
         lo, hi = 0, before
         if token < 0 or token >> len(self.planes) or not self.n:
             return 0, 0
-        for k, zeros in enumerate(self.zeros):
-            ones = self._ones(k, np.array([lo, hi]))
+        for k, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            ones = plane.look(np.array([lo, hi]))[1].tolist()
             if token >> (len(self.planes) - 1 - k) & 1:
-                lo, hi = zeros + int(ones[0]), zeros + int(ones[1])
+                lo, hi = zeros + ones[0], zeros + ones[1]
             else:
-                lo, hi = lo - int(ones[0]), hi - int(ones[1])
+                lo, hi = lo - ones[0], hi - ones[1]
         return lo, hi
 
     def rank(self, token: int, before: int | None = None) -> int:
@@ -117,23 +182,14 @@ class WaveletMatrix:
         at = lo + k
         for level in range(len(self.planes) - 1, -1, -1):
             one = token >> (len(self.planes) - 1 - level) & 1
-            at = self._find(level, one, at - self.zeros[level] if one else at)
+            at = self.planes[level].place(one, at - self.zeros[level] if one else at)
         return at
 
-    def _find(self, level: int, one: int, k: int) -> int:
-        """The place of the k-th (from 0) 1 or 0 of a plane, by bisection on rank."""
-        lo, hi = 0, self.n - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = int(self._ones(level, np.array([mid + 1]))[0])
-            lo, hi = (lo, mid) if (ones if one else mid + 1 - ones) > k else (mid + 1, hi)
-        return lo
-
     def decode(self) -> np.ndarray:
         """All ids in order."""
         values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            ones = self.planes[k].bits()
             out = np.empty_like(values)
             out[~ones] = values[: self.zeros[k]]
             out[ones] = values[self.zeros[k] :] | values.dtype.type(1 << (len(self.planes) - 1 - k))
@@ -143,16 +199,18 @@ class WaveletMatrix:
 
 def write_shard(lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A shard's file image: the documents' lengths and the wavelet matrix of their ids."""
-    body = struct.pack("<q", len(lengths)) + lengths.astype("<i8").tobytes() + WaveletMatrix.build(ids).to_bytes()
-    return _MAGIC + zstandard.ZstdCompressor(level=1).compress(body)
+    sizes = zstandard.ZstdCompressor(level=1).compress(lengths.astype("<i8").tobytes())
+    return _MAGIC + struct.pack("<qq", len(lengths), len(sizes)) + sizes + WaveletMatrix.build(ids).to_bytes()
 
 
 def read_shard(data: bytes) -> tuple[np.ndarray, WaveletMatrix]:
+    """The documents' lengths and the wavelet matrix, whose planes stay compressed until asked."""
     if data[: len(_MAGIC)] != _MAGIC:
         raise ValueError("not a shard of token ids")
-    body = zstandard.ZstdDecompressor().decompress(data[len(_MAGIC) :])
-    (n,) = struct.unpack_from("<q", body)
-    return np.frombuffer(body, "<i8", n, 8), WaveletMatrix.from_bytes(body[8 + 8 * n :])
+    n, size = struct.unpack_from("<qq", data, len(_MAGIC))
+    at, view = len(_MAGIC) + 16, memoryview(data)
+    lengths = zstandard.ZstdDecompressor().decompress(view[at : at + size])
+    return np.frombuffer(lengths, "<i8", n), WaveletMatrix.from_bytes(view[at + size :])
 
 
 # The chain of steps before the model of word_bpe_49k.json, as that file states it. Texts
