@@ -193,6 +193,17 @@ def _doc_objects_cte() -> str:
 objf AS (SELECT path, size_bytes, pii_types, {classification('pii_types')} AS data_classification FROM objs WHERE pii_types <> '')"""
 
 
+def _stored_objects_sql() -> str:
+    flags = ", ".join(f"bool_or(regexp_matches(line, {q(p)})) AS h{i}" for i, p in enumerate(rules.CONTENT_PATTERNS.values()))
+    types = ", ".join(f"CASE WHEN h{i} THEN {q(t)} END" for i, t in enumerate(rules.CONTENT_PATTERNS))
+    return f"""
+WITH lines AS (SELECT source, coalesce(text, '') || '#' AS line FROM documents),
+flags AS (SELECT source, sum(strlen(line) + 1)::BIGINT AS size_bytes, {flags} FROM lines GROUP BY source),
+typed AS (SELECT source, size_bytes, concat_ws(',', {types}) AS pii_types FROM flags)
+SELECT source, 'text/plain' AS content_type, size_bytes, 0::BIGINT AS unreadable, pii_types, {classification('pii_types')} AS data_classification
+FROM typed"""
+
+
 def _items_cte() -> str:
     js = "to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in DOCUMENT_COLUMNS) + "))::VARCHAR"
     flags = ", ".join(
@@ -588,5 +599,12 @@ FROM events WHERE user_id IS NOT NULL"""
         f"SELECT {q(part)} AS part, * RENAME ({key} AS id) FROM ({out[name]})"
         for part, key, name in (("documents", "doc_id", "content_findings"), ("pages", "page_id", "content_findings_pages"))
     )
+    out["stored_table_stats"] = " UNION ALL ".join(
+        f"""
+SELECT {q(table)} AS table_name, coalesce(sum(1 + length(t) - length(replace(t, chr(10), ''))), 0)::BIGINT AS item_count,
+  coalesce(sum(strlen(t) + 1), 0)::BIGINT AS size_bytes, {q(column + ':string')} AS attributes FROM (SELECT coalesce({column}, '') AS t FROM {table})"""
+        for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"))
+    )
+    out["stored_object_findings"] = _stored_objects_sql()
     out["event_attributes"] = _json_attributes_sql("events", "props")
     return out

@@ -24,7 +24,7 @@ from veilscan.operators import tags as TG
 from veilscan.operators.masking import mask_table
 from veilscan.operators.registry import register_batch
 from veilscan.plans import standins
-from veilscan.plans.scan import committed_scan
+from veilscan.plans.scan import committed_scan, scan_objects_under
 from veilscan.session import TABLES, ensure_checkpoint_dir, local_frame, read_table, read_tables, table_path
 from veilscan.sources.catalog import catalog_columns, catalog_columns_from_frames, register_sources
 from veilscan.sources.commits import commit_report, read_report
@@ -93,6 +93,31 @@ def object_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "size_bytes", C.types_string("pii_types").alias("pii_types"), "data_classification")
 
 
+def stored_object_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + D9: document texts written as text objects in a folder for each source, listed in tasks
+    and read in windows; bytes, objects that could not be read, and types of each folder.
+
+    A sign that no pattern takes ends each text, so that none matches into the next one."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veilscan-objects/{uuid.uuid4().hex}"
+    line = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("#"))
+    docs = read_table(spark, sf_dir, "documents")
+    named = F.coalesce(F.concat(F.lit("is-"), F.hex("source")), F.lit("none"))
+    docs.select(named.alias("folder"), line.alias("value")).write.partitionBy("folder").text(root)
+    folder = F.regexp_extract("path", "/folder=([^/]*)/[^/]*$", 1)
+    found = scan_objects_under(spark, root).groupBy(folder.alias("folder"), "content_type").agg(
+        F.sum("size_bytes").alias("size_bytes"),
+        F.count_if(F.col("status") == "unreadable").alias("unreadable"),
+        F.array_compact(
+            F.array(*[F.when(F.max(F.array_contains("pii_types", t)), F.lit(t)) for t in rules.CONTENT_TYPES])
+        ).alias("pii_types"),
+    )
+    return found.select(
+        F.when(F.col("folder") != "none", F.unhex(F.substring_index("folder", "-", -1)).cast("string")).alias("source"),
+        "content_type", "size_bytes", "unreadable", C.types_string("pii_types").alias("pii_types"),
+        C.data_classification("pii_types").alias("data_classification"),
+    )
+
+
 def finding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: documents as objects, with their types or none, split into findings
     with PII and without; counts of both by source."""
@@ -441,6 +466,20 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.concat_ws(",", F.transform("attributes", lambda a: a["name"])).alias("attribute_names"))
 
 
+STORED_TEXTS = {"documents": "text", "pages": "html", "conversations": "text"}
+
+
+def stored_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 of tables stored as text: lines, bytes of the files, and the attributes with their types."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veilscan-texts/{uuid.uuid4().hex}"
+    stored = {}
+    for name, column in STORED_TEXTS.items():
+        read_table(spark, sf_dir, name).select(F.coalesce(F.col(column), F.lit("")).alias(column)).write.text(f"{root}/{name}")
+        stored[name] = spark.read.text(f"{root}/{name}", lineSep="\n").withColumnRenamed("value", column)
+    attributes = F.transform("attributes", lambda a: F.concat(a["name"], F.lit(":"), a["type"]))
+    return _tables_stats(stored).select("table_name", "item_count", "size_bytes", F.concat_ws(",", attributes).alias("attributes"))
+
+
 # --------------------------------------------------------------------------
 # Masking
 # --------------------------------------------------------------------------
@@ -494,6 +533,7 @@ QUERIES = {
     "head_byte_findings": head_byte_findings,
     "head_char_findings": head_char_findings,
     "object_findings": object_findings,
+    "stored_object_findings": stored_object_findings,
     "finding_split": finding_split,
     "type_summary": type_summary,
     "source_table_types": source_table_types,
@@ -527,6 +567,7 @@ QUERIES = {
     "source_summary": source_summary,
     "row_samples": row_samples,
     "table_stats": table_stats,
+    "stored_table_stats": stored_table_stats,
     "masking_default": masking_default,
     "masked_values": masked_values,
     "masking_strategies": masking_strategies,
