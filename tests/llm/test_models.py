@@ -25,16 +25,34 @@ def offsets_of(texts):
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
+def brute_quality(net, text):
+    """The network chunk by chunk over one whole text."""
+    padded = text + bytes(-len(text) % quality.STEP or (0 if text else quality.STEP)) + bytes(quality.STEP)
+    chunks = [padded[i : i + 2 * quality.STEP] for i in range(0, len(padded) - quality.STEP, quality.STEP)]
+    most = np.max([net.embedding[list(c)].reshape(-1) @ net.filters for c in chunks], axis=0)
+    z = np.maximum(most + net.bias, 0) @ net.weights + net.offset
+    return 1 / (1 + math.exp(-z))
+
+
 def test_network_sees_every_chunk_of_a_text():
     net = quality.ByteNet.fresh(4, 8, 0.5, 1)
     texts = [b"", b"a", b"x" * 15, b"y" * 16, b"z" * 17, bytes(range(65, 91)) * 40]
     got = net.score(*offsets_of(texts))
     for text, score in zip(texts, got, strict=True):
-        padded = text + bytes(-len(text) % quality.STEP or (0 if text else quality.STEP)) + bytes(quality.STEP)
-        chunks = [padded[i : i + 2 * quality.STEP] for i in range(0, len(padded) - quality.STEP, quality.STEP)]
-        most = np.max([net.embedding[list(c)].reshape(-1) @ net.filters for c in chunks], axis=0)
-        z = np.maximum(most + net.bias, 0) @ net.weights + net.offset
-        assert score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+        assert score == pytest.approx(brute_quality(net, text), rel=1e-4)
+
+
+def test_quality_scores_are_those_of_brute_force(spark):
+    good = [(i, "The plan was read aloud and " + prose(i, 30)) for i in range(60)]
+    bad = [(i, "$$$ BUY!!! " * (i % 9) + "#" * i) for i in range(60, 120)]
+    rows = [*good, *bad, (200, None), (201, ""), (None, prose(9, 3000))]
+    docs = frame(spark, rows, extra=True)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    net = quality.fit_sample(docs, labels, "doc_id", "quality", 2000, 1 << 16)
+    got = {r.doc_id: r.found for r in quality.quality_scores(docs, labels, out="found").collect()}
+    assert got == pytest.approx({i: brute_quality(net, (t or "").encode()) for i, t in rows}, rel=1e-3, abs=1e-6)
+    held = [i for i in range(120) if in_fold(i, 4, 2)]
+    assert sum((got[i] >= 0.5) == (i < 60) for i in held) >= 0.9 * len(held)
 
 
 def test_quality_of_held_out_rows(spark):
@@ -104,6 +122,44 @@ def test_language_of_odd_tables(spark):
     assert langid.predict_language(frame(spark, [])).collect() == []
 
 
+def brute_grams4(text):
+    """All runs of four letters or single spaces of a text."""
+    raw = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in (text or "").encode())
+    return [raw[i : i + 4] for i in range(len(raw) - 3) if b"  " not in raw[i : i + 4]]
+
+
+def test_languages_are_those_of_brute_force(spark):
+    """Sets of 4-grams kept whole and without hashing, in place of the filter's bits."""
+    rng = random.Random(8)
+    stems = {"aa": "der die und das nicht", "bb": "the of and that not", "cc": "le la et les pas", "é": "ñandú él más über"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(list(stems))
+        words = rng.choices(stems[lang].split(), k=30) + rng.choices(prose(i, 20).split(), k=8)
+        rng.shuffle(words)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words).title(), None, lang))
+    rows += [(500 + i, prose(i, 5), None, None) for i in range(20)]
+    counts = {lang: Counter() for lang in stems}
+    for i, text, _, lang in rows:
+        if lang and not in_fold(i, langid.FOLDS, langid.HELD_OUT):
+            counts[lang].update(brute_grams4(text))
+    sets = {}
+    for lang, seen in counts.items():
+        total, before, sets[lang] = sum(seen.values()), 0, set()
+        for gram, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+            if before >= langid.COVERED * total:
+                break
+            sets[lang].add(gram)
+            before += n
+    found = {r.doc_id: r for r in langid.predict_language(frame(spark, rows, extra=True)).collect()}
+    for i, text, _, _ in rows:
+        grams = brute_grams4(text)
+        shares = {lang: sum(g in s for g in grams) / len(grams) for lang, s in sets.items()}
+        assert found[i].score == pytest.approx(max(shares.values()), abs=0.01)
+        if sorted(shares.values())[-2] < max(shares.values()) - 0.02:
+            assert found[i].lang_pred == max(sorted(shares), key=shares.get)
+
+
 def test_any_number_of_languages_and_long_texts(spark):
     words = {f"l{k:03d}": prose(1000 + k, 12) for k in range(100)}
     rows = [(i, words[lang], None, lang) for i, lang in enumerate(sorted(words) * 4)]

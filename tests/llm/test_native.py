@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import ODD, frame, prose
+from veilscan.llm import mixing
 from veilscan.llm.exact_dedup import exact_dedup
 from veilscan.llm.mixing import mix, mixed, word_count
 from veilscan.llm.sharding import shard_of, shard_slots, with_shard
@@ -102,6 +103,41 @@ def test_rounding_keeps_each_expected_number(spark):
     assert ratio > 0
 
 
+def brute_pairs(items, unit):
+    """Pivotal rounding of (draw, row, size, mass) pair by pair; ``unit`` draws a number for two."""
+    (draw, row, size, mass), settled = items[0], {}
+    for draw2, row2, size2, mass2 in items[1:]:
+        up, down = min(size - mass, mass2), min(mass, size2 - mass2)
+        rise = up + down == 0 or unit[draw, draw2] * (up + down) < down
+        step = up if rise else -down
+        own_limit = size - mass if rise else mass
+        if abs(step) == own_limit:  # the one held so far is done, the other goes on with what is left
+            settled[row] = rise
+            draw, row, size, mass = draw2, row2, size2, mass2 - step
+        else:
+            settled[row2] = not rise
+            mass += step
+    return row, mass, settled
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairing_off_is_that_of_brute_force(spark, seed):
+    rng = random.Random(seed)
+    items = []
+    for row in range(rng.choice([1, 2, 17, 60])):
+        size = float(rng.choice([1, 2, 8, 64, 1024]))
+        items.append((rng.getrandbits(40), row, size, size * rng.choice([0.25, 0.5, 0.75, 0.125])))  # exact in binary
+    draws = spark.createDataFrame([(x[0], y[0]) for x in items for y in items], "a long, b long")
+    unit = {(r.a, r.b): r.u for r in draws.select("a", "b", mixing._unit(F.col("a"), F.col("b"), F.lit(seed)).alias("u")).collect()}
+    df = spark.createDataFrame([(items,)], "items array<struct<draw:long,row:long,size:double,mass:double>>")
+    state = df.select(mixing._pair_off(F.col("items"), seed).alias("s")).select("s.*").first()
+    row, mass, settled = brute_pairs(items, unit)
+    assert (state.left.row, state.left.mass) == (row, mass)
+    assert {d.row: d.up for d in state.settled} == settled and len(state.settled) == len(items) - 1
+    size_of = {x[1]: x[2] for x in items}
+    assert mass + sum(size_of[r] for r, up in settled.items() if up) == sum(x[3] for x in items)
+
+
 def test_mix_of_odd_tables(spark):
     assert mix(frame(spark, []).withColumn("size", F.lit(1))).collect() == []
     assert mixed(frame(spark, [])).collect() == []
