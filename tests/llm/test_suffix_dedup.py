@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tests.llm.data import ODD, frame, prose
+from tests.llm.data import ODD, frame, prose, words_of
 from veilscan.llm.suffix_dedup import SuffixIndex, remove_repeats, sliding_min
 
 
@@ -49,6 +49,24 @@ def test_repeats_are_those_of_brute_force(spark, seed):
     check(spark, texts, span, reach)
 
 
+def test_passages_of_over_fifty_words_by_their_bytes(spark):
+    passages = [" ".join(words_of(random.Random(n), n, 90)) for n in range(51, 151, 3)]
+    long = " ".join(words_of(random.Random(9), 150, 90))
+    passages += [long[:399], long[-400:]]
+    assert sum(len(p) < 400 for p in passages) > 5 and sum(len(p) >= 400 for p in passages) > 5
+    rows = [(2 * k + i, f"{prose(500 + 2 * k + i, 40)}{'#@'[i]}{p}{'|~'[i]}{prose(900 + 2 * k + i, 40)}") for k, p in enumerate(passages) for i in range(2)]
+    clean = [(1000 + i, prose(1300 + i, 120)) for i in range(60)]
+    texts = dict(rows + clean)
+    found = {r.doc_id: r for r in remove_repeats(frame(spark, rows + clean)).collect()}
+    for i, text in texts.items():
+        passage = passages[i // 2] if i < 1000 else ""
+        gone = passage if len(passage) >= 400 else ""
+        at = text.index(passage)
+        assert found[i].n_bytes == len(text)
+        assert (found[i].n_removed, found[i].edges) == (len(gone), [at, at + len(gone)] if gone else []), i
+        assert found[i].kept.decode() == (text.replace(gone, "") if gone else text)
+
+
 def test_hot_cores_and_small_groups(spark, monkeypatch):
     import veilscan.llm.suffix_dedup as module
 
